@@ -91,11 +91,10 @@ class CohortModel:
             scored.append(F.struct(F.sqrt(d).alias("d"), F.lit(i).alias("i")))
         return F.array_min(F.array(*scored))["i"]
 
-    def default_for(self, entity_type: Column) -> Column:
-        out = F.lit(self.largest)
-        for t, c in sorted(self.type_default.items()):
-            out = F.when(entity_type == t, F.lit(c)).otherwise(out)
-        return out.cast("int")
+    def default_sql(self, entity_type: str) -> str:
+        arms = " ".join(f"WHEN '{t}' THEN {c}" for t, c in sorted(self.type_default.items()))
+        rest = "null" if self.largest is None else str(self.largest)
+        return f"CASE {entity_type} {arms} ELSE {rest} END" if arms else rest
 
     def describe(self, cohort: int) -> str:
         raw = dict(zip(SUMMARY, [c * s + m for c, s, m in zip(self.centroids[cohort], self.stds, self.means)]))
@@ -188,15 +187,14 @@ def live_cohorts(o: Ordered, model: CohortModel) -> Ordered:
     and block sums ``snap_n``, ``snap_fail``."""
     s = o.settings
     last = math.ceil((s.geo_points - 1) / s.refresh_every)
-    hour, dow = F.hour("timestamp"), F.weekday("timestamp")
-    sums = {f"_h{h}": S.flag(hour == h) for h in range(24)}
-    sums["_we"] = S.flag(dow >= 5)
-    sums["_dc"] = S.flag(F.col("first_rn_country") == F.col("rn"))
-    sums["_dr"] = S.flag(F.col("first_rn_resource") == F.col("rn"))
+    sums = {f"_h{h}": f"if(hour(timestamp) = {h}, 1D, 0D)" for h in range(24)}
+    sums["_we"] = "if(weekday(timestamp) >= 5, 1D, 0D)"
+    sums["_dc"] = "if(first_rn_country = rn, 1D, 0D)"
+    sums["_dr"] = "if(first_rn_resource = rn, 1D, 0D)"
     for a in AUTH_ORDER:
-        sums[f"_a_{a}"] = S.flag(F.col("auth_method") == a)
-    for n, c in P.stat_sums().items():
-        sums[f"_{n}"] = c
+        sums[f"_a_{a}"] = f"if(auth_method = '{a}', 1D, 0D)"
+    for n, x in P.stat_sums().items():
+        sums[f"_{n}"] = x
     o = running(o, sums, "block")
     spread = snapshot_spread(o)
     f = o.frame.withColumn("hb", F.least(F.lit(last).cast("bigint"), F.col("blk")))
@@ -223,6 +221,6 @@ def live_cohorts(o: Ordered, model: CohortModel) -> Ordered:
     for a in AUTH_ORDER:
         parts[f"auth_{a}_share"] = c(f"_a_{a}") / n
     nearest = model.nearest([parts[name] for name in SUMMARY])
-    cohort = F.when(n >= 3, nearest).otherwise(model.default_for(c("entity_type")))
+    cohort = F.when(n >= 3, nearest).otherwise(F.expr(model.default_sql("entity_type")))
     f = f.withColumn("live_cohort", cohort).drop(*sums, "hb", "spread_km")
     return o.with_frame(f)

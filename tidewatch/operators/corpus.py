@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import DEFAULTS, MAX_CATEGORIES, Settings
 from tidewatch.functions import scalar as S
 from tidewatch.functions import sequences as Q
-from tidewatch.operators.profiles import dim_values
+from tidewatch.operators.profiles import exploded
 
 CATEGORIES = {
     "entity_type": "entity_type",
@@ -37,10 +37,8 @@ class Corpus:
 def corpus_counts(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Occurrences and distinct entities per value. Two-step counting keeps hot values cheap:
     (value, entity) pairs first, then values."""
-    long = events.select("entity_id", F.explode(dim_values(settings.ngram_n)).alias("d")).select(
-        "entity_id", "d.dim", "d.value"
-    )
-    long = long.filter(F.col("dim").isin("resource", "device_os", "country", "token", "ngram") & F.col("value").isNotNull())
+    long = exploded(events, ["entity_id"], settings.ngram_n, ("resource", "device_os", "country", "token", "ngram"))
+    long = long.filter("value is not null")
     pairs = long.groupBy("dim", "value", "entity_id").agg(F.count(F.lit(1)).alias("n"))
     return pairs.groupBy("dim", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_entities"))
 

@@ -1,24 +1,23 @@
 """The 59 numeric and 7 categorical features of an access event.
 
-One table of column expressions serves training, evaluation and batch scoring; the streaming job
-keeps the same quantities as keyed state. A row only ever sees strictly earlier rows of its entity
-in (time, id) order.
+One table of SQL expressions serves training, evaluation and batch scoring; the streaming job keeps
+the same quantities as keyed state. A row only ever sees strictly earlier rows of its entity in
+(time, id) order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
-from tidewatch.functions import scalar as S
-from tidewatch.functions import sequences as Q
+from tidewatch.functions.scalar import EARTH_KM
 from tidewatch.operators import ordering as O
 from tidewatch.operators import profiles as P
-from tidewatch.operators.cohorts import CohortModel, live_cohorts, stat_mean, stat_std
-from tidewatch.operators.corpus import Corpus, surprisal
+from tidewatch.operators.cohorts import CohortModel, live_cohorts
+from tidewatch.operators.corpus import Corpus
 
 NUMERIC = (
     "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend", "hour_likelihood", "dow_likelihood",
@@ -42,7 +41,8 @@ NUMERIC = (
 CATEGORICAL = (
     "entity_type", "auth_method", "geo_country", "device_protocol", "device_os", "resource_accessed", "cohort",
 )
-ID_COLUMNS = ("event_id", "entity_id", "entity_type", "timestamp", "ts_us", "split")
+ID_COLUMNS = ("event_id", "entity_id", "entity_type", "timestamp", "ts_us", "session_id", "split")
+BAG_TYPE = "array<struct<pos:int,value:string,seen:bigint,corpus_n:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -55,80 +55,94 @@ class Knowledge:
     cohorts: CohortModel | None = None
 
 
-def _lookups(o: O.Ordered, k: Knowledge) -> O.Ordered:
-    """Attach, per event, what the snapshot and the corpus know of its own values and tokens."""
-    long = P.snapshot_values(o)
+def haversine_sql(lat1, lon1, lat2, lon2) -> str:
+    a = (
+        f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+        f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    )
+    return f"if({lat1} is null, null, {2 * EARTH_KM}D * asin(least(1D, sqrt({a}))))"
+
+
+def centroid_sql(lat: bool, x="home_ux", y="home_uy", z="home_uz", n="home_n", first="home_lat0") -> str:
+    hyp = f"sqrt(pow({x} / {n}, 2) + pow({y} / {n}, 2))"
+    flat = f"{hyp} < 1e-12 and abs({z} / {n}) < 1e-12"
+    angle = f"atan2({z} / {n}, {hyp})" if lat else f"atan2({y} / {n}, {x} / {n})"
+    return f"CASE WHEN {n} > 0 THEN if({flat}, {first}, degrees({angle})) END"
+
+
+def zscore_sql(value: str, n: str, s: str, q: str) -> str:
+    std = f"sqrt(greatest(0D, {q} / {n} - pow({s} / {n}, 2)))"
+    return f"if({n} < 2, 0D, ({value} - {s} / {n}) / greatest({std}, 0.1D))"
+
+
+def _corpus_joins(o: O.Ordered, k: Knowledge) -> O.Ordered:
+    """Corpus counts of the event's resource and operating system; plain equi-joins whose strategy
+    Catalyst picks by size."""
+    frame = o.frame
+    for dim in ("resource", "device_os"):
+        side = k.corpus.counts.filter(F.col("dim") == dim).selectExpr(
+            f"value AS v_{dim}", f"n AS corpus_n_{dim}", f"n_entities AS corpus_entities_{dim}"
+        )
+        frame = frame.join(side, f"v_{dim}", "left")
+    return o.with_frame(frame)
+
+
+def _bags(o: O.Ordered, k: Knowledge) -> O.Ordered:
+    """Tokens and n-grams as arrays of (pos, value, seen in the snapshot, seen in the corpus)."""
+    long = P.snapshot_bags(o)
     if k.corpus is not None:
-        counts = k.corpus.counts.withColumnsRenamed({"n": "corpus_n", "n_entities": "corpus_entities"})
-        long = long.join(counts, ["dim", "value"], "left")
+        side = k.corpus.counts.filter(F.col("dim").isin(*P.BAG_DIMS)).selectExpr("dim", "value", "n AS corpus_n")
+        long = long.join(side, ["dim", "value"], "left")
     else:
-        long = long.withColumns({"corpus_n": F.lit(None).cast("bigint"), "corpus_entities": F.lit(None).cast("bigint")})
-
-    def of(dim, column):
-        return F.max(F.when(F.col("dim") == dim, F.col(column)))
-
-    item = F.struct("pos", "value", F.col("seen").alias("seen"), "corpus_n")
-    picks = [of(d, "seen").alias(f"seen_{d}") for d in P.SINGLE_DIMS]
-    picks += [of(d, "first_rn").alias(f"first_rn_{d}") for d in ("country", "resource")]
-    picks += [of(d, "corpus_n").alias(f"corpus_n_{d}") for d in ("resource", "device_os")]
-    picks += [of("resource", "corpus_entities").alias("corpus_entities_resource")]
-    picks += [F.array_sort(F.collect_list(F.when(F.col("dim") == d, item))).alias(f"{d}s") for d in P.BAG_DIMS]
-    on = [*o.part, o.id]
-    wide = long.groupBy(*on).agg(*picks)
-    frame = o.frame.join(wide, on, "left")
+        long = long.withColumn("corpus_n", F.lit(None).cast("bigint"))
+    item = "named_struct('pos', pos, 'value', value, 'seen', seen, 'corpus_n', corpus_n)"
+    wide = long.groupBy(*o.part, o.id).agg(
+        *[F.expr(f"array_sort(collect_list(if(dim = '{d}', {item}, null))) AS {d}s") for d in P.BAG_DIMS]
+    )
+    frame = o.frame.join(wide, [*o.part, o.id], "left")
+    plain = [c for c in frame.columns if c not in ("tokens", "ngrams")]
+    empty = f"cast(array() AS {BAG_TYPE})"
+    return o.with_frame(
+        frame.selectExpr(*plain, f"coalesce(tokens, {empty}) AS tokens", f"coalesce(ngrams, {empty}) AS ngrams")
+    )
+
+
+def _cuts(o: O.Ordered) -> O.Ordered:
     cuts = P.cut_maps(P.snapshot_cuts(o), o.key)
-    if o.sliced:
-        frame = frame.join(cuts, [o.key, "slice", "blk"], "left")
-    else:
-        frame = frame.join(cuts.drop("slice"), [o.key, "blk"], "left")
-    return o.with_frame(frame)
+    on = [o.key, "slice", "blk"] if o.sliced else [o.key, "blk"]
+    return o.with_frame(o.frame.join(cuts if o.sliced else cuts.drop("slice"), on, "left"))
 
 
 def _attach(o: O.Ordered, table: DataFrame, prefix: str) -> O.Ordered:
     """Left-join a per-entity table; an oversized entity's row is repeated per slice, which spreads it."""
-    renamed = table.select(
-        F.col("entity_id").alias(o.key), *[F.col(c).alias(prefix + c) for c in table.columns if c != "entity_id"]
+    renamed = table.selectExpr(
+        f"entity_id AS {o.key}", *[f"{c} AS {prefix}{c}" for c in table.columns if c != "entity_id"]
     )
     if o.sliced:
         renamed = o.frame.select(o.key, "slice").distinct().join(renamed, o.key)
     return o.with_frame(o.frame.join(renamed, o.part, "left"))
 
 
-def zscore(value: Column, n: Column, s: Column, q: Column) -> Column:
-    spread = F.greatest(stat_std(n, s, q), F.lit(0.1))
-    return F.when(n < 2, F.lit(0.0)).otherwise((value - stat_mean(n, s)) / spread)
-
-
 def _resolve(frame: DataFrame, k: Knowledge, s: Settings) -> DataFrame:
-    """Own history = persisted (+) live; the weight on it; cohort; source."""
-    c, zero = F.col, F.lit(0.0)
-    has_live = c("rn") >= 2
-    st_n = F.coalesce(c("st_event_count"), F.lit(0)) if k.profiles is not None else F.lit(0)
-    st_s = F.coalesce(c("st_session_count"), F.lit(0)) if k.profiles is not None else F.lit(0)
-    own_n = st_n + c("snap_n")
-    own_s = st_s + c("snap_sessions")
-    w = (
-        F.when(own_n == 0, zero)
-        .when(own_s >= s.min_sessions, F.lit(1.0))
-        .otherwise(own_s / (own_s + F.lit(float(s.prior_sessions))))
-    )
-    cohort = F.lit(None).cast("int")
+    """Own history = persisted + live; the weight on it; the cohort."""
+    has_st = k.profiles is not None
+    frame = frame.selectExpr(
+        "*",
+        ("coalesce(st_event_count, 0)" if has_st else "0") + " AS st_n",
+        ("coalesce(st_session_count, 0)" if has_st else "0") + " + snap_sessions AS own_sessions",
+    ).selectExpr("*", "cast(st_n + snap_n AS double) AS own_n")
+    cohort = "cast(null AS int)"
     if k.cohorts is not None and k.cohorts.centroids:
-        fresh = F.when(has_live, c("live_cohort")).otherwise(k.cohorts.default_for(c("entity_type")))
-        stored = c("st_cohort") if k.profiles is not None and "st_cohort" in frame.columns else F.lit(None).cast("int")
-        cohort = F.coalesce(stored, fresh)
-    return frame.withColumns(
-        {
-            "has_live": has_live,
-            "st_n": st_n.cast("double"),
-            "own_n": own_n.cast("double"),
-            "own_sessions": own_s.cast("double"),
-            "w": w,
-            "ws": F.when(own_n > 0, st_n / own_n).otherwise(zero),
-            "cohort": cohort,
-            "is_cold": (own_n == 0) | (own_s < s.min_sessions),
-            "confidence": w,
-        }
+        default = k.cohorts.default_sql("entity_type")
+        cohort = f"if(rn >= 2, live_cohort, {default})"
+        if has_st and "st_cohort" in frame.columns:
+            cohort = f"coalesce(st_cohort, {cohort})"
+    return frame.selectExpr(
+        "*",
+        f"CASE WHEN own_n = 0 THEN 0D WHEN own_sessions >= {s.min_sessions} THEN 1D "
+        f"ELSE own_sessions / (own_sessions + {float(s.prior_sessions)}D) END AS w",
+        "if(own_n > 0, st_n / own_n, 0D) AS ws",
+        f"cast({cohort} AS int) AS cohort",
     )
 
 
@@ -136,300 +150,260 @@ def _with_prior(frame: DataFrame, k: Knowledge) -> DataFrame:
     """Cohort prior, else the type's default cohort, else the global one. The prior table has one row
     per cohort plus one, so broadcasting it is bounded by the cohort count."""
     known = [r["cohort"] for r in k.priors.select("cohort").collect()]
-    default = F.lit(None).cast("int")
+    default = "null"
     if k.cohorts is not None:
-        for t, coh in sorted(k.cohorts.type_default.items()):
-            if coh in known:
-                default = F.when(F.col("entity_type") == t, F.lit(coh)).otherwise(default)
-    choice = F.coalesce(F.when(F.col("cohort").isin(*known), F.col("cohort")), default, F.lit(-1))
-    table = k.priors.select(
-        F.col("cohort").alias("prior_cohort"), *[F.col(c).alias("pr_" + c) for c in k.priors.columns if c != "cohort"]
-    )
-    return frame.withColumn("prior_cohort", choice).join(F.broadcast(table), "prior_cohort", "left")
+        arms = [f"WHEN '{t}' THEN {c}" for t, c in sorted(k.cohorts.type_default.items()) if c in known]
+        default = f"CASE entity_type {' '.join(arms)} END" if arms else "null"
+    listed = ", ".join(str(c) for c in known) or "-1"
+    table = k.priors.selectExpr("cohort AS prior_cohort", *[f"{c} AS pr_{c}" for c in k.priors.columns if c != "cohort"])
+    choice = f"coalesce(if(cohort in ({listed}), cohort, null), {default}, -1) AS prior_cohort"
+    return frame.selectExpr("*", choice).join(F.broadcast(table), "prior_cohort", "left")
+
+
+def _known(s: Settings, has_st: bool, has_pr: bool, dim: str, value: str, seen: str) -> str:
+    """Is the value part of the resolved profile? A snapshot keeps (-count, value) <= its cut."""
+    live = f"{seen} > 0"
+    if dim in s.top_values:
+        cut = f"cut_{dim}"
+        live = (
+            f"({seen} > 0 and ({cut} is null or {seen} > {cut}.cut_n "
+            f"or ({seen} = {cut}.cut_n and {value} <= {cut}.cut_value)))"
+        )
+    own = f"({live} or coalesce(map_contains_key(st_d_{dim}, {value}), false))" if has_st else live
+    hit = f"(w > 0 and {own})"
+    if has_pr:
+        hit = f"({hit} or (w < 1 and coalesce(map_contains_key(pr_d_{dim}, {value}), false)))"
+    return f"coalesce({hit}, false)"
+
+
+def _share(s: Settings, has_st: bool, has_pr: bool, dim: str) -> str:
+    """Probability of the event's value under the resolved profile."""
+    seen, value, total = f"seen_{dim}", f"v_{dim}", "snap_n"
+    if dim in s.top_values:
+        total = f"coalesce(cast(cut_{dim}.top_total AS double), snap_n)"
+    own = f"if({_known(s, False, False, dim, value, seen).replace('w > 0 and ', '')}, {seen} / {total}, 0D)"
+    if has_st:
+        own = f"(ws * coalesce(st_d_{dim}[{value}], 0D) + (1 - ws) * {own})"
+    out = f"w * {own}"
+    if has_pr:
+        out = f"({out} + (1 - w) * coalesce(pr_d_{dim}[{value}], 0D))"
+    return f"if({value} is null, 0D, {out})"
+
+
+def _has_any(has_st: bool, has_pr: bool, dim: str, live: str) -> str:
+    own = f"({live} or coalesce(size(st_d_{dim}), 0) > 0)" if has_st else live
+    out = f"(w > 0 and {own})"
+    return f"({out} or (w < 1 and coalesce(size(pr_d_{dim}), 0) > 0))" if has_pr else out
 
 
-def featurise(events: DataFrame, settings: Settings = DEFAULTS, know: Knowledge = Knowledge()) -> DataFrame:
-    """Numeric features, categorical values and bookkeeping columns, one row per event."""
+def _stats(s: Settings, has_st: bool, has_pr: bool) -> list[str]:
+    cols = []
+    for name in P.STATS:
+        n = f"live_{name}_n" + (f" + coalesce(st_{name}_n, 0D)" if has_st else "")
+        thin = f"w < 1 and {n} < {s.prior_stat_floor}"
+        for x in "nsq":
+            v = f"live_{name}_{x}" + (f" + coalesce(st_{name}_{x}, 0D)" if has_st else "")
+            if has_pr:
+                v += f" + if({thin}, coalesce(pr_{name}_{x}, 0D), 0D)"
+            cols.append(f"{v} AS {name}_{x}")
+    return cols
+
+
+def featurise(
+    events: DataFrame, settings: Settings = DEFAULTS, know: Knowledge = Knowledge(), names=NUMERIC
+) -> DataFrame:
+    """Numeric features, categorical values and bookkeeping columns, one row per event.
+
+    Asking for fewer ``names`` leaves out the stages only the others need.
+    """
     s, k = settings, know
-    o = O.order_events(events, s)
+    text = any(n.startswith("seq") for n in names)
+    against_profile = text or any(n.endswith("_likelihood") or n.startswith(("is_new_", "window_foreign")) for n in names)
+    windowed = any("window" in n or n.startswith("session_") or n == "auth_failure_rate_delta" for n in names)
+    with_cohorts = k.cohorts is not None and bool(k.cohorts.centroids)
+    has_st, has_pr = k.profiles is not None, k.priors is not None
+    o = P.value_columns(O.order_events(events, s))
+    if k.corpus is not None:
+        o = _corpus_joins(o, k)
     o = O.first_of(o, "session_id", "_first_in_session")
-    o = _lookups(o, k)
+    if against_profile or windowed or with_cohorts:
+        o = P.snapshot_seen(o, ("resource", "country") if with_cohorts else ("resource",))
+    if text:
+        o = _bags(o, k)
+    else:
+        tokens = f"transform(filter(command_sequence, t -> t <> ''), t -> cast(named_struct('pos', 0, 'value', t, 'seen', 0, 'corpus_n', null) AS {BAG_TYPE[6:-1]}))"
+        o = o.with_frame(o.frame.selectExpr("*", f"{tokens} AS tokens", f"cast(array() AS {BAG_TYPE}) AS ngrams"))
+    if against_profile:
+        o = _cuts(o)
     o = O.previous(o, "ts_us", "geo_lat", "geo_lon", "device_mac")
-    c, zero, one = F.col, F.lit(0.0), F.lit(1.0)
-
-    u = P.unit_vector()
-    early = c("rn") <= s.geo_points
+    early = f"rn <= {s.geo_points}"
     o = O.running(
         o,
         {
-            "snap_sessions": c("_first_in_session"),
-            "snap_fail": S.flag(~c("auth_success")),
-            "snap_tokens": F.coalesce(F.size("tokens"), F.lit(0)),
-            "snap_ngrams": F.coalesce(F.size("ngrams"), F.lit(0)),
-            "home_n": S.flag(early),
-            **{f"home_{n}": F.when(early, v).otherwise(zero) for n, v in u.items()},
-            "home_lat0": F.when(c("rn") == 1, c("geo_lat")).otherwise(zero),
-            "home_lon0": F.when(c("rn") == 1, c("geo_lon")).otherwise(zero),
+            "snap_sessions": "_first_in_session",
+            "snap_fail": "if(auth_success, 0D, 1D)",
+            "snap_tokens": "size(tokens)",
+            "snap_ngrams": "size(ngrams)",
+            "home_n": f"if({early}, 1D, 0D)",
+            **{f"home_{n}": f"if({early}, {x}, 0D)" for n, x in P.UNIT_SQL.items()},
+            "home_lat0": "if(rn = 1, geo_lat, 0D)",
+            "home_lon0": "if(rn = 1, geo_lon, 0D)",
         },
         "block",
     )
-    o = O.running(o, {f"live_{n}": v for n, v in P.stat_sums().items()}, "before")
-    o = O.trailing(
-        o,
-        {
-            "us": c("ts_us"), "ok": c("auth_success"), "sid": c("session_id"), "out": c("bytes_out"),
-            "res": c("resource_accessed"), "first": c("first_rn_resource"),
-        },
-    )
-    snap_n = F.when(c("blk") >= 0, c("blk") * s.refresh_every + 1).otherwise(F.lit(0)).cast("double")
-    o = o.with_frame(o.frame.withColumn("snap_n", snap_n))
-    if k.cohorts is not None and k.cohorts.centroids:
+    o = O.running(o, {f"live_{n}": x for n, x in P.stat_sums().items()}, "before")
+    if windowed:
+        o = O.trailing(o, {
+            "us": "ts_us", "ok": "auth_success", "sid": "session_id", "out": "bytes_out",
+            "res": "resource_accessed", "first": "first_rn_resource",
+        })
+    snap_n = f"cast(if(blk >= 0, blk * {s.refresh_every} + 1, 0) AS double) AS snap_n"
+    o = o.with_frame(o.frame.selectExpr("*", snap_n))
+    if with_cohorts:
         o = live_cohorts(o, k.cohorts)
-    if k.profiles is not None:
+    if has_st:
         o = _attach(o, k.profiles, "st_")
     f = _resolve(o.rows(), k, s)
-    if k.priors is not None:
+    if has_pr:
         f = _with_prior(f, k)
-    has_st, has_pr = k.profiles is not None, k.priors is not None
-
-    # --- lookups against the resolved profile ---------------------------------------------- #
-    def inside(dim, value, seen):
-        """Is a value with this snapshot count inside the snapshot's top-K?"""
-        if dim not in s.top_values:
-            return seen > 0
-        cut = c(f"cut_{dim}")
-        beyond = (seen > cut["cut_n"]) | ((seen == cut["cut_n"]) & (value <= cut["cut_value"]))
-        return (seen > 0) & (cut.isNull() | beyond)
-
-    def in_map(table_col, value):
-        return F.coalesce(F.map_contains_key(table_col, value), F.lit(False))
-
-    def known(dim, value, seen):
-        hit = (c("w") > 0) & inside(dim, value, seen)
-        if has_st:
-            hit = hit | ((c("w") > 0) & in_map(c(f"st_d_{dim}"), value))
-        if has_pr:
-            hit = hit | ((c("w") < 1) & in_map(c(f"pr_d_{dim}"), value))
-        return F.coalesce(hit, F.lit(False))
-
-    def share(dim, value, seen):
-        total = c("snap_n")
-        if dim in s.top_values:
-            total = F.coalesce(c(f"cut_{dim}")["top_total"].cast("double"), total)
-        live = F.when(inside(dim, value, seen), seen / total).otherwise(zero)
-        own = live
-        if has_st:
-            stored = F.coalesce(c(f"st_d_{dim}")[value], zero)
-            own = c("ws") * stored + (one - c("ws")) * live
-        if not has_pr:
-            return c("w") * own
-        prior = F.coalesce(c(f"pr_d_{dim}")[value], zero)
-        return c("w") * own + (one - c("w")) * prior
-
-    def has_any(dim, live_any):
-        anything = live_any
-        if has_st:
-            anything = anything | (F.coalesce(F.size(c(f"st_d_{dim}")), F.lit(0)) > 0)
-        anything = anything & (c("w") > 0)
-        if has_pr:
-            anything = anything | ((c("w") < 1) & (F.coalesce(F.size(c(f"pr_d_{dim}")), F.lit(0)) > 0))
-        return anything
-
-    values = P.single_values()
-    live_any = c("snap_n") > 0
-
-    def likelihood(dim):
-        return F.when(values[dim].isNull(), zero).otherwise(share(dim, values[dim], c(f"seen_{dim}")))
-
-    def is_new(dim):
-        fresh = values[dim].isNull() | ~known(dim, values[dim], c(f"seen_{dim}"))
-        return S.flag(has_any(dim, live_any) & fresh)
 
-    no_history = c("own_n") == 0
-    if has_pr:
-        no_history = no_history & (F.coalesce(c("pr_event_count"), F.lit(0)) == 0)
-
-    def hist(dim, bins):
-        return F.when(no_history, one).otherwise(share(dim, values[dim], c(f"seen_{dim}")) * bins)
-
-    def stat(name):
-        n, t, q = (c(f"live_{name}_{x}") for x in "nsq")
-        if has_st:
-            n, t, q = (a + F.coalesce(c(f"st_{name}_{x}"), zero) for a, x in zip((n, t, q), "nsq"))
-        if has_pr:
-            thin = (c("w") < 1) & (n < s.prior_stat_floor)
-            n, t, q = (
-                a + F.when(thin, F.coalesce(c(f"pr_{name}_{x}"), zero)).otherwise(zero) for a, x in zip((n, t, q), "nsq")
-            )
-        return n, t, q
-
-    live_fail = F.when(c("snap_n") > 0, c("snap_fail") / c("snap_n")).otherwise(zero)
-    fail = live_fail
+    span = s.window_minutes * 60_000_000
+    home = {x: centroid_sql(x == "lat", first=f"home_{x}0") for x in ("lat", "lon")}
+    for x in home:
+        parts = [f"st_home_{x}"] * has_st + [home[x]] + [f"pr_home_{x}"] * has_pr
+        home[x] = f"coalesce({', '.join(parts)})"
+    fail = "if(snap_n > 0, snap_fail / snap_n, 0D)"
     if has_st:
-        fail = c("ws") * F.coalesce(c("st_failure_rate"), zero) + (one - c("ws")) * live_fail
-    fail = c("w") * fail
-    if has_pr:
-        fail = fail + (one - c("w")) * F.coalesce(c("pr_failure_rate"), zero)
-
-    home_lat, home_lon = P.centroid(
-        c("home_ux"), c("home_uy"), c("home_uz"), c("home_n"), c("home_lat0"), c("home_lon0")
+        fail = f"(ws * coalesce(st_failure_rate, 0D) + (1 - ws) * {fail})"
+    fail = f"w * {fail}" + (" + (1 - w) * coalesce(pr_failure_rate, 0D)" if has_pr else "")
+    sid = "coalesce(session_id, '')"
+    arrays = [
+        f"filter(recent, x -> x.us >= ts_us - {span}) AS win",
+        f"if({sid} = '', array(), filter(recent, x -> x.us >= prev.ts_us - {span} and x.sid = session_id)) AS same",
+    ]
+    over_window = [
+        "array_distinct(concat(transform(win, x -> named_struct('res', x.res, 'first', x.first)), "
+        "array(named_struct('res', resource_accessed, 'first', first_rn_resource)))) AS win_res",
+        "cast(size(filter(win, x -> not x.ok)) + if(auth_success, 0, 1) AS double) AS win_fail",
+        "cast(size(win) + 1 AS double) AS win_n",
+        "aggregate(win, 0D, (a, x) -> a + x.out) + bytes_out AS win_out",
+    ]
+    f = f.selectExpr(
+        "*",
+        *(arrays if windowed else []),
+        f"{home['lat']} AS my_lat",
+        f"{home['lon']} AS my_lon",
+        f"{fail} AS my_fail",
+        *[x.replace(" AS ", " AS t_") for x in _stats(s, has_st, has_pr)],
+        haversine_sql("prev.geo_lat", "prev.geo_lon", "geo_lat", "geo_lon") + " AS dist",
+        "if(rn = 1, 0D, log1p(greatest(0D, (ts_us - prev.ts_us) / 1e6D))) AS log_gap",
+        "(own_n = 0" + (" and coalesce(pr_event_count, 0) = 0" if has_pr else "") + ") AS no_history",
+    ).selectExpr(
+        "*",
+        *(over_window if windowed else []),
+        "if(t_bytes_out_n > 0, expm1(t_bytes_out_s / t_bytes_out_n), 0D) AS typical",
     )
+
+    known_res = "(w > 0 and coalesce(if(top_resources is null, null, array_contains(top_resources, p.res)), p.first <= snap_n))"
     if has_st:
-        home_lat, home_lon = F.coalesce(c("st_home_lat"), home_lat), F.coalesce(c("st_home_lon"), home_lon)
+        known_res = f"({known_res} or (w > 0 and coalesce(map_contains_key(st_d_resource, p.res), false)))"
     if has_pr:
-        home_lat, home_lon = F.coalesce(home_lat, c("pr_home_lat")), F.coalesce(home_lon, c("pr_home_lon"))
+        known_res = f"({known_res} or (w < 1 and coalesce(map_contains_key(pr_d_resource, p.res), false)))"
 
-    # --- trailing window and session so far ------------------------------------------------- #
-    span = s.window_minutes * 60_000_000
-    empty_bag = F.array().cast("array<struct<pos:int,value:string,seen:bigint,corpus_n:bigint>>")
-    f = f.withColumns(
-        {
-            "win": F.filter("recent", lambda x: x["us"] >= c("ts_us") - span),
-            "same_session": F.filter(
-                "recent", lambda x: (x["us"] >= c("prev.ts_us") - span) & (x["sid"] == c("session_id"))
-            ),
-            "tokens": F.coalesce("tokens", empty_bag),
-            "ngrams": F.coalesce("ngrams", empty_bag),
-            "home_lat": home_lat,
-            "home_lon": home_lon,
+    def share(dim):
+        return _share(s, has_st, has_pr, dim)
+
+    def is_new(dim):
+        fresh = f"(v_{dim} is null or not {_known(s, has_st, has_pr, dim, 'v_' + dim, 'seen_' + dim)})"
+        return f"if({_has_any(has_st, has_pr, dim, 'snap_n > 0')} and {fresh}, 1D, 0D)"
+
+    def novelty(dim):
+        arr = f"{dim}s"
+        unknown = f"size(filter({arr}, x -> not {_known(s, has_st, has_pr, dim, 'x.value', 'x.seen')}))"
+        some = _has_any(has_st, has_pr, dim, f"snap_{arr} > 0")
+        return f"if({some} and size({arr}) > 0, {unknown} / size({arr}), 0D)"
+
+    def z(value, name):
+        return zscore_sql(value, f"t_{name}_n", f"t_{name}_s", f"t_{name}_q")
+
+    c = k.corpus
+    if c is not None:
+        n_events, n_entities = float(max(1, c.n_events)), float(max(1, c.n_entities))
+        rarity = {
+            d: f"-ln(greatest(coalesce(corpus_n_{d}, 0) / {n_events}D, 1D / {n_events}D))" for d in ("resource", "device_os")
         }
-    )
-    win = c("win")
-    own_res = F.struct(c("resource_accessed").alias("res"), c("first_rn_resource").alias("first"))
-    res_pairs = F.array_distinct(
-        F.concat(F.transform(win, lambda x: F.struct(x["res"].alias("res"), x["first"].alias("first"))), F.array(own_res))
-    )
-    f = f.withColumn("win_res", res_pairs).withColumn(
-        "win_fail", (F.size(F.filter(win, lambda x: ~x["ok"])) + S.flag(~c("auth_success"))).cast("double")
-    )
-    f = f.withColumn("win_n", (F.size(win) + 1).cast("double"))
-    f = f.withColumn("win_out", F.aggregate(win, zero, lambda a, x: a + x["out"]) + c("bytes_out"))
-
-    def resource_known(p):
-        listed = F.when(c("top_resources").isNotNull(), F.array_contains("top_resources", p["res"]))
-        live = (c("w") > 0) & F.coalesce(listed, p["first"] <= c("snap_n"))
-        if has_st:
-            live = live | ((c("w") > 0) & in_map(c("st_d_resource"), p["res"]))
-        if has_pr:
-            live = live | ((c("w") < 1) & in_map(c("pr_d_resource"), p["res"]))
-        return F.coalesce(live, F.lit(False))
-
-    foreign = F.size(F.filter("win_res", lambda p: ~resource_known(p))) / F.size("win_res")
-    first = c("rn") == 1
-    gap = F.greatest(zero, (c("ts_us") - c("prev.ts_us")) / F.lit(1e6))
-    log_gap = F.when(first, zero).otherwise(F.log1p(gap))
-    dist = S.haversine_km(c("prev.geo_lat"), c("prev.geo_lon"), c("geo_lat"), c("geo_lon"))
-    speed = dist / S.elapsed_hours(c("prev.ts_us"), c("ts_us"))
-    hour_sin, hour_cos = S.cyclic(F.hour("timestamp") + F.minute("timestamp") / 60.0, 24.0)
-    dow_sin, dow_cos = S.cyclic(F.weekday("timestamp"), 7.0)
-    home_km = S.haversine_km(c("home_lat"), c("home_lon"), c("geo_lat"), c("geo_lon"))
-
-    corpus = k.corpus
-    if corpus is not None:
-        res_rarity = surprisal(c("corpus_n_resource"), corpus.n_events)
-        os_rarity = surprisal(c("corpus_n_device_os"), corpus.n_events)
-        res_share = F.coalesce(c("corpus_entities_resource"), F.lit(0)) / float(max(1, corpus.n_entities))
-        kept = lambda x: F.when(x["corpus_n"] >= corpus.min_token_count, x["corpus_n"])
-        denom = F.lit(float(max(1, corpus.token_total) + 1))
-        token_rarity = Q.mean(
-            F.transform("tokens", lambda x: -F.log(F.greatest(F.coalesce(kept(x), F.lit(0)), F.lit(1)) / denom))
+        entity_share = f"coalesce(corpus_entities_resource, 0) / {n_entities}D"
+        denom = float(max(1, c.token_total) + 1)
+        floor = f"greatest(if(x.corpus_n >= {c.min_token_count}, x.corpus_n, 1), 1)"
+        token_rarity = (
+            f"if(size(tokens) > 0, aggregate(tokens, 0D, (a, x) -> a - ln({floor} / {denom}D)) / size(tokens), 0D)"
         )
-        gram_global = Q.share(c("ngrams"), lambda x: x["corpus_n"].isNull())
+        gram_global = "if(size(ngrams) > 0, size(filter(ngrams, x -> x.corpus_n is null)) / size(ngrams), 0D)"
     else:
-        res_rarity = os_rarity = F.lit(0.0)
-        res_share = token_rarity = gram_global = zero
-    token_any = has_any("token", c("snap_tokens") > 0)
-    gram_any = has_any("ngram", c("snap_ngrams") > 0)
-    bo_n, bo_s, bo_q = stat("bytes_out")
-    typical = F.when(bo_n > 0, F.expm1(bo_s / bo_n)).otherwise(zero)
-    log_out, log_in, log_dur = (S.safe_log1p(c(x)) for x in ("bytes_out", "bytes_in", "session_duration"))
-    sids = F.array_distinct(
-        F.concat(F.transform(F.filter(win, lambda x: x["sid"].isNotNull() & (x["sid"] != "")), lambda x: x["sid"]),
-                 F.when(F.coalesce(c("session_id"), F.lit("")) != "", F.array("session_id")).otherwise(F.array().cast("array<string>")))
-    )
-    same = F.when(F.coalesce(c("session_id"), F.lit("")) != "", F.coalesce(c("same_session"), F.array().cast(_type(f, "same_session"))))
-    same = F.coalesce(same, F.array().cast(_type(f, "same_session")))
-    meta_s = F.when(c("own_n") > 0, c("own_sessions")).otherwise(F.coalesce(c("pr_session_count"), F.lit(0)) if has_pr else zero)
-    meta_n = F.when(c("own_n") > 0, c("own_n")).otherwise(F.coalesce(c("pr_event_count"), F.lit(0)) if has_pr else zero)
-
+        rarity, entity_share, token_rarity, gram_global = {"resource": "0D", "device_os": "0D"}, "0D", "0D", "0D"
+    log = P.STAT_SQL
+    meta = {x: f"if(own_n > 0, {own}, {f'coalesce(pr_{x}_count, 0)' if has_pr else '0'})"
+            for x, own in (("session", "own_sessions"), ("event", "own_n"))}
+    hour = "2 * pi() * (hour(timestamp) + minute(timestamp) / 60D) / 24D"
+    dow = "2 * pi() * weekday(timestamp) / 7D"
     out = {
-        "hour_sin": hour_sin, "hour_cos": hour_cos, "dow_sin": dow_sin, "dow_cos": dow_cos,
-        "is_weekend": S.flag(F.weekday("timestamp") >= 5),
-        "hour_likelihood": hist("hour", 24.0),
-        "dow_likelihood": hist("dow", 7.0),
-        "log_seconds_since_prev": log_gap,
-        "is_first_event": S.flag(first),
-        "log_geo_velocity_kmh": F.when(first, zero).otherwise(F.log1p(speed)),
-        "log_distance_from_prev_km": F.when(first, zero).otherwise(F.log1p(dist)),
-        "log_distance_from_home_km": F.coalesce(F.log1p(home_km), zero),
-        "country_likelihood": likelihood("country"), "is_new_country": is_new("country"),
-        "ip_prefix_likelihood": likelihood("ip_prefix"), "is_new_ip_prefix": is_new("ip_prefix"),
-        "resource_likelihood": likelihood("resource"), "is_new_resource": is_new("resource"),
-        "resource_global_rarity": res_rarity, "resource_entity_share": res_share,
-        "window_distinct_resources": F.size("win_res").cast("double"),
-        "window_foreign_resource_ratio": F.when(has_any("resource", live_any), foreign).otherwise(zero),
-        "auth_method_likelihood": likelihood("auth_method"), "is_new_auth_method": is_new("auth_method"),
-        "auth_success": S.flag(c("auth_success")),
-        "window_auth_failures": c("win_fail"),
-        "window_auth_failure_ratio": c("win_fail") / c("win_n"),
-        "auth_failure_rate_delta": c("win_fail") / c("win_n") - fail,
-        "sequence_length": F.size("tokens").cast("double"),
-        "sequence_length_zscore": zscore(F.size("tokens").cast("double"), *stat("seq_len")),
-        "seq_token_novelty_entity": F.when(
-            token_any, Q.share(c("tokens"), lambda x: ~known("token", x["value"], x["seen"]))
-        ).otherwise(zero),
-        "seq_ngram_novelty_entity": F.when(
-            gram_any, Q.share(c("ngrams"), lambda x: ~known("ngram", x["value"], x["seen"]))
-        ).otherwise(zero),
+        "hour_sin": f"sin({hour})", "hour_cos": f"cos({hour})", "dow_sin": f"sin({dow})", "dow_cos": f"cos({dow})",
+        "is_weekend": "if(weekday(timestamp) >= 5, 1D, 0D)",
+        "hour_likelihood": f"if(no_history, 1D, 24D * {share('hour')})",
+        "dow_likelihood": f"if(no_history, 1D, 7D * {share('dow')})",
+        "log_seconds_since_prev": "log_gap",
+        "is_first_event": "if(rn = 1, 1D, 0D)",
+        "log_geo_velocity_kmh": "if(rn = 1, 0D, log1p(dist / (greatest(abs(ts_us - prev.ts_us) / 1e6D, 60D) / 3600D)))",
+        "log_distance_from_prev_km": "if(rn = 1, 0D, log1p(dist))",
+        "log_distance_from_home_km": f"coalesce(log1p({haversine_sql('my_lat', 'my_lon', 'geo_lat', 'geo_lon')}), 0D)",
+        "country_likelihood": share("country"), "is_new_country": is_new("country"),
+        "ip_prefix_likelihood": share("ip_prefix"), "is_new_ip_prefix": is_new("ip_prefix"),
+        "resource_likelihood": share("resource"), "is_new_resource": is_new("resource"),
+        "resource_global_rarity": rarity["resource"], "resource_entity_share": entity_share,
+        "window_distinct_resources": "size(win_res)",
+        "window_foreign_resource_ratio":
+            f"if({_has_any(has_st, has_pr, 'resource', 'snap_n > 0')}, "
+            f"size(filter(win_res, p -> not coalesce({known_res}, false))) / size(win_res), 0D)",
+        "auth_method_likelihood": share("auth_method"), "is_new_auth_method": is_new("auth_method"),
+        "auth_success": "if(auth_success, 1D, 0D)",
+        "window_auth_failures": "win_fail",
+        "window_auth_failure_ratio": "win_fail / win_n",
+        "auth_failure_rate_delta": "win_fail / win_n - my_fail",
+        "sequence_length": "size(tokens)",
+        "sequence_length_zscore": z("size(tokens)", "seq_len"),
+        "seq_token_novelty_entity": novelty("token"), "seq_ngram_novelty_entity": novelty("ngram"),
         "seq_ngram_novelty_global": gram_global, "seq_token_rarity_global": token_rarity,
         "is_new_device_mac": is_new("device_mac"), "is_new_device_os": is_new("device_os"),
-        "protocol_likelihood": likelihood("protocol"),
-        "device_changed_from_prev": S.flag(c("prev.device_mac") != c("device_mac")),
-        "device_os_global_rarity": os_rarity,
-        "log_bytes_out": log_out, "bytes_out_zscore": zscore(log_out, bo_n, bo_s, bo_q),
-        "log_bytes_in": log_in, "bytes_in_zscore": zscore(log_in, *stat("bytes_in")),
-        "log_session_duration": log_dur, "session_duration_zscore": zscore(log_dur, *stat("duration")),
-        "log_window_bytes_out": F.log1p(F.greatest(zero, c("win_out"))),
-        "window_bytes_out_ratio": F.when(typical > 1.0, c("win_out") / typical).otherwise(zero),
-        "window_event_count": c("win_n"),
-        "window_events_per_minute": c("win_n") / F.lit(max(1.0, float(s.window_minutes))),
-        "window_distinct_sessions": F.size(sids).cast("double"),
-        "interval_zscore": F.when(first, zero).otherwise(zscore(log_gap, *stat("interval"))),
-        "session_event_index": F.size(same).cast("double"),
-        "session_distinct_resources": F.size(
-            F.array_distinct(F.concat(F.transform(same, lambda x: x["res"]), F.array("resource_accessed")))
-        ).cast("double"),
-        "session_auth_failures": F.size(F.filter(same, lambda x: ~x["ok"])) + S.flag(~c("auth_success")),
-        "is_new_session": F.when(F.coalesce(c("session_id"), F.lit("")) == "", one).otherwise(c("_first_in_session")),
-        "log_entity_session_count": F.log1p(meta_s.cast("double")),
-        "log_entity_event_count": F.log1p(meta_n.cast("double")),
-        "cold_start": S.flag(c("is_cold")),
-        "profile_confidence": c("confidence"),
+        "protocol_likelihood": share("protocol"),
+        "device_changed_from_prev": "if(prev.device_mac <> device_mac, 1D, 0D)",
+        "device_os_global_rarity": rarity["device_os"],
+        "log_bytes_out": log["bytes_out"], "bytes_out_zscore": z(log["bytes_out"], "bytes_out"),
+        "log_bytes_in": log["bytes_in"], "bytes_in_zscore": z(log["bytes_in"], "bytes_in"),
+        "log_session_duration": log["duration"], "session_duration_zscore": z(log["duration"], "duration"),
+        "log_window_bytes_out": "log1p(greatest(0D, win_out))",
+        "window_bytes_out_ratio": "if(typical > 1D, win_out / typical, 0D)",
+        "window_event_count": "win_n",
+        "window_events_per_minute": f"win_n / {max(1.0, float(s.window_minutes))}D",
+        "window_distinct_sessions":
+            "size(array_distinct(concat(transform(filter(win, x -> coalesce(x.sid, '') <> ''), x -> x.sid), "
+            f"if({sid} = '', array(), array(session_id)))))",
+        "interval_zscore": f"if(rn = 1, 0D, {z('log_gap', 'interval')})",
+        "session_event_index": "size(same)",
+        "session_distinct_resources": "size(array_distinct(concat(transform(same, x -> x.res), array(resource_accessed))))",
+        "session_auth_failures": "size(filter(same, x -> not x.ok)) + if(auth_success, 0, 1)",
+        "is_new_session": f"if({sid} = '', 1D, _first_in_session)",
+        "log_entity_session_count": f"log1p({meta['session']})",
+        "log_entity_event_count": f"log1p({meta['event']})",
+        "cold_start": f"if(own_n = 0 or own_sessions < {s.min_sessions}, 1D, 0D)",
+        "profile_confidence": "w",
     }
-    ids = [x for x in ID_COLUMNS if x in f.columns]
-    source = (
-        F.when(no_own(c), F.lit("cohort"))
-        .when(c("w") >= 1, F.lit("entity"))
-        .otherwise(F.lit("entity+cohort"))
-        if has_pr
-        else F.when(no_own(c), F.lit("global")).when(c("w") >= 1, F.lit("entity")).otherwise(F.lit("entity+global"))
-    )
-    if has_pr:
-        source = F.when(c("prior_cohort") >= 0, source).otherwise(F.regexp_replace(source, "cohort", "global"))
-    return f.select(
-        *[c(x) for x in ids],
+    group = "if(prior_cohort >= 0, 'cohort', 'global')" if has_pr else "'global'"
+    return f.selectExpr(
+        *[x for x in ID_COLUMNS if x in f.columns],
         "rn",
-        *[out[n].cast("double").alias(n if n not in f.columns else f"f_{n}") for n in NUMERIC],
-        *[c(x).alias(f"c_{x}") for x in CATEGORICAL if x != "cohort"],
-        F.coalesce(c("cohort").cast("string"), F.lit("unknown")).alias("c_cohort"),
-        F.transform("tokens", lambda x: x["value"]).alias("tokens"),
-        source.alias("profile_source"),
-    ).withColumnsRenamed({f"f_{n}": n for n in NUMERIC})
-
-
-def no_own(c) -> Column:
-    return c("own_n") == 0
-
-
-def _type(df: DataFrame, name: str) -> str:
-    return dict(df.dtypes)[name]
+        *[f"cast({out[n]} AS double) AS {n}" for n in NUMERIC if n in names],
+        *[f"{x} AS c_{x}" for x in CATEGORICAL if x != "cohort"],
+        "coalesce(cast(cohort AS string), 'unknown') AS c_cohort",
+        "transform(tokens, x -> x.value) AS tokens",
+        f"CASE WHEN own_n = 0 THEN {group} WHEN w >= 1 THEN 'entity' ELSE concat('entity+', {group}) END AS profile_source",
+    )

@@ -12,8 +12,7 @@ total rows / group limit, so they can be broadcast.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +30,14 @@ class Ordered:
     id: str
     sliced: bool
     settings: Settings
+    reach: int  # no trailing window of this table holds more rows than this
 
     @property
     def part(self) -> list[str]:
         return [self.key, "slice"] if self.sliced else [self.key]
 
     def with_frame(self, frame: DataFrame) -> "Ordered":
-        return Ordered(frame, self.key, self.us, self.id, self.sliced, self.settings)
+        return replace(self, frame=frame)
 
     def by_row(self):
         return Window.partitionBy(*self.part).orderBy(self.us, self.id)
@@ -64,9 +64,18 @@ def order_events(
 ) -> Ordered:
     halo = settings.window_cap + 1 if halo is None else halo
     every = settings.refresh_every
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.agg(F.sum("n"), F.max("n")).first()
+    # One pass over two columns: rows per entity, and per entity and window-sized time bin. A window
+    # touches at most two neighbouring bins, which bounds how many rows any trailing frame needs.
+    span = settings.window_minutes * 60_000_000
+    per_bin = df.groupBy(key, F.expr(f"{us} div {span}").alias("tb")).agg(F.count(F.lit(1)).alias("n"))
+    by_bin = Window.partitionBy(key).orderBy("tb")
+    before_bin = F.when(F.lag("tb").over(by_bin) == F.col("tb") - 1, F.lag("n").over(by_bin)).otherwise(0)
+    counts = per_bin.withColumn("two", F.col("n") + before_bin).groupBy(key).agg(
+        F.sum("n").alias("n"), F.max("two").alias("two")
+    )
+    stats = counts.agg(F.sum("n"), F.max("n"), F.max("two")).first()
     total, biggest = stats[0] or 0, stats[1] or 0
+    reach = int(min(settings.window_cap, (stats[2] or 0) + 1))
     limit = settings.group_limit(total)
     blk = F.floor((F.col("rn") - 2) / F.lit(float(every))).cast("bigint")
 
@@ -74,7 +83,7 @@ def order_events(
         rn = F.row_number().over(Window.partitionBy(key).orderBy(us, id)).cast("bigint")
         frame = df.withColumn("rn", rn).withColumn("blk", blk)
         frame = frame.withColumn("slice", F.lit(0).cast("bigint")).withColumn("halo", F.lit(False))
-        return Ordered(frame, key, us, id, False, settings)
+        return Ordered(frame, key, us, id, False, settings, reach)
 
     # At most total/limit entities are oversized, so this list is bounded.
     hot = counts.filter(F.col("n") > limit).select(key)
@@ -110,31 +119,38 @@ def order_events(
         .withColumn("halo", F.col("_place.halo"))
         .drop("_place", "_own", "_hot")
     )
-    return Ordered(frame, key, us, id, True, settings)
-
+    return Ordered(frame, key, us, id, True, settings, reach)
 
-def running(o: Ordered, sums: dict[str, Column], frame: str = "before") -> Ordered:
-    """Add running sums per entity.
 
-    ``before``: strictly earlier rows; ``through``: earlier rows and this one; ``block``: rows of
-    strictly earlier snapshot blocks (what a profile snapshot has seen).
-    """
+def over(o: Ordered, frame: str, *extra: str) -> str:
+    """Window clause in SQL. ``before``: strictly earlier rows; ``through``: those and this row;
+    ``block``: rows of strictly earlier snapshot blocks (what a profile snapshot has seen)."""
+    part = ", ".join([*o.part, *extra])
     if frame == "block":
-        w = o.by_block().rangeBetween(Window.unboundedPreceding, -1)
-    else:
-        w = o.by_row().rowsBetween(Window.unboundedPreceding, -1 if frame == "before" else 0)
-    zero = F.lit(0.0)
-    inner = {n: F.coalesce(F.sum(o.own(c)).over(w), zero) for n, c in sums.items()}
+        return f"OVER (PARTITION BY {part} ORDER BY blk RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    end = "1 PRECEDING" if frame == "before" else "CURRENT ROW"
+    return f"OVER (PARTITION BY {part} ORDER BY {o.us}, {o.id} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
+
+
+def running(o: Ordered, sums: dict[str, str], frame: str = "before") -> Ordered:
+    """Add running sums per entity of the given SQL expressions."""
+    w = over(o, frame)
+
+    def own(x):
+        return f"if(halo, null, {x})" if o.sliced else x
+
+    inner = [f"coalesce(sum({own(x)}) {w}, 0) AS {n}" for n, x in sums.items()]
+    out = o.frame.selectExpr("*", *inner)
     if not o.sliced:
-        return o.with_frame(o.frame.withColumns(inner))
-    per = o.rows().groupBy(o.key, "slice").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    earlier = Window.partitionBy(o.key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(
-        o.key, "slice", *[F.coalesce(F.sum(n).over(earlier), zero).alias(f"_carry_{n}") for n in sums]
-    ).filter(F.col("slice") > 0)
-    out = o.frame.withColumns(inner).join(F.broadcast(carry), [o.key, "slice"], "left")
-    out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_carry_{n}"), zero) for n in sums})
-    return o.with_frame(out.drop(*[f"_carry_{n}" for n in sums]))
+        return o.with_frame(out)
+    per = o.rows().groupBy(o.key, "slice").agg(*[F.expr(f"sum({x}) AS {n}") for n, x in sums.items()])
+    earlier = f"OVER (PARTITION BY {o.key} ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = per.selectExpr(
+        o.key, "slice", *[f"coalesce(sum({n}) {earlier}, 0) AS _carry_{n}" for n in sums]
+    ).filter("slice > 0")
+    out = out.join(F.broadcast(carry), [o.key, "slice"], "left")
+    plain = [c for c in out.columns if c not in sums and not c.startswith("_carry_")]
+    return o.with_frame(out.selectExpr(*plain, *[f"{n} + coalesce(_carry_{n}, 0) AS {n}" for n in sums]))
 
 
 def previous(o: Ordered, *cols: str) -> Ordered:
@@ -142,15 +158,15 @@ def previous(o: Ordered, *cols: str) -> Ordered:
     return o.with_frame(o.frame.withColumn("prev", F.lag(F.struct(*cols)).over(o.by_row())))
 
 
-def trailing(o: Ordered, fields: dict[str, Column], name: str = "recent") -> Ordered:
-    """Structs of the last ``window_cap`` earlier rows, oldest first, as an array column.
+def trailing(o: Ordered, fields: dict[str, str], name: str = "recent") -> Ordered:
+    """Structs of the earlier rows any trailing window can hold, oldest first, as an array column.
 
     The frame is bounded by row count; time cut-offs are applied to the array by the caller,
     because two different ones are in use (this row's time, and the previous row's).
     """
-    w = o.by_row().rowsBetween(-o.settings.window_cap, -1)
-    item = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return o.with_frame(o.frame.withColumn(name, F.collect_list(item).over(w)))
+    item = ", ".join(f"'{n}', {x}" for n, x in fields.items())
+    w = f"OVER (PARTITION BY {', '.join(o.part)} ORDER BY {o.us}, {o.id} ROWS BETWEEN {max(1, o.reach)} PRECEDING AND 1 PRECEDING)"
+    return o.with_frame(o.frame.selectExpr("*", f"collect_list(named_struct({item})) {w} AS {name}"))
 
 
 def first_of(o: Ordered, value: str, name: str) -> Ordered:
@@ -173,11 +189,6 @@ def first_of(o: Ordered, value: str, name: str) -> Ordered:
 def gap_groups(o: Ordered, gap_us: int, name: str = "group_no") -> Ordered:
     """Number the runs of an entity's rows that are never more than ``gap_us`` apart (inclusive)."""
     o = previous(o, o.us)
-    starts = F.when(F.col("prev").isNull() | (F.col(o.us) - F.col(f"prev.{o.us}") > gap_us), 1).otherwise(0)
-    o = o.with_frame(o.frame.withColumn("_starts", starts))
-    o = running(o, {name: F.col("_starts")}, "through")
+    o = o.with_frame(o.frame.selectExpr("*", f"if(prev is null or {o.us} - prev.{o.us} > {gap_us}, 1, 0) AS _starts"))
+    o = running(o, {name: "_starts"}, "through")
     return o.with_frame(o.frame.withColumn(name, F.col(name).cast("bigint")).drop("_starts", "prev"))
-
-
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

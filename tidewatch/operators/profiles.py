@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.functions import scalar as S
-from tidewatch.functions import sequences as Q
-from tidewatch.operators.ordering import Ordered, order_events, previous
+from tidewatch.operators.ordering import Ordered, order_events, over, previous
 
 SINGLE_DIMS = (
     "hour", "dow", "country", "ip_prefix", "resource", "auth_method", "device_mac", "device_os", "protocol",
@@ -22,62 +21,74 @@ DIMS = SINGLE_DIMS + BAG_DIMS
 STATS = ("bytes_out", "bytes_in", "duration", "interval", "seq_len")
 
 
-def single_values() -> dict[str, Column]:
-    c = F.col
-    return {
-        "hour": F.hour("timestamp").cast("string"),
-        "dow": F.weekday("timestamp").cast("string"),
-        "country": c("geo_country"),
-        "ip_prefix": S.ip_prefix(c("source_ip")),
-        "resource": c("resource_accessed"),
-        "auth_method": c("auth_method"),
-        "device_mac": c("device_mac"),
-        "device_os": c("device_os"),
-        "protocol": c("device_protocol"),
-    }
-
-
-def dim_values(ngram_n: int = 2) -> Column:
-    """Array of (dim, pos, value) of one event: nine single values, its tokens and its n-grams."""
-    singles = [
-        F.struct(F.lit(d).alias("dim"), F.lit(0).alias("pos"), v.alias("value"))
-        for d, v in single_values().items()
-    ]
+# What each single-valued dimension of an event is, in SQL.
+SINGLE_SQL = {
+    "hour": "cast(hour(timestamp) AS string)",
+    "dow": "cast(weekday(timestamp) AS string)",
+    "country": "geo_country",
+    "ip_prefix": "if(size(split(source_ip, '[.]')) < 3, source_ip, substring_index(source_ip, '.', 3))",
+    "resource": "resource_accessed",
+    "auth_method": "auth_method",
+    "device_mac": "device_mac",
+    "device_os": "device_os",
+    "protocol": "device_protocol",
+}
+
+
+def _bag_sql(dim: str, ngram_n: int) -> str:
+    clean = "filter(coalesce(command_sequence, array()), t -> t is not null and t <> '')"
+    if dim == "token":
+        return clean
+    if ngram_n <= 1:
+        return clean
+    grams = f"transform(sequence(1, size(c) - {ngram_n - 1}), i -> array_join(slice(c, i, {ngram_n}), '>'))"
+    body = f"if(size(c) >= {ngram_n}, {grams}, cast(array() AS array<string>))"
+    return f"transform(array({clean}), c -> {body})[0]"
+
+
+def dim_values(ngram_n: int = 2, dims=DIMS) -> str:
+    """SQL for the array of (dim, pos, value) of one event: single values, tokens and n-grams."""
+    singles = ", ".join(
+        f"named_struct('dim', '{d}', 'pos', 0, 'value', {SINGLE_SQL[d]})" for d in dims if d in SINGLE_SQL
+    )
+    parts = [f"array({singles})"] if singles else []
+    for d in dims:
+        if d in BAG_DIMS:
+            parts.append(
+                f"transform({_bag_sql(d, ngram_n)}, (v, i) -> named_struct('dim', '{d}', 'pos', cast(i AS int), 'value', v))"
+            )
+    return f"concat({', '.join(parts)})"
 
-    def bag(dim, arr):
-        return F.transform(
-            arr, lambda v, i: F.struct(F.lit(dim).alias("dim"), i.cast("int").alias("pos"), v.alias("value"))
-        )
 
-    tokens = Q.clean(F.coalesce(F.col("command_sequence"), F.array().cast("array<string>")))
-    return F.concat(F.array(*singles), bag("token", tokens), bag("ngram", Q.ngrams(tokens, ngram_n)))
+def exploded(df: DataFrame, keep: list[str], ngram_n: int = 2, dims=DIMS) -> DataFrame:
+    long = df.selectExpr(*keep, f"explode({dim_values(ngram_n, dims)}) AS d")
+    return long.selectExpr(*keep, "d.dim AS dim", "d.pos AS pos", "d.value AS value")
 
 
-def stat_values() -> dict[str, Column]:
-    """The five numeric signals with running statistics; ``interval`` needs the ``prev`` column."""
-    c = F.col
-    gap = F.greatest(F.lit(0.0), (c("ts_us") - c("prev.ts_us")) / F.lit(1e6))
-    return {
-        "bytes_out": S.safe_log1p(c("bytes_out")),
-        "bytes_in": S.safe_log1p(c("bytes_in")),
-        "duration": S.safe_log1p(c("session_duration")),
-        "interval": F.when(c("prev").isNotNull(), F.log1p(gap)),
-        "seq_len": F.size(F.coalesce(c("command_sequence"), F.array().cast("array<string>"))).cast("double"),
-    }
+# The five numeric signals with running statistics; ``interval`` needs the ``prev`` column.
+STAT_SQL = {
+    "bytes_out": "log1p(greatest(0D, coalesce(bytes_out, 0D)))",
+    "bytes_in": "log1p(greatest(0D, coalesce(bytes_in, 0D)))",
+    "duration": "log1p(greatest(0D, coalesce(session_duration, 0D)))",
+    "interval": "if(prev is null, null, log1p(greatest(0D, (ts_us - prev.ts_us) / 1e6D)))",
+    "seq_len": "cast(size(coalesce(command_sequence, array())) AS double)",
+}
 
 
-def stat_sums() -> dict[str, Column]:
+def stat_sums() -> dict[str, str]:
     out = {}
-    for name, v in stat_values().items():
-        out[f"{name}_n"] = F.when(v.isNotNull(), F.lit(1.0))
+    for name, v in STAT_SQL.items():
+        out[f"{name}_n"] = f"if({v} is null, null, 1D)"
         out[f"{name}_s"] = v
-        out[f"{name}_q"] = v * v
+        out[f"{name}_q"] = f"({v}) * ({v})"
     return out
 
 
-def unit_vector() -> dict[str, Column]:
-    phi, lam = F.radians("geo_lat"), F.radians("geo_lon")
-    return {"ux": F.cos(phi) * F.cos(lam), "uy": F.cos(phi) * F.sin(lam), "uz": F.sin(phi)}
+UNIT_SQL = {
+    "ux": "cos(radians(geo_lat)) * cos(radians(geo_lon))",
+    "uy": "cos(radians(geo_lat)) * sin(radians(geo_lon))",
+    "uz": "sin(radians(geo_lat))",
+}
 
 
 def centroid(x, y, z, n, first_lat, first_lon) -> tuple[Column, Column]:
@@ -97,7 +108,7 @@ def centroid(x, y, z, n, first_lat, first_lon) -> tuple[Column, Column]:
 
 def value_counts(events: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """(keys, dim, value, n). Partial sums happen before the shuffle, so a hot key costs one row per task."""
-    long = events.select(*keys, F.explode(dim_values(settings.ngram_n)).alias("d")).select(*keys, "d.dim", "d.value")
+    long = exploded(events, keys, settings.ngram_n)
     return long.filter(F.col("value").isNotNull()).groupBy(*keys, "dim", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -138,9 +149,8 @@ def numbered_events(events: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _home(points: DataFrame, keys: list[str], order: str) -> DataFrame:
-    u = unit_vector()
     agg = points.groupBy(*keys).agg(
-        *[F.sum(c).alias(n) for n, c in u.items()],
+        *[F.expr(f"sum({x}) AS {n}") for n, x in UNIT_SQL.items()],
         F.count(F.lit(1)).alias("n_points"),
         F.min_by(F.struct("geo_lat", "geo_lon"), order).alias("p0"),
         F.collect_list(F.struct("geo_lat", "geo_lon")).alias("points"),
@@ -164,7 +174,7 @@ def profile_rows(numbered: DataFrame, keys: list[str], settings: Settings = DEFA
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
         F.avg(F.when(F.col("auth_success"), 0.0).otherwise(1.0)).alias("failure_rate"),
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in stat_sums().items()],
+        *[F.expr(f"coalesce(sum({x}), 0D) AS {n}") for n, x in stat_sums().items()],
     )
     if geo_by_group:
         # Groups take their members' first points, members in order of first appearance.
@@ -199,45 +209,63 @@ def priors(events: DataFrame, assignments: DataFrame, settings: Settings = DEFAU
 # --------------------------------------------------------------------------- #
 
 
-def snapshot_values(o: Ordered) -> DataFrame:
-    """Long table of every event's values with what the entity's live snapshot knows of them.
+def value_columns(o: Ordered) -> Ordered:
+    """Adds ``v_<dim>`` for the single-valued dimensions."""
+    return o.with_frame(o.frame.selectExpr("*", *[f"{x} AS v_{d}" for d, x in SINGLE_SQL.items()]))
+
+
+def snapshot_seen(o: Ordered, first_of: tuple[str, ...] = ("resource",)) -> Ordered:
+    """Adds ``seen_<dim>``: how often the live snapshot has seen this event's value, and
+    ``first_rn_<dim>``: the row number of the value's first occurrence for the entity.
 
-    ``seen``: occurrences in strictly earlier snapshot blocks; ``first_rn``: the row number of the
-    value's first occurrence for the entity.
+    The frames add the value to the partition columns; rows are already clustered by entity (and
+    slice), so each costs a sort inside the task and no exchange.
     """
-    cols = [*o.part, o.id, "rn", "blk", "halo"]
-    long = o.frame.select(*cols, F.explode(dim_values(o.settings.ngram_n)).alias("d")).select(
-        *cols, F.col("d.dim").alias("dim"), F.col("d.pos").alias("pos"), F.col("d.value").alias("value")
-    )
-    by_value = Window.partitionBy(*o.part, "dim", "value")
-    seen = F.count(o.own(F.lit(1))).over(by_value.orderBy("blk").rangeBetween(Window.unboundedPreceding, -1))
-    first = F.min("rn").over(by_value)
-    long = long.withColumn("seen", seen).withColumn("first_rn", first)
+    one = "if(halo, null, 1)" if o.sliced else "1"
+    cols = [f"count({one}) {over(o, 'block', 'v_' + d)} AS seen_{d}" for d in SINGLE_DIMS]
+    cols += [f"min(rn) OVER (PARTITION BY {', '.join([*o.part, 'v_' + d])}) AS first_rn_{d}" for d in first_of]
+    frame = o.frame.selectExpr("*", *cols)
     if not o.sliced:
-        return long
-    per = value_slice_counts(o)
-    long = long.join(per.select(o.key, "slice", "dim", "value", "earlier", "earlier_rn"), [o.key, "slice", "dim", "value"], "left")
-    return (
-        long.withColumn("seen", F.col("seen") + F.coalesce("earlier", F.lit(0)))
-        .withColumn("first_rn", F.least("first_rn", "earlier_rn"))
-        .drop("earlier", "earlier_rn")
+        return o.with_frame(frame)
+    long = exploded(o.frame, [o.key, "slice", o.id], o.settings.ngram_n, SINGLE_DIMS)
+    long = long.join(_earlier(o, SINGLE_DIMS), [o.key, "slice", "dim", "value"], "left")
+    picks = [F.expr(f"max(if(dim = '{d}', earlier, null)) AS e_{d}") for d in SINGLE_DIMS]
+    picks += [F.expr(f"max(if(dim = '{d}', earlier_rn, null)) AS r_{d}") for d in first_of]
+    carry = long.groupBy(o.key, "slice", o.id).agg(*picks)
+    frame = frame.join(carry, [o.key, "slice", o.id], "left")
+    changed = {f"seen_{d}" for d in SINGLE_DIMS} | {f"first_rn_{d}" for d in first_of}
+    plain = [c for c in frame.columns if c not in changed and c[:2] not in ("e_", "r_")]
+    return o.with_frame(
+        frame.selectExpr(
+            *plain,
+            *[f"seen_{d} + coalesce(e_{d}, 0) AS seen_{d}" for d in SINGLE_DIMS],
+            *[f"least(first_rn_{d}, r_{d}) AS first_rn_{d}" for d in first_of],
+        )
     )
 
 
-def value_slice_counts(o: Ordered) -> DataFrame:
-    """Per (entity, slice, dim, value): rows in the slice (halo included for presence) and before it."""
-    long = o.frame.select(
-        o.key, "slice", "halo", "rn", F.explode(dim_values(o.settings.ngram_n)).alias("d")
-    ).select(o.key, "slice", "halo", "rn", "d.dim", "d.value")
+def _earlier(o: Ordered, dims) -> DataFrame:
+    """Per (entity, slice, dim, value) present in a slice: occurrences in the slices before it."""
+    long = exploded(o.frame, [o.key, "slice", "halo", "rn"], o.settings.ngram_n, dims)
     per = long.groupBy(o.key, "slice", "dim", "value").agg(
-        F.count(F.when(~F.col("halo"), 1)).alias("n"), F.min("rn").alias("rn0")
+        F.expr("count(if(halo, null, 1)) AS n"), F.min("rn").alias("rn0")
     )
-    earlier = Window.partitionBy(o.key, "dim", "value").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn(
-        "earlier_rn", F.min("rn0").over(earlier)
+    w = f"OVER (PARTITION BY {o.key}, dim, value ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return per.selectExpr(
+        o.key, "slice", "dim", "value", f"coalesce(sum(n) {w}, 0) AS earlier", f"min(rn0) {w} AS earlier_rn"
     )
 
 
+def snapshot_bags(o: Ordered) -> DataFrame:
+    """Long table of every event's tokens and n-grams with ``seen`` as of its snapshot."""
+    long = exploded(o.rows(), [*o.part, o.id, "blk"], o.settings.ngram_n, BAG_DIMS)
+    long = long.selectExpr("*", f"count(1) {over(o, 'block', 'dim', 'value')} AS seen")
+    if not o.sliced:
+        return long
+    long = long.join(_earlier(o, BAG_DIMS), [o.key, "slice", "dim", "value"], "left")
+    return long.withColumn("seen", F.expr("seen + coalesce(earlier, 0)")).drop("earlier", "earlier_rn")
+
+
 _CUT_SCHEMA = (
     "{key} {key_type}, slice bigint, dim string, blk bigint, cut_n bigint, cut_value string, "
     "top_total bigint, top_values array<string>"
@@ -254,19 +282,20 @@ def snapshot_cuts(o: Ordered) -> DataFrame:
     """
     s, key = o.settings, o.key
     limits = {d: k for d, k in s.top_values.items()}
-    long = o.rows().select(key, "slice", "blk", F.explode(dim_values(s.ngram_n)).alias("d")).select(
-        key, "slice", "blk", "d.dim", "d.value"
-    )
-    long = long.filter(F.col("dim").isin(*limits) & F.col("value").isNotNull())
-    cells = long.groupBy(key, "slice", "dim", "blk", "value").agg(F.count(F.lit(1)).alias("n"))
-    limit = F.lit(None).cast("int")
-    for d, k in limits.items():
-        limit = F.when(F.col("dim") == d, F.lit(k)).otherwise(limit)
-    wide = (
-        cells.select(key, "dim", "value").distinct().groupBy(key, "dim").agg(F.count(F.lit(1)).alias("nv"))
-        .filter(F.col("nv") > limit).select(key, "dim")
-    )
-    cells = cells.join(wide, [key, "dim"], "left_semi")
+    long = exploded(o.rows(), [key, "slice", "blk"], s.ngram_n, tuple(d for d in DIMS if d in limits))
+    cells = long.filter("value is not null").groupBy(key, "slice", "dim", "blk", "value").agg(F.count(F.lit(1)).alias("n"))
+    limit_sql = "CASE dim " + " ".join(f"WHEN '{d}' THEN {k}" for d, k in limits.items()) + " END"
+    limit = F.expr(limit_sql)
+    if o.sliced:
+        wide = (
+            cells.select(key, "dim", "value").distinct().groupBy(key, "dim").agg(F.count(F.lit(1)).alias("nv"))
+            .filter(F.col("nv") > limit).select(key, "dim")
+        )
+        cells = cells.join(wide, [key, "dim"], "left_semi")
+    else:
+        new = f"if(row_number() OVER (PARTITION BY {key}, dim, value ORDER BY blk) = 1, 1, 0) AS new"
+        cells = cells.selectExpr("*", new).selectExpr("*", f"sum(new) OVER (PARTITION BY {key}, dim) AS nv")
+        cells = cells.filter(F.col("nv") > limit)
     before = F.lit(-2).cast("bigint")  # marks counts carried into a slice
     cells = cells.select(key, "slice", "dim", "blk", "value", "n")
     if o.sliced:
