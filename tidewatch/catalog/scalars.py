@@ -57,7 +57,7 @@ def train_split_in_order(spark, sf):
 @query(
     "lenient_coercion",
     """SELECT event_id, round(value * 1000, 2) AS as_number, round(value, 2) AS as_percent,
-       CAST(trunc(value * 1000) AS BIGINT) AS as_int,
+       CAST(trunc(round(value * 1000, 2)) AS BIGINT) AS as_int,
        CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN 'false' WHEN 'error' THEN 'true' WHEN 'purchase' THEN 'false' ELSE 'rejected' END AS as_flag,
        true AS garbage_rejected FROM events""",
 )
