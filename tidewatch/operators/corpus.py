@@ -113,7 +113,7 @@ def vocabulary(corpus: Corpus) -> DataFrame:
     kept = corpus.counts.filter((F.col("dim") == "token") & (F.col("n") >= corpus.min_token_count))
     # Prefix buckets would be needed beyond ~10M distinct tokens; commands are a small language.
     w = Window.partitionBy("dim").orderBy(F.desc("n"), "value")
-    return kept.select(F.col("value").alias("token"), (F.row_number().over(w) + 2).alias("id"), "n")
+    return kept.select(F.col("value").alias("token"), (F.row_number().over(w) + 2).cast("bigint").alias("id"), "n")
 
 
 def encode_sequences(events: DataFrame, vocab: DataFrame, settings: Settings = DEFAULTS, id: str = "event_id") -> DataFrame:
@@ -121,9 +121,41 @@ def encode_sequences(events: DataFrame, vocab: DataFrame, settings: Settings = D
     tokens = events.select(id, F.posexplode(Q.clean(F.col("command_sequence"))).alias("pos", "token"))
     coded = tokens.join(vocab.select("token", F.col("id").alias("_id")), "token", "left")
     ids = coded.groupBy(id).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(Q.UNK_ID)).alias("i")))).alias("_ids")
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(Q.UNK_ID)).cast("int").alias("i")))).alias("_ids")
     )
     joined = events.join(ids, id, "left")
     plain = F.transform(F.coalesce("_ids", F.array().cast("array<struct<pos:int,i:int>>")), lambda s: s["i"])
     full = F.concat(F.array(F.lit(Q.BOS_ID)), plain)
     return joined.withColumn("sequence_ids", Q.pad_left(full, settings.sequence_len)).drop("_ids")
+
+
+def decode(coded: DataFrame, vocab: DataFrame, id: str = "event_id") -> DataFrame:
+    """Adds ``decoded``: the tokens behind ``sequence_ids``, reserved ids left out."""
+    ids = coded.select(id, F.posexplode("sequence_ids").alias("pos", "_id"))
+    named = ids.join(vocab.select("token", F.col("id").alias("_id")), "_id")
+    back = named.groupBy(id).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("decoded")
+    )
+    return coded.join(back, id, "left")
+
+
+def unknown_ratio(sequence_ids: Column) -> Column:
+    """Share of unknown tokens among the real ones of an encoded sequence."""
+    real = F.filter(sequence_ids, lambda i: (i != Q.PAD_ID) & (i != Q.BOS_ID))
+    return Q.share(real, lambda i: i == Q.UNK_ID)
+
+
+def sequence_rarity(events: DataFrame, corpus: Corpus, id: str = "event_id", ngram_n: int = 2) -> DataFrame:
+    """Mean token rarity, mean n-gram rarity and global n-gram novelty of every event's commands."""
+    long = exploded(events, [id], ngram_n, ("token", "ngram")).join(
+        corpus.counts.select("dim", "value", F.col("n").alias("known")), ["dim", "value"], "left"
+    )
+    kept = f"if(dim = 'token' and known < {corpus.min_token_count}, 0, coalesce(known, 0))"
+    total = f"if(dim = 'token', {max(1, corpus.token_total) + 1}D, {max(1, corpus.ngram_total) + 1}D)"
+    rare = long.selectExpr(id, "dim", "known", f"-ln(greatest({kept}, 1) / {total}) AS x")
+    out = rare.groupBy(id).agg(
+        F.expr("coalesce(avg(if(dim = 'token', x, null)), 0D) AS token_rarity"),
+        F.expr("coalesce(avg(if(dim = 'ngram', x, null)), 0D) AS ngram_rarity"),
+        F.expr("coalesce(avg(if(dim = 'ngram', if(known is null, 1D, 0D), null)), 0D) AS ngram_novelty"),
+    )
+    return events.select(id).join(out, id, "left").na.fill(0.0)

@@ -168,7 +168,7 @@ def _home(points: DataFrame, keys: list[str], order: str) -> DataFrame:
 def profile_rows(numbered: DataFrame, keys: list[str], settings: Settings = DEFAULTS, geo_by_group: bool = False) -> DataFrame:
     """Profiles for any grouping of events: per entity, per cohort, or overall."""
     base = numbered.groupBy(*keys).agg(
-        F.min("entity_type").alias("entity_type"),
+        *([] if "entity_type" in keys else [F.min("entity_type").alias("entity_type")]),
         F.count(F.lit(1)).alias("event_count"),
         F.countDistinct("session_id").alias("session_count"),
         F.min("ts_us").alias("first_us"),
@@ -375,3 +375,66 @@ def cut_maps(cuts: DataFrame, key: str) -> DataFrame:
     ]
     tops = F.first(F.when(F.col("dim") == "resource", F.col("top_values")), ignorenulls=True).alias("top_resources")
     return cuts.groupBy(key, "slice", "blk").agg(*picks, tops)
+
+
+# --------------------------------------------------------------------------- #
+# Blending finished profiles
+# --------------------------------------------------------------------------- #
+
+
+def pooled(events: DataFrame) -> DataFrame:
+    """Counts and means per entity, per type and overall from one pass of grouping sets."""
+    e = events.selectExpr("entity_id", "entity_type", "session_id", "if(auth_success, 0D, 1D) AS fail", f"{STAT_SQL['bytes_out']} AS bo")
+    return e.groupingSets([["entity_id"], ["entity_type"], []], "entity_id", "entity_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("sessions"),
+        F.avg("bo").alias("bytes_out_mean"), F.avg("fail").alias("failure_rate"),
+    )
+
+
+def blend_map_sql(a: str, b: str, w: str) -> str:
+    """Convex blend of two share maps over the union of their keys."""
+    none = "cast(map() AS map<string,double>)"
+    return (
+        f"CASE WHEN {w} >= 1 THEN coalesce({a}, {none}) WHEN {w} <= 0 THEN coalesce({b}, {none}) ELSE "
+        f"map_zip_with(coalesce({a}, {none}), coalesce({b}, {none}), (k, x, y) -> {w} * coalesce(x, 0D) + (1 - {w}) * coalesce(y, 0D)) END"
+    )
+
+
+def _stat_columns() -> list[str]:
+    return [f"{n}_{x}" for n in STATS for x in "nsq"]
+
+
+def merged(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Persisted profile extended by the evidence since: counts and sums add, shares blend by events."""
+    j = stored.alias("s").join(live.alias("l"), "entity_id", "full").withColumn(
+        "w", F.expr("coalesce(s.event_count, 0) / (coalesce(s.event_count, 0) + coalesce(l.event_count, 0))")
+    )
+    return j.selectExpr(
+        "entity_id", "coalesce(s.entity_type, l.entity_type) AS entity_type",
+        "coalesce(s.event_count, 0) + coalesce(l.event_count, 0) AS event_count",
+        "coalesce(s.session_count, 0) + coalesce(l.session_count, 0) AS session_count",
+        "least(s.first_us, l.first_us) AS first_us", "greatest(s.last_us, l.last_us) AS last_us",
+        "w * coalesce(s.failure_rate, 0D) + (1 - w) * coalesce(l.failure_rate, 0D) AS failure_rate",
+        *[f"coalesce(s.{c}, 0D) + coalesce(l.{c}, 0D) AS {c}" for c in _stat_columns()],
+        "coalesce(s.home_lat, l.home_lat) AS home_lat", "coalesce(s.home_lon, l.home_lon) AS home_lon",
+        "greatest(s.spread_km, l.spread_km) AS spread_km",
+        *[f"{blend_map_sql(f's.d_{d}', f'l.d_{d}', 'w')} AS d_{d}" for d in DIMS],
+        "CASE WHEN s.event_count is null THEN 'live' WHEN l.event_count is null THEN 'stored' ELSE 'both' END AS source",
+    )
+
+
+def shrunk(profiles: DataFrame, prior: DataFrame, on: str = "entity_type", s: Settings = DEFAULTS) -> DataFrame:
+    """Profiles with little history pulled toward the prior of their group (``prior`` has one row
+    per group, so it is small by construction)."""
+    p = prior.selectExpr(f"{on} AS _g", *[f"{c} AS pr_{c}" for c in prior.columns if c != on])
+    j = profiles.join(F.broadcast(p), profiles[on] == p["_g"], "left").withColumn(
+        "w", F.expr(f"if(session_count >= {s.min_sessions}, 1D, session_count / (session_count + {float(s.prior_sessions)}D))")
+    )
+    thin = [f"{c} + if(w < 1 and {c[:-1]}n < {s.prior_stat_floor}, coalesce(pr_{c}, 0D), 0D) AS {c}" for c in _stat_columns()]
+    return j.selectExpr(
+        "entity_id", "entity_type", "event_count", "session_count", "w AS confidence", "w < 1 AS cold_start",
+        "w * failure_rate + (1 - w) * coalesce(pr_failure_rate, 0D) AS failure_rate", *thin,
+        "coalesce(home_lat, pr_home_lat) AS home_lat", "coalesce(home_lon, pr_home_lon) AS home_lon",
+        "w * spread_km + (1 - w) * coalesce(pr_spread_km, 0D) AS spread_km",
+        *[f"{blend_map_sql(f'd_{d}', f'pr_d_{d}', 'w')} AS d_{d}" for d in DIMS],
+    )
