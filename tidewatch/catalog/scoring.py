@@ -132,7 +132,7 @@ _CAL = "CASE WHEN fused <= 0 THEN 0 WHEN fused <= 0.2 THEN fused * 0.25 WHEN fus
         event_id % 3 = 0 AS cold, (baseline + sequence + classifier) / 3 AS mean FROM sc),
       g AS (SELECT *, 100 * {_CAL} AS model_risk, least(50, 80 * sqrt((pow(baseline - mean, 2) + pow(sequence - mean, 2) + pow(classifier - mean, 2)) / 3) * CASE WHEN cold THEN 2 ELSE 1 END) AS band FROM f),
       h AS (SELECT *, CASE WHEN hit THEN greatest(model_risk, 72) ELSE model_risk END AS r FROM g)
-      SELECT event_id, {r4('fused')} AS fused, {r4('r')} AS risk, {r4('band')} AS uncertainty, r >= 45.00001 OR hit AS in_budget, r >= 60.00001 OR hit AS is_anomaly FROM h""",
+      SELECT event_id, round(fused, 6) AS fused, {r4('r')} AS risk, {r4('band')} AS uncertainty, r >= 45.00001 OR hit AS in_budget, r >= 60.00001 OR hit AS is_anomaly FROM h""",
 )
 def risk_assessment(spark, sf):
     rows = scored(spark, sf).selectExpr(
@@ -140,7 +140,8 @@ def risk_assessment(spark, sf):
         "if(event_id % 7 = 0, named_struct('conf', 0.8D), null) AS override",
     )
     out = RI.assess(rows, RI.RiskModel(_W, _KNOTS, 45.00001, 60.00001))
-    return _rounded(out.select("event_id", "fused", "risk", "uncertainty", "in_budget", "is_anomaly"), "fused", "risk", "uncertainty")
+    out = out.select("event_id", F.round("fused", 6).alias("fused"), "risk", "uncertainty", "in_budget", "is_anomaly")
+    return _rounded(out, "risk", "uncertainty")
 
 
 @query(
@@ -353,10 +354,10 @@ _DRIFT = f"""{with_(EVENTS, ORDERED)}, v AS (SELECT entity_id, event_id, ts_us,
   q AS (SELECT entity_id, list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e0 FROM v WHERE rn <= 50 GROUP BY 1),
   e AS (SELECT entity_id, list_sort(e0) AS e FROM q),
   b AS (SELECT v.*, e, CASE WHEN x >= e[1] AND x <= e[-1] THEN least(len(list_filter(e, lambda y: y <= x)), len(e) - 1) - 1 END AS bin FROM v JOIN e USING (entity_id)),
-  base AS (SELECT entity_id, {', '.join(f'count(*) FILTER (bin = {j}) AS c{j}' for j in _J)}, CAST(count(bin) AS DOUBLE) AS c FROM b WHERE rn <= 50 GROUP BY 1),
+  bs AS (SELECT entity_id, {', '.join(f'count(*) FILTER (bin = {j}) AS c{j}' for j in _J)}, CAST(count(bin) AS DOUBLE) AS c FROM b WHERE rn <= 50 GROUP BY 1),
   w AS (SELECT entity_id, event_id, rn, {', '.join(f'count(*) FILTER (bin = {j}) OVER s AS n{j}' for j in _J)}, CAST(count(bin) OVER s AS DOUBLE) AS n FROM b WHERE rn > 50
     WINDOW s AS (PARTITION BY entity_id ORDER BY ts_us, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
-  p AS (SELECT w.entity_id, event_id, rn - 50 AS samples, {', '.join(f'greatest(c{j} / c, 1e-6) AS b{j}, greatest(CASE WHEN n = 0 THEN 0.1 ELSE n{j} / n END, 1e-6) AS r{j}' for j in _J)} FROM w JOIN base USING (entity_id)),
+  p AS (SELECT w.entity_id, event_id, rn - 50 AS samples, {', '.join(f'greatest(c{j} / c, 1e-6) AS b{j}, greatest(CASE WHEN n = 0 THEN 0.1 ELSE n{j} / n END, 1e-6) AS r{j}' for j in _J)} FROM w JOIN bs USING (entity_id)),
   t AS (SELECT *, {' + '.join(f'b{j}' for j in _J)} AS bt, {' + '.join(f'r{j}' for j in _J)} AS rt FROM p),
   psi AS (SELECT entity_id, event_id, samples, CASE WHEN samples >= 50 THEN {' + '.join(f'(r{j} / rt - b{j} / bt) * ln((r{j} / rt) / (b{j} / bt))' for j in _J)} ELSE 0 END AS psi FROM t)"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,6 @@ class Bottleneck:
 
 def feature_errors(rows: DataFrame, scaler: dict, components) -> DataFrame:
     """Adds ``z`` (scaled row), ``errors`` (squared residual per feature) and ``error`` (their mean)."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     keep = np.eye(len(scaler)) - np.asarray(components) @ np.asarray(components).T
