@@ -20,6 +20,7 @@ from tidewatch.operators import tiers as T
 from tidewatch.operators.features import NUMERIC, Knowledge, featurise
 from tidewatch.plans import fit as FI
 from tidewatch.plans import score as SCO
+from tidewatch.session import settle
 from tidewatch.sources.telemetry import access_events
 
 # --- cohorts --------------------------------------------------------------------------------- #
@@ -68,14 +69,14 @@ def nearest_cohort(spark, sf):
 
 @query("fitted_cohorts")
 def fitted_cohorts(spark, sf):
-    return CO.fit_cohorts(P.entity_profiles(access_events(spark, sf))).table(spark).select("cohort", "size", "description")
+    return CO.fit_cohorts(settle(P.entity_profiles(access_events(spark, sf)))).table(spark).select("cohort", "size", "description")
 
 
 @query("live_cohorts")
 def live_cohorts(spark, sf):
     """Cohort of every event's live snapshot under cohorts fitted on the training split."""
     df = access_events(spark, sf)
-    model = CO.fit_cohorts(P.entity_profiles(df.filter("split = 'train'")))
+    model = CO.fit_cohorts(settle(P.entity_profiles(df.filter("split = 'train'"))))
     f = featurise(df, WIDE, Knowledge(cohorts=model), names=("cold_start",))
     return f.groupBy("entity_id", F.col("c_cohort").alias("cohort")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -239,7 +240,7 @@ def class_weights(spark, sf):
 def bottleneck_residuals(spark, sf):
     """Reconstruction error behind the linear bottleneck and the worst features of each event."""
     df = access_events(spark, sf)
-    f = FI.settle(featurise(df, WIDE, names=_SMALL))
+    f = settle(featurise(df, WIDE, names=_SMALL))
     scaler = T.fit_scaler(f, _SMALL)
     m = T.fit_bottleneck(f, scaler, k=4)
     out = T.score_bottleneck(f, m).withColumn("worst", F.expr(T.worst_features(2, _SMALL)))
@@ -289,7 +290,7 @@ def alerts_to_explain(spark, sf):
 @query("scored_detections")
 def scored_detections(spark, sf):
     """Fit on the training split, tune on validation, score the test split into detections."""
-    df = FI.settle(access_events(spark, sf))
+    df = settle(access_events(spark, sf))
     state = FI.fit_all(df.filter("split = 'train'"), df.filter("split = 'val'"), df.select("event_id", "label"), WIDE, trees=5)
     d = SCO.score_table(df.filter("split = 'test'"), state, WIDE)
     return d.select("detection_id", "event_id", "entity_id", "risk", "uncertainty", "in_budget", "is_anomaly", "anomaly_type", "cold_start", "drift_flag")

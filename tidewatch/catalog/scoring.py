@@ -132,7 +132,7 @@ _CAL = "CASE WHEN fused <= 0 THEN 0 WHEN fused <= 0.2 THEN fused * 0.25 WHEN fus
         event_id % 3 = 0 AS cold, (baseline + sequence + classifier) / 3 AS mean FROM sc),
       g AS (SELECT *, 100 * {_CAL} AS model_risk, least(50, 80 * sqrt((pow(baseline - mean, 2) + pow(sequence - mean, 2) + pow(classifier - mean, 2)) / 3) * CASE WHEN cold THEN 2 ELSE 1 END) AS band FROM f),
       h AS (SELECT *, CASE WHEN hit THEN greatest(model_risk, 72) ELSE model_risk END AS r FROM g)
-      SELECT event_id, round(fused, 6) AS fused, {r4('r')} AS risk, {r4('band')} AS uncertainty, r >= 45.00001 OR hit AS in_budget, r >= 60.00001 OR hit AS is_anomaly FROM h""",
+      SELECT event_id, round(fused, 6) AS fused, round(r, 8) AS risk, round(band, 8) AS uncertainty, r >= 45.00001 OR hit AS in_budget, r >= 60.00001 OR hit AS is_anomaly FROM h""",
 )
 def risk_assessment(spark, sf):
     rows = scored(spark, sf).selectExpr(
@@ -140,8 +140,8 @@ def risk_assessment(spark, sf):
         "if(event_id % 7 = 0, named_struct('conf', 0.8D), null) AS override",
     )
     out = RI.assess(rows, RI.RiskModel(_W, _KNOTS, 45.00001, 60.00001))
-    out = out.select("event_id", F.round("fused", 6).alias("fused"), "risk", "uncertainty", "in_budget", "is_anomaly")
-    return _rounded(out, "risk", "uncertainty")
+    out = out.select("event_id", F.round("fused", 6).alias("fused"), F.round("risk", 8).alias("risk"), F.round("uncertainty", 8).alias("uncertainty"), "in_budget", "is_anomaly")
+    return out
 
 
 @query(

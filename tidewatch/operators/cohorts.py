@@ -131,7 +131,7 @@ def fit_cohorts(profiles: DataFrame, settings: Settings = DEFAULTS) -> CohortMod
         "entity_id", "entity_type", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(SUMMARY, means, stds)]
     )
     vectors = VectorAssembler(inputCols=list(SUMMARY), outputCol="features").transform(scaled)
-    model = KMeans(k=int(min(settings.cohort_count, n)), seed=settings.seed, initSteps=10).fit(vectors)
+    model = KMeans(k=int(min(settings.cohort_count, n)), seed=settings.seed, initSteps=3).fit(vectors)
     centroids = [[float(x) for x in c] for c in model.clusterCenters()]
     half = CohortModel(centroids, means, stds, {}, {})
     return with_sizes(half, usable)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -32,3 +32,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="tidewatch-")
     spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise a table that several later jobs read, in the cluster's shared checkpoint folder.
+    Survives losing executors, unlike a cached one."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
