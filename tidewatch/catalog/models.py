@@ -87,15 +87,19 @@ _STORED = """
 st AS (SELECT entity_id, count(*) AS st_n, count(DISTINCT session_id) AS st_s, sum(ln(1 + bytes_out)) AS st_sum, sum(pow(ln(1 + bytes_out), 2)) AS st_sq FROM ev0 WHERE split = 'train' GROUP BY 1),
 sc AS (SELECT entity_id, geo_country, count(*) AS c FROM ev0 WHERE split = 'train' GROUP BY 1, 2),
 pt AS (SELECT entity_type, CAST(count(*) AS DOUBLE) AS n FROM ev0 WHERE split = 'train' GROUP BY 1),
-pc AS (SELECT entity_type, geo_country, count(*) AS c FROM ev0 WHERE split = 'train' GROUP BY 1, 2)"""
+pc AS (SELECT entity_type, geo_country, count(*) AS c FROM ev0 WHERE split = 'train' GROUP BY 1, 2),
+gt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM ev0 WHERE split = 'train'),
+gc AS (SELECT geo_country, count(*) AS c FROM ev0 WHERE split = 'train' GROUP BY 1)"""
 _EV_REST = EVENTS.replace("\nev AS (", "\nev0 AS (") + ", ev AS (SELECT * FROM ev0 WHERE split <> 'train')"
 _SERVE = f"""{with_(_EV_REST, ORDERED, _STORED)},
   f0 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY entity_id, session_id ORDER BY ts_us, event_id) = 1 THEN 1 ELSE 0 END AS fi,
     count(*) OVER {by_value('geo_country')} AS seen FROM o),
   f1 AS (SELECT *, coalesce(sum(fi) OVER {BLOCK}, 0) AS live_s FROM f0),
-  f2 AS (SELECT f1.*, coalesce(st_n, 0) AS st_n, coalesce(st_s, 0) + live_s AS own_s, coalesce(st_n, 0) + snap_n AS own_n, sc.c AS stored_c, pc.c / pt.n AS prior_share
+  f2 AS (SELECT f1.*, coalesce(st_n, 0) AS st_n, coalesce(st_s, 0) + live_s AS own_s, coalesce(st_n, 0) + snap_n AS own_n, sc.c AS stored_c, CASE WHEN pt.n IS NULL THEN gc.c / gt.n ELSE pc.c / pt.n END AS prior_share,
+    CASE WHEN pt.n IS NULL THEN 'global' ELSE 'cohort' END AS prior_kind
     FROM f1 LEFT JOIN st ON st.entity_id = f1.entity_id LEFT JOIN sc ON sc.entity_id = f1.entity_id AND sc.geo_country = f1.geo_country
-    LEFT JOIN pt ON pt.entity_type = f1.entity_type LEFT JOIN pc ON pc.entity_type = f1.entity_type AND pc.geo_country = f1.geo_country),
+    LEFT JOIN pt ON pt.entity_type = f1.entity_type LEFT JOIN pc ON pc.entity_type = f1.entity_type AND pc.geo_country = f1.geo_country
+    LEFT JOIN gc ON gc.geo_country = f1.geo_country CROSS JOIN gt),
   f3 AS (SELECT *, CASE WHEN own_n = 0 THEN CAST(0 AS DOUBLE) WHEN own_s >= 15 THEN CAST(1 AS DOUBLE) ELSE own_s / (own_s + CAST(12 AS DOUBLE)) END AS w FROM f2)"""
 
 
@@ -130,7 +134,7 @@ def features_stored_profile(spark, sf):
     "features_with_priors",
     f"""{_SERVE} SELECT event_id, {r4(f'w * {_OWN} + (1 - w) * coalesce(prior_share, 0)')} AS country_likelihood,
       {r4('CASE WHEN (w > 0 AND coalesce(stored_c, 0) + seen > 0) OR (w < 1 AND prior_share IS NOT NULL) THEN 0 ELSE 1 END')} AS is_new_country,
-      CASE WHEN own_n = 0 THEN 'cohort' WHEN w >= 1 THEN 'entity' ELSE 'entity+cohort' END AS profile_source FROM f3""",
+      CASE WHEN own_n = 0 THEN prior_kind WHEN w >= 1 THEN 'entity' ELSE 'entity+' || prior_kind END AS profile_source FROM f3""",
 )
 def features_with_priors(spark, sf):
     f = _serving(spark, sf, True)
@@ -287,6 +291,45 @@ def alerts_to_explain(spark, sf):
     return scored(spark, sf).filter("is_anomaly").select("event_id", "entity_id", "anomaly_type")
 
 
+def _alerts(spark, sf):
+    """A forest over a dozen features, and the events it calls an attack."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = settle(access_events(spark, sf))
+    f = featurise(df, WIDE, names=_SMALL)
+    scaler = T.fit_scaler(settle(f), _SMALL)
+    rows = f.selectExpr("event_id", f"{T.scaled_array(scaler)} AS row_array").withColumn("row", array_to_vector("row_array"))
+    rows = settle(rows.join(df.select("event_id", "label"), "event_id"))
+    forest = T.fit_classifier(rows, DEFAULTS, trees=5)
+    scored_rows = T.classify(rows, forest).filter("base_type <> 'normal'")
+    alerts = scored_rows.selectExpr("event_id", "base_type AS anomaly_type", "row_array", "0D AS baseline", "0D AS sequence")
+    return settle(alerts), forest, scaler
+
+
+@query("alert_attributions")
+def alert_attributions(spark, sf):
+    alerts, forest, scaler = _alerts(spark, sf)
+    attr = X.attributions(alerts, forest, list(_SMALL))
+    top = X.top_attributions(attr, {n: m for n, (m, _) in scaler.items()}, 3)
+    return top.select("event_id", "rank", "feature", "contribution", "direction", "typical", "description")
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    alerts, forest, _ = _alerts(spark, sf)
+    return X.global_importance(X.attributions(alerts, forest, list(_SMALL)))
+
+
+@query("alert_counterfactuals")
+def alert_counterfactuals(spark, sf):
+    from tidewatch.operators.risk import RiskModel
+
+    alerts, forest, _ = _alerts(spark, sf)
+    attr = settle(X.attributions(alerts, forest, list(_SMALL)))
+    cf = X.counterfactual(alerts, attr, forest, RiskModel(weights=(0.0, 0.0, 1.0)), list(_SMALL), len(_SMALL))
+    return cf.select("event_id", "original_risk", "resulting_risk", "found", F.array_join("changes", ",").alias("changes"), "summary")
+
+
 @query("scored_detections")
 def scored_detections(spark, sf):
     """Fit on the training split, tune on validation, score the test split into detections."""

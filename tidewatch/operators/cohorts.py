@@ -127,6 +127,8 @@ def fit_cohorts(profiles: DataFrame, settings: Settings = DEFAULTS) -> CohortMod
     ).first()
     means = [moments[f"m_{c}"] for c in SUMMARY]
     stds = [moments[f"s_{c}"] if moments[f"s_{c}"] and moments[f"s_{c}"] >= 1e-6 else 1.0 for c in SUMMARY]
+    if n < 2:  # one entity is its own cohort, at the scaled origin
+        return with_sizes(CohortModel([[0.0] * len(SUMMARY)], means, stds, {}, {}), usable)
     scaled = usable.select(
         "entity_id", "entity_type", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(SUMMARY, means, stds)]
     )

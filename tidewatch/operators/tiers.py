@@ -13,6 +13,7 @@ from tidewatch.config import ANOMALY_CLASSES, DEFAULTS, Settings
 from tidewatch.operators import corpus as C
 from tidewatch.operators.features import NUMERIC
 from tidewatch.operators.ranking import quantiles
+from tidewatch.session import settle
 
 SMOOTHING = 0.1
 
@@ -59,6 +60,7 @@ def holdout(id: str = "event_id", percent: int = 15) -> str:
 
 
 def fit_normaliser(scores: DataFrame, column: str, quantile: float = 0.95) -> Normaliser:
+    scores = settle(scores.select(column))  # read by several passes below
     center, median = quantiles(scores, column, [quantile, 0.5])
     if center is None:
         return Normaliser(0.0, 1.0)
@@ -212,6 +214,7 @@ def fit_classifier(rows: DataFrame, s: Settings = DEFAULTS, trees: int = 30) ->
     forest = RandomForestClassifier(featuresCol="row", labelCol="y", numTrees=trees, maxDepth=8, seed=s.seed)
     model = forest.fit(data.filter(f"not ({holdout()})"))
     held = model.transform(data.filter(holdout())).withColumn("p", vector_to_array("probability")).select("p", "y")
+    held = settle(held)
     knots = {}
     for i, c in enumerate(ANOMALY_CLASSES[: model.numClasses]):
         one = held.select(F.expr(f"p[{i}]").alias("s"), F.expr(f"if(y = {i}, 1D, 0D)").alias("t"))
