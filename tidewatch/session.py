@@ -39,3 +39,25 @@ def settle(df: DataFrame) -> DataFrame:
     Survives losing executors, unlike a cached one."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewatch_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewatch-"), "tidewatch_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tidewatch", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tidewatch_shipped = True
+    return spark
