@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -133,3 +134,35 @@ def grams(h: np.ndarray, doc: np.ndarray, n: int, base: int = BASES[0]) -> tuple
     for k in range(n):
         out = out * b + h[at + k]
     return mix(out), at
+
+
+def pieces(batch: pa.RecordBatch, text: int, size: int = 1 << 20):
+    """Slices of a batch with about size bytes of text each; a longer text stands alone, whole."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def joined(w: Words, keep: np.ndarray | None = None) -> pa.Array:
+    """Each row's kept words, unchanged, joined by one space."""
+    keep = np.ones(len(w), dtype=bool) if keep is None else keep
+    lengths = np.where(keep, w.ends - w.starts + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    at = begin[w.first]
+    out = np.full(int(begin[-1]), 32, dtype=np.uint8)
+    solid = np.ones(int(begin[-1]), dtype=bool)
+    solid[begin[1:][keep] - 1] = False
+    mark = np.zeros(len(w.data) + 1, dtype=np.int8)
+    mark[w.starts[keep]] += 1
+    mark[w.ends[keep]] -= 1
+    out[solid] = w.data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    full = np.diff(at) > 0
+    last = np.ones(len(out), dtype=bool)
+    last[at[1:][full] - 1] = False
+    out = out[last]
+    offsets = np.concatenate([[0], np.cumsum(np.diff(at) - full)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
