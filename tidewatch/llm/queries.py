@@ -39,3 +39,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from tidewatch.llm import tokens
+    from tidewatch.llm.store import folder
+
+    to = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.write(table(spark, sf_dir, "documents"), to, "word_bpe_49k.json", end=2)
+    out = tokens.read(spark, to, digest=True)
+    return out.select(F.col("id").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
