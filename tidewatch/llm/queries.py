@@ -70,3 +70,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_vectors(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def learning(df: DataFrame) -> DataFrame:
+    """The rows that may teach: crc32 of the id's text modulo 4 is not 2."""
+    return df.where("pmod(crc32(cast(doc_id AS string)), 4) <> 2")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.toxicity import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, learning(table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.expr("pmod(crc32(cast(doc_id AS string)), 4) = 2"), F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))

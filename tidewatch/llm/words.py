@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -100,13 +102,13 @@ def raw_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Words of every row of a string column; lower folds A-Z only."""
+def split(column: pa.Array | pa.ChunkedArray, lower: bool = False, marks: bool = False) -> Words:
+    """Words of every row of a string column; lower folds A-Z only, marks takes ASCII punctuation for space as well."""
     data, offsets = raw_bytes(column)
     if lower:
         data = _LOWER[data]
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~(_MARKS if marks else _SPACE)[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
