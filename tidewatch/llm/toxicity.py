@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff.
 
-Toxic and ordinary texts each have a bigram model over one vocabulary. A class's bigrams back off to the number of different
+Toxic and ordinary texts each have a bigram model over one vocabulary: words, and for rarer words the bytes they begin with,
+so that forms of one stem count together. A class's bigrams back off to the number of different
 words that a word follows in that class, and those to the number in both, so what only copies of one text repeat weighs
 little, and an expression too rare to tell the classes apart is about as likely
 under either. A text is judged by differences of log-likelihood per word: of the whole text and of its worst short windows,
 put together by a logistic fit on labelled rows that the counts leave out (one in FOLDS).
 
 Counts cover all labelled rows used. Words and bigrams enter the model if they stand in at least max(MIN_TEXTS, RATE * n) of
-one class's n texts; with a mean of w words per text there are at most 2 * w / RATE of either, which bounds the broadcast.
+one class's n texts; with a mean of w words per text there are at most 10 * w / RATE of either, which bounds the broadcast.
 """
 
 from __future__ import annotations
@@ -24,8 +25,13 @@ from tidewatch.llm import words as W
 
 #: Labelled rows used at most (taken in order of a hash of their id); least share and number of a class's texts; rows that
 #: the logistic fit sees at most; window lengths in words; words gathered before a task sends counts.
-LABELLED, RATE, MIN_TEXTS, FIT_ROWS, WINDOWS, FLUSH = 2_000_000, 1e-3, 3, 50_000, (1, 4, 16), 1 << 21
+LABELLED, RATE, MIN_TEXTS, FIT_ROWS, WINDOWS, FLUSH = 2_000_000, 3e-2, 3, 50_000, (1, 4, 16, 64), 1 << 20
 FOLDS = 5
+#: Bytes from a word's beginning that stand for it if it is rare, longest first.
+STEMS = (7, 6, 5, 4)
+#: Ratio from which a word is strong evidence; features of a text.
+STRONG = 1.5
+FEATURES = 3 + len(WINDOWS)
 
 
 @dataclass
@@ -40,13 +46,14 @@ class Model:
     weights: np.ndarray
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per row: mean ratio of the whole text, and the largest mean over windows of each length."""
+        """Per row: mean ratio of the whole text, logarithms of its strong evidence in all and per hundred words, and the
+        largest mean over windows of each length."""
         w = W.split(column, lower=True, marks=True)
         n = w.count()
-        out = np.zeros((len(n), 1 + len(WINDOWS)))
+        out = np.zeros((len(n), FEATURES))
         if not len(w):
             return out
-        at = places(w.hashes(), self.vocabulary)
+        at = places(units(w), self.vocabulary)
         before = shifted(at, w)
         ratio = self.word[at] + self.context[before]
         if len(self.keys):
@@ -57,10 +64,12 @@ class Model:
         some = np.flatnonzero(n)
         begin, end = w.first[:-1][some], w.first[1:][some]
         out[some, 0] = (total[end] - total[begin]) / n[some]
-        for k, size in enumerate(WINDOWS):
+        strong = np.add.reduceat(np.maximum(ratio - STRONG, 0), begin)
+        out[some, 1], out[some, 2] = np.log1p(strong), np.log1p(100 * strong / n[some])
+        for k, size in enumerate(WINDOWS, 3):
             stop = np.minimum(np.arange(len(at)) + size, w.first[1:][w.doc])
             start = np.maximum(stop - size, w.first[:-1][w.doc])
-            out[some, k + 1] = np.maximum.reduceat((total[stop] - total[start]) / size, begin)
+            out[some, k] = np.maximum.reduceat((total[stop] - total[start]) / size, begin)
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -72,12 +81,20 @@ class Model:
 STRANGE = 1 << 16
 
 
-def places(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted vocabulary plus one; zero for rare words."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0)
+def units(w: W.Words) -> list[np.ndarray]:
+    """Hashes of each word and of its beginnings, finest first."""
+    data = w.data.astype(np.uint64) + np.uint64(1)
+    return [w.hashes(), *(W.mix(W.span_hash(data, w.starts, np.minimum(w.starts + k, w.ends)) + np.uint64(k)) for k in STEMS)]
+
+
+def places(hashes: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """Place of each word's finest known unit in the sorted vocabulary plus one; zero for rare words."""
+    out = np.zeros(len(hashes[0]), np.int64)
+    if len(vocabulary):
+        for h in hashes[::-1]:
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            out = np.where(vocabulary[at] == h, at + 1, out)
+    return out
 
 
 def shifted(at: np.ndarray, w: W.Words) -> np.ndarray:
@@ -112,7 +129,7 @@ def _tally(texts: DataFrame, known, keys) -> DataFrame:
         def flush():
             # one row for each (key, text, label), then sums by key
             key, text, y = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.lexsort((text, key))
+            order = np.argsort(key, kind="stable")  # texts come in order
             key, text, y = key[order], text[order], y[order]
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
@@ -160,15 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     frequent = f"in_toxic >= {floor[0]} OR in_plain >= {floor[1]}"
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
 
-    every = _tally(texts, known, lambda w: (w.hashes(), w.doc))
+    every = _tally(texts, known, lambda w: (np.concatenate(units(w)), np.tile(w.doc, 1 + len(STEMS))))
     vocabulary = np.sort(every.where(frequent).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     size = len(vocabulary) + 1
     shared = sc.broadcast(vocabulary)
 
     def pairs(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        h = w.hashes()
-        at = places(h, shared.value)
-        strange = size + (h % np.uint64(STRANGE)).astype(np.int64)
+        found = units(w)
+        at = places(found, shared.value)
+        strange = size + (found[0] % np.uint64(STRANGE)).astype(np.int64)
         before = shifted(np.where(at > 0, at, strange), w)
         return (before << 32 | at).view(np.uint64), w.doc
 
@@ -215,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         log_word.append(np.log(word))
         log_context.append(np.log(free))
         log_pair.append(np.log(held / seen[left] + free[left] * word[right]))
-    model = Model(vocabulary, log_word[0] - log_word[1], log_context[0] - log_context[1], keys, log_pair[0] - log_pair[1], np.zeros(2 + len(WINDOWS)))
+    model = Model(vocabulary, log_word[0] - log_word[1], log_context[0] - log_context[1], keys, log_pair[0] - log_pair[1], np.zeros(1 + FEATURES))
     model.weights = _calibrate(texts, sc.broadcast((ids[apart], y[apart])) if apart.any() else known, model, apart.sum() or len(ids))
     return model
 
@@ -229,7 +246,7 @@ def _calibrate(texts: DataFrame, known, model: Model, n: int) -> np.ndarray:
         for piece, y in _labelled(batches, *known.value):
             yield pa.record_batch([*(pa.array(x) for x in shared.value.features(piece.column(1)).T), pa.array(y.astype(float))], names=names)
 
-    names = [*(f"x{k}" for k in range(1 + len(WINDOWS))), "y"]
+    names = [*(f"x{k}" for k in range(FEATURES)), "y"]
     share = min(1.0, FIT_ROWS / n)
     chosen = texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < round(share * 1_000_000))
     rows = chosen.mapInArrow(run, ", ".join(f"{c} double" for c in names)).toArrow()
