@@ -85,3 +85,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(docs, learning(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.expr("pmod(crc32(cast(doc_id AS string)), 4) = 2"), F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.urls import Rule, judge
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
