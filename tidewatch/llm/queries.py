@@ -93,3 +93,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.decontaminate import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
