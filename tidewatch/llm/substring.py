@@ -1,20 +1,23 @@
 """Removal of word runs that already stand in a document with a smaller id: seed and extend.
 
 Seeds are winnowed word 5-grams: every window of `run` consecutive words is anchored at its smallest seed, so equal windows
-have equal anchors at equal places. Documents meet on anchors, and only anchors that different documents share are kept.
-From those, matches are extended both ways: all windows that the anchor anchors are compared, and consecutive matching
-windows make up the maximal repeats, of which every word is covered.
+have equal anchors at equal places. Documents meet on anchors. A match is extended both ways in two steps: first as far as
+the anchor's windows reach, by a hash of that whole stretch, which settles true copies; then, for anchors that different
+documents share in different surroundings, window by window. Overlapping matches make up the maximal repeats, of which every
+word is covered.
 
-Each text goes through the shuffle twice; in between travel packed arrays of hashes, one row per task and bucket. A task
-first resolves what it can see itself, so a passage that very many documents share is sent once per task.
+Texts go through the shuffle twice, compressed; in between travel packed arrays of hashes, one row per task and bucket. A
+task first settles what it can see itself, so a passage that very many documents share is sent once per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +67,48 @@ def _whole(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype=kind)
 
 
-def _runs(columns: list[str], batches) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for t in groups(batches, ["key"]):
-        yield t.column("key")[0].as_py(), [_whole(t, c, np.uint32 if c == "extra" or c == "pos" else np.int64 if c == "doc" else np.uint64) for c in columns]
+def _by_doc(kind: int, doc: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows = [(k, v[0]) for k, v in _bins(doc, value)]
+    if rows:
+        out = _packed(rows, ["doc", "found"])
+        yield out.append_column("kind", pa.array(np.full(len(rows), kind, np.int32)))
 
 
-def _by_doc(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch | None:
-    rows = [(k, v[0]) for k, v in _bins(doc, value)]
-    return _packed(rows, ["doc", "found"]) if rows else None
+@dataclass
+class Anchors:
+    """Each anchor's seed and a hash of the stretch of words that its windows cover; its windows are start[first:last]."""
+
+    start: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    seed: np.ndarray
+    stretch: np.ndarray
+    row: np.ndarray
+
+    @staticmethod
+    def of(w: W.Words, word: np.ndarray, run: int) -> Anchors:
+        start, where, best = winnow(word, w.doc, run)
+        at, first = np.unique(where, return_index=True)
+        last = np.append(first[1:], len(where)) if len(first) else first
+        begin, end = start[first], start[last - 1] + run
+        shape = ((at - begin) << 32 | (end - begin)).astype(np.uint64)
+        stretch = W.mix(W.span_hash(word, begin, end, W.BASES[1]) ^ W.mix(shape)) >> np.uint64(32)
+        return Anchors(start, first, last, best[first], stretch, w.doc[begin] if len(begin) else begin)
+
+    def key(self) -> np.ndarray:
+        """One value for seed and stretch."""
+        return _key(self.seed, self.stretch)
+
+    def among(self, lists: list[list[bytes] | None]) -> np.ndarray:
+        """Which anchors' keys are in the list of their row."""
+        have = [np.frombuffer(b"".join(x or []), dtype=np.uint64) for x in lists]
+        row = np.repeat(np.arange(len(have)), [len(x) for x in have]).astype(np.uint64)
+        known = W.mix(np.concatenate(have) + W.mix(row)) if len(row) else np.zeros(0, np.uint64)
+        return np.isin(W.mix(self.key() + W.mix(self.row.astype(np.uint64))), known)
+
+
+def _key(seed: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    return W.mix(seed ^ W.mix(stretch))
 
 
 def _tags(w: W.Words) -> np.ndarray:
@@ -79,41 +116,53 @@ def _tags(w: W.Words) -> np.ndarray:
     return W.span_hash(w.hashes(W.BASES[1]), w.first[:-1], w.first[1:]) >> np.uint64(48)
 
 
-def _least(h: np.ndarray, extra: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal windows together, and each one's smallest document in that order."""
-    check = extra >> np.uint32(16)
-    order = np.lexsort((doc, check, h))
-    h, check = h[order], check[order]
-    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]))
-    return order, np.repeat(doc[order][begin], np.diff(np.concatenate([begin, [len(h)]])))
+def _least(doc: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings entries together that agree in all of same, and each one's smallest document in that order."""
+    order = np.lexsort((doc, *same[::-1]))
+    new = _new(*(x[order] for x in same))
+    begin = np.flatnonzero(new)
+    return order, np.repeat(doc[order][begin], np.diff(np.append(begin, len(order))))
+
+
+def _new(*same: np.ndarray) -> np.ndarray:
+    new = np.ones(len(same[0]), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in same], axis=0)
+    return new
 
 
 def _placed(extra: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (extra & np.uint32(0xFFFF)).astype(np.uint64) << np.uint64(32) | pos
 
 
+SETTLED, OPEN = 0, 1
+
+
 def shared_anchors(docs: DataFrame, run: int, buckets: int) -> DataFrame:
-    """doc, found: hashes of the document's anchors that another document has as well."""
+    """doc, found (anchor keys), kind: SETTLED if the whole stretch stands in a smaller document, so that all its windows do;
+    OPEN if the seed stands in another document too and the windows must be compared."""
 
     def send(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple] = []
 
         def flush():
-            seed, doc = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-            order = np.lexsort((doc, seed))
-            seed, doc = seed[order], doc[order]
-            new = np.ones(len(seed), dtype=bool)
-            new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
-            seed, doc = seed[new], doc[new]
-            return _packed([(b, *v) for b, v in _bins((seed % np.uint64(buckets)).astype(np.int64), seed, doc)], ["key", "seed", "doc"])
+            seed, stretch, doc = (np.concatenate([k[i] for k in kept]) for i in range(3))
+            order, least = _least(doc, seed, stretch)
+            seed, stretch, doc = seed[order], stretch[order], doc[order]
+            fresh = _new(seed, stretch, doc)
+            first, late = fresh & (doc == least), fresh & (doc != least)
+            rows = [(b, True, *v) for b, v in _bins((seed[first] % np.uint64(buckets)).astype(np.int64), seed[first], stretch[first].astype(np.uint32), doc[first])]
+            none = np.zeros(0, np.uint32)
+            rows += [(b, False, v[0], none, v[1]) for b, v in _bins(doc[late] % buckets, _key(seed[late], stretch[late]), doc[late])]
+            return pa.record_batch(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(2, 5))],
+                names=["key", "open", "seed", "stretch", "doc"],
+            )
 
         for b in batches:
             for part in W.pieces(b, 1):
                 w = W.split(part.column(1))
-                _, where, best = winnow(w.hashes(), w.doc, run)
-                where, first = np.unique(where, return_index=True)
-                ids = part.column(0).to_numpy()
-                kept.append((best[first], ids[w.doc[where]]))
+                a = Anchors.of(w, w.hashes(), run)
+                kept.append((a.seed, a.stretch, part.column(0).to_numpy()[a.row]))
                 if sum(len(k[0]) for k in kept) >= FLUSH:
                     yield flush()
                     kept.clear()
@@ -121,29 +170,38 @@ def shared_anchors(docs: DataFrame, run: int, buckets: int) -> DataFrame:
             yield flush()
 
     def meet(batches):
-        for _, (seed, doc) in _runs(["seed", "doc"], batches):
-            order = np.lexsort((doc, seed))
-            seed, doc = seed[order], doc[order]
-            begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
-            many = np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin)
-            at = np.repeat(many, np.diff(np.concatenate([begin, [len(seed)]])))
-            out = _by_doc(doc[at], seed[at])
-            if out is not None:
-                yield out
-
-    sent = docs.mapInArrow(send, "key long, seed binary, doc binary")
-    return sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(meet, "doc long, found binary")
+        for t in groups(batches, ["key"]):
+            is_open = t.column("open").to_numpy(zero_copy_only=False)
+            closed, t = t.filter(pa.array(~is_open)), t.filter(pa.array(is_open))
+            yield from _by_doc(SETTLED, _whole(closed, "doc", np.int64), _whole(closed, "seed", np.uint64))
+            if not t.num_rows:
+                continue
+            seed, stretch, doc = _whole(t, "seed", np.uint64), _whole(t, "stretch", np.uint32).astype(np.uint64), _whole(t, "doc", np.int64)
+            order, least = _least(doc, seed, stretch)
+            seed, stretch, doc = seed[order], stretch[order], doc[order]
+            key = _key(seed, stretch)
+            late = doc > least
+            yield from _by_doc(SETTLED, doc[late], key[late])
+            begin = np.flatnonzero(_new(seed))
+            size = np.diff(np.append(begin, len(seed)))
+            varied = np.add.reduceat(_new(seed, stretch).astype(np.int64), begin) > 1
+            shared = np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin)
+            at = ~late & np.repeat(varied & shared, size)
+            yield from _by_doc(OPEN, doc[at], key[at])
+
+    sent = docs.mapInArrow(send, "key long, open boolean, seed binary, stretch binary, doc binary")
+    return sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(meet, "doc long, found binary, kind int")
 
 
 def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
-    """docs: id, text, and the list of its shared anchors. doc, found: starts of the windows that a smaller id has too."""
+    """docs: id, packed text, and the list of its open anchors. doc, found: starts of the windows that a smaller id has too."""
 
     def send(batches):
         kept: list[tuple] = []
 
         def flush():
             h, extra, doc, pos = (np.concatenate([k[i] for k in kept]) for i in range(4))
-            order, least = _least(h, extra, doc)
+            order, least = _least(doc, h, extra >> np.uint32(16))
             h, extra, doc, pos = h[order], extra[order], doc[order], pos[order]
             first = doc == least
             rows = [(b, *v) for b, v in _bins((h[first] % np.uint64(buckets)).astype(np.int64), h[first], extra[first], doc[first], pos[first])]
@@ -154,16 +212,13 @@ def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
                 names=["key", "open", "h", "extra", "doc", "pos"],
             )
 
-        for b in batches:
+        for b in unpacked(batches):
             for part in W.pieces(b, 1):
                 w = W.split(part.column(1))
                 word = w.hashes()
-                start, where, best = winnow(word, w.doc, run)
-                lists = part.column(2)
-                have = [np.frombuffer(b"".join(x), dtype=np.uint64) for x in lists.to_pylist()]
-                row = np.repeat(np.arange(len(have)), [len(x) for x in have]).astype(np.uint64)
-                seen = W.mix(np.concatenate(have) + W.mix(row)) if have else np.zeros(0, np.uint64)
-                start = start[np.isin(W.mix(best + W.mix(w.doc[start].astype(np.uint64))), seen)]
+                a = Anchors.of(w, word, run)
+                pick = np.repeat(a.among(part.column(2).to_pylist()), a.last - a.first)
+                start = a.start[pick]
                 if not len(start):
                     continue
                 h, extra = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
@@ -186,15 +241,31 @@ def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
             doc, pos = _whole(closed, "doc", np.int64), _whole(closed, "pos", np.uint64)
             if t.num_rows:
                 h, extra, d, p = _whole(t, "h", np.uint64), _whole(t, "extra", np.uint32), _whole(t, "doc", np.int64), _whole(t, "pos", np.uint32)
-                order, least = _least(h, extra, d)
+                order, least = _least(d, h, extra >> np.uint32(16))
                 late = order[d[order] > least]
                 doc, pos = np.concatenate([doc, d[late]]), np.concatenate([pos, _placed(extra[late], p[late])])
-            out = _by_doc(doc, pos)
-            if out is not None:
-                yield out
+            yield from _by_doc(OPEN, doc, pos)
 
     sent = docs.mapInArrow(send, "key long, open boolean, h binary, extra binary, doc binary, pos binary")
-    return sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(meet, "doc long, found binary")
+    return sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(meet, "doc long, found binary, kind int")
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) with the texts compressed one by one, for the shuffle; null stays null."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        for part in W.pieces(b, 1):
+            yield pa.record_batch([part.column(0), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts again, some hundred rows at a time; other columns stay."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            texts = pa.array([None if z is None else open_(z) for z in part.column(1).to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.record_batch([part.column(0), texts, *part.columns[2:]], names=["id", "t", *b.schema.names[2:]])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 13) -> DataFrame:
@@ -209,18 +280,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = texts.where("id IS NOT NULL")
     chars = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(partitions(spark), -(-chars // BUCKET_CHARS))
-    anchors = shared_anchors(known, run, buckets).groupBy("doc").agg(F.collect_list("found").alias("found"))
-    sharing = known.join(anchors, known["id"] == anchors["doc"]).select("id", "t", "found")
-    windows = save(repeated_windows(sharing, run, buckets))
-    gone = windows.groupBy("doc").agg(F.collect_list("found").alias("found"))
+    anchors = save(shared_anchors(known, run, buckets))
+    zipped = texts.mapInArrow(packed, "id long, z binary")
+    of = anchors.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list("found").alias("found"))
+    windows = save(repeated_windows(zipped.join(of, zipped["id"] == of["doc"]).select("id", "z", "found"), run, buckets))
+    told = anchors.where(F.col("kind") == SETTLED).select("doc", F.col("found").alias("anchor"), F.lit(None).cast("binary").alias("window"))
+    told = told.union(windows.select("doc", F.lit(None).cast("binary"), "found"))
+    gone = told.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("window").alias("windows"))
 
     def cover(batches):
-        for b in batches:
+        for b in unpacked(batches):
             for part in W.pieces(b, 1):
                 w = W.split(part.column(1))
                 edge = np.zeros(len(w) + run + 1, dtype=np.int32)
+                lists = part.column(2).to_pylist()
+                if any(lists):
+                    a = Anchors.of(w, w.hashes(), run)
+                    at = a.among(lists)
+                    np.add.at(edge, a.start[a.first[at]], 1)
+                    np.add.at(edge, a.start[a.last[at] - 1] + run, -1)
                 tags = _tags(w)
-                for d, found in enumerate(part.column(2).to_pylist()):
+                for d, found in enumerate(part.column(3).to_pylist()):
                     if found:
                         at = np.frombuffer(b"".join(found), dtype=np.uint64)
                         at = (at[at >> np.uint64(32) == tags[d]] & np.uint64(0xFFFFFFFF)).astype(np.int64) + w.first[d]
@@ -234,4 +314,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=["id", "n_words", "n_removed", "kept"],
                 )
 
-    return texts.join(gone, texts["id"] == gone["doc"], "left").select("id", "t", "found").mapInArrow(cover, "id long, n_words long, n_removed long, kept string")
+    every = zipped.join(gone, zipped["id"] == gone["doc"], "left").select("id", "z", "anchors", "windows")
+    return every.mapInArrow(cover, "id long, n_words long, n_removed long, kept string")
