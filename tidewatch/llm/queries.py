@@ -101,3 +101,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+@query("op6_piece_sampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.pieces import decode, encode
+
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("lossless"))
