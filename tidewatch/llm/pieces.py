@@ -26,7 +26,55 @@ from tidewatch.llm.store import tokenizer_file
 
 _MARK = "▁"
 _LOADED: dict[tuple[str, float], "Vocabulary"] = {}
-_LIMIT = 1 << 19
+_LIMIT = 1 << 20
+
+
+#: Edges that a worker remembers at most, with the chunks they belong to; later chunks are filtered again where they occur.
+_REMEMBERED = 3_000_000
+
+
+@dataclass
+class Filtered:
+    """Lattices of distinct chunks, end to end: chunk k lies between the nodes bound[k] and bound[k + 1]. Edges are sorted by
+    the node they end in; share is that node plus the part of its mass up to and with the edge."""
+
+    bound: np.ndarray
+    start: np.ndarray
+    piece: np.ndarray
+    share: np.ndarray
+    edges: int
+    chunks: int
+    slot: dict[bytes, int]
+
+    @staticmethod
+    def room(edges: int) -> Filtered:
+        return Filtered(np.zeros(edges + 1, np.int64), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), 0, 0, {})
+
+    def add(self, other: Filtered, names: list[bytes]) -> None:
+        """Remember other's chunks while there is room."""
+        if not names or self.edges + other.edges > len(self.start):
+            return
+        at, node = slice(self.edges, self.edges + other.edges), int(self.bound[self.chunks])
+        self.start[at], self.piece[at], self.share[at] = other.start + node, other.piece, other.share + node
+        self.slot.update(zip(names, range(self.chunks, self.chunks + len(names))))
+        self.bound[self.chunks + 1 : self.chunks + len(names) + 1] = other.bound[1:] + node
+        self.edges, self.chunks = self.edges + other.edges, self.chunks + len(names)
+
+    def walk(self, live: np.ndarray, chunk: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Sample occurrences backwards, all at once: (step, occurrences, pieces). n counts each one's pieces."""
+        out = []
+        share = self.share[: self.edges]
+        node, first, step = self.bound[chunk + 1], self.bound[chunk], 0
+        while len(live):
+            salt = np.full(1, step, np.uint64) * np.uint64(W.BASES[1])
+            u = (W.mix(own[live] + salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            e = np.searchsorted(share, node + np.minimum(u, 1 - 1e-9), side="right")
+            out.append((step, live, self.piece[e]))
+            n[live] += 1
+            node = self.start[e].astype(np.int64)
+            more = node > first
+            live, node, first, step = live[more], node[more], first[more], step + 1
+        return out
 
 
 @dataclass
@@ -40,6 +88,7 @@ class Vocabulary:
     byte_piece: np.ndarray
     raw: np.ndarray
     begin: np.ndarray
+    known: Filtered
 
     @staticmethod
     def load(path: str, alpha: float) -> Vocabulary:
@@ -79,7 +128,7 @@ class Vocabulary:
         weight[byte_piece] = -alpha * np.log(size + 2.7)
         return Vocabulary(
             keys[order], np.array(list(nodes.values()), dtype=np.int64)[order], np.array(piece_at, dtype=np.int32), weight, byte_piece,
-            np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in text])]),
+            np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in text])]), Filtered.room(_REMEMBERED),
         )
 
     def lattice(self, raw: np.ndarray, end_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,61 +170,54 @@ class Vocabulary:
         opens[offsets[:-1][np.diff(offsets) > 0]] = True
         cut = np.append(np.flatnonzero(opens), len(data)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        _, off, values = coded.dictionary.buffers()
-        bound = np.frombuffer(off, np.int64)[: len(coded.dictionary) + 1]
-        raw = np.frombuffer(values, np.uint8)[: bound[-1]]
-        start, stop, piece, share = self._filtered(raw, bound)
-        # backwards, all occurrences at once
-        which = coded.indices.to_numpy()
+        distinct = coded.dictionary.to_pylist()
+        slot = np.array([self.known.slot.get(x, -1) for x in distinct], dtype=np.int64)
+        new = np.flatnonzero(slot < 0)
+        fresh = Filtered.room(0)
+        if len(new):
+            fresh = self._filtered([distinct[i] for i in new])
+            slot[new] = -1 - np.arange(len(new))
+        which = slot[coded.indices.to_numpy()]
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(cut[:-1], offsets)))
         number = np.arange(len(which)) - np.searchsorted(cut[:-1], offsets)[:-1][row]
         own = W.mix(key[row] + W.mix(number.astype(np.uint64) + W.mix(np.full(1, seed, np.uint64))))
-        live, node, step = np.arange(len(which)), bound[1:][which], 0
-        taken: list[tuple[np.ndarray, np.ndarray]] = []
         n = np.zeros(len(which), np.int64)
-        while len(live):
-            u = (W.mix(own[live] + np.uint64(step) * np.uint64(W.BASES[1])) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(share, node + np.minimum(u, 1 - 1e-9), side="right")
-            taken.append((live, piece[e]))
-            n[live] += 1
-            node = start[e]
-            more = node > bound[which[live]]
-            live, node, step = live[more], node[more], step + 1
+        old = np.flatnonzero(which >= 0)
+        young = np.flatnonzero(which < 0)
+        taken = self.known.walk(old, which[old], own, n) + fresh.walk(young, -1 - which[young], own, n)
+        self.known.add(fresh, [distinct[i] for i in new])
         end = np.cumsum(n)
         out = np.empty(int(end[-1]), np.int32)
-        for k, (live, p) in enumerate(taken):
+        for k, live, p in taken:
             out[end[live] - 1 - k] = p
         return out, np.diff(np.concatenate([[0], end])[np.searchsorted(cut[:-1], offsets)])
 
-    def _filtered(self, raw: np.ndarray, bound: np.ndarray):
-        """Edges in order of their end, with node + share of the node's mass up to and with the edge."""
-        size = np.diff(bound)
-        chunk = np.repeat(np.arange(len(size)), size)
-        start, stop, piece = self.lattice(raw, bound[1:][chunk])
-        depth = stop - bound[chunk[start]]
-        order = np.lexsort((start, stop, depth))
-        s, z, w = start[order], stop[order], self.weight[piece[order]]
-        mass = np.full(len(raw) + 1, -np.inf)
+    def _filtered(self, chunks: list[bytes]) -> Filtered:
+        bound = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
+        raw = np.frombuffer(b"".join(chunks), np.uint8)
+        start, stop, piece = self.lattice(raw, np.repeat(bound[1:], np.diff(bound)))
+        order = np.argsort(stop * 4096 + (stop - start))  # a piece is far shorter than that
+        s, z, p = start[order], stop[order], piece[order]
+        w = self.weight[p]
         begins = np.zeros(len(raw) + 1, dtype=bool)
         begins[bound[:-1]] = True
-        # a chunk's end is the next one's beginning: ends hold their own mass
+        depth = z - np.repeat(bound[:-1], np.diff(bound))[s]
+        order = np.argsort(depth << 32 | np.arange(len(z)))
+        mass = np.full(len(raw) + 1, -np.inf)  # a chunk's end is the next one's beginning: it holds the end's mass
         cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 2))
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            v = np.where(begins[s[a:b]], 0.0, mass[s[a:b]]) + w[a:b]
-            new = np.flatnonzero(np.concatenate([[True], z[a + 1 : b] != z[a : b - 1]]))
-            mass[z[a:b][new]] = np.logaddexp.reduceat(v, new)
-        order = np.lexsort((start, stop))
-        s, z, p = start[order], stop[order], piece[order]
-        part = np.exp(np.where(begins[s], 0.0, mass[s]) + self.weight[p] - mass[z])
-        new = np.concatenate([[True], z[1:] != z[:-1]])
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            if a < b:
+                at = order[a:b]
+                v, to = np.where(begins[s[at]], 0.0, mass[s[at]]) + w[at], z[at]
+                new = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                mass[to[new]] = np.logaddexp.reduceat(v, new)
+        part = np.exp(np.where(begins[s], 0.0, mass[s]) + w - mass[z])
+        at = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
         total = np.cumsum(part)
-        at = np.flatnonzero(new)
         before = np.repeat(np.concatenate([[0.0], total[at[1:] - 1]]), np.diff(np.append(at, len(z))))
         share = np.minimum(total - before, 1.0)
         share[np.append(at[1:], len(z)) - 1] = 1.0
-        return s, z, p, z + share
+        return Filtered(bound, s.astype(np.int32), p.astype(np.int32), z + share, len(z), len(chunks), {})
 
     def spell(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
         """The texts of rows of pieces, without the space put before them."""
