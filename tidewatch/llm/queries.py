@@ -110,3 +110,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("lossless"))
+
+
+@query("op9_quality_grades")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.quality import grade, graded
+
+    labels = graded(learning(table(spark, sf_dir, "labels")), F.col("quality"), F.col("toxic"))
+    out = grade(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, 3)
+    return out.select("doc_id", "expected_grade", "tail_probability", (F.col("expected_grade") >= 1.25).alias("kept"))
