@@ -186,6 +186,32 @@ def _block(size: np.ndarray, k: int, value: np.ndarray) -> np.ndarray:
     return (size.astype(np.uint64) * np.uint64(BLOCKS) + np.uint64(k)) << np.uint64(_WIDTH) | value
 
 
+def _slices(items: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcasts of all items, about ITEM_CHARS characters at a time."""
+    bench = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
+    chars = bench.agg(F.sum(F.length("t") + 100)).first()[0] or 0
+    passes = max(1, -(-chars // ITEM_CHARS))
+    for k in range(passes):
+        some = bench.where(F.pmod(F.xxhash64("id", "t"), F.lit(passes)) == k).orderBy("id", "t").toArrow().combine_chunks()
+        yield items.sparkSession.sparkContext.broadcast(Items.build(some.column("id").to_pylist(), some.column("t")))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that contaminated() has no row for; rows without an id are judged as well."""
+    at = docs.columns.index(text_col)
+    for shared in _slices(items, item_id, item_text):
+
+        def run(batches, shared=shared):
+            for b in batches:
+                for piece in W.pieces(b, at):
+                    keep = np.ones(piece.num_rows, dtype=bool)
+                    keep[[m[0] for m in shared.value.matches(W.split(piece.column(at), lower=True, marks=True), least)]] = False
+                    yield piece.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8,
 ) -> DataFrame:
@@ -194,15 +220,9 @@ def contaminated(
     Null, empty and wordless texts match nothing, on either side. Rows that repeat an id count once each; null ids are kept
     as null. Texts are read whole. Without documents, items or matches the result is empty. Clean documents have no row.
     """
-    spark = docs.sparkSession
-    bench = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
-    chars = bench.agg(F.sum(F.length("t") + 100)).first()[0] or 0
-    passes = max(1, -(-chars // ITEM_CHARS))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     found = None
-    for k in range(passes):
-        some = bench.where(F.pmod(F.xxhash64("id", "t"), F.lit(passes)) == k).orderBy("id", "t").toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast(Items.build(some.column("id").to_pylist(), some.column("t")))
+    for shared in _slices(items, item_id, item_text):
 
         def run(batches, shared=shared):
             known = shared.value

@@ -251,11 +251,11 @@ def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) with the texts compressed one by one, for the shuffle; null stays null."""
+    """The batches with their second column, the text, compressed row by row for the shuffle; null stays null."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
         for part in W.pieces(b, 1):
-            yield pa.record_batch([part.column(0), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+            yield pa.record_batch([part.column(0), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary()), *part.columns[2:]], names=["id", "z", *b.schema.names[2:]])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,20 +268,22 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), texts, *part.columns[2:]], names=["id", "t", *b.schema.names[2:]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 13) -> DataFrame:
-    """Columns id, n_words, n_removed, kept (the words left, joined by one space) for every row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns id, n_words, n_removed, kept (the words left, joined by one space) for every row of docs, and those named in
+    carry as they are.
 
     A word goes if a window of run words that covers it also starts in a document with a smaller id. Null and empty texts
     have no words and an empty kept. Rows with equal ids do not remove each other's words, be their texts equal or not; a row
     with a null id loses nothing and removes nothing. Texts of any length are read whole. An empty table gives none.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    known = texts.where("id IS NOT NULL")
+    rest = [f"_{k}" for k in range(len(carry))]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(r) for c, r in zip(carry, rest)))
+    known = texts.select("id", "t").where("id IS NOT NULL")
     chars = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(partitions(spark), -(-chars // BUCKET_CHARS))
     anchors = save(shared_anchors(known, run, buckets))
-    zipped = texts.mapInArrow(packed, "id long, z binary")
+    zipped = texts.mapInArrow(packed, texts.withColumn("t", F.col("t").cast("binary")).withColumnRenamed("t", "z").schema)
     of = anchors.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list("found").alias("found"))
     windows = save(repeated_windows(zipped.join(of, zipped["id"] == of["doc"]).select("id", "z", "found"), run, buckets))
     told = anchors.where(F.col("kind") == SETTLED).select("doc", F.col("found").alias("anchor"), F.lit(None).cast("binary").alias("window"))
@@ -310,9 +312,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = np.concatenate([[0], np.cumsum(keep)])[w.first]
                 n = w.count()
                 yield pa.record_batch(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), W.joined(w, keep).cast(pa.string())],
-                    names=["id", "n_words", "n_removed", "kept"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), W.joined(w, keep).cast(pa.string()), *part.columns[4:]],
+                    names=["id", "n_words", "n_removed", "kept", *rest],
                 )
 
-    every = zipped.join(gone, zipped["id"] == gone["doc"], "left").select("id", "z", "anchors", "windows")
-    return every.mapInArrow(cover, "id long, n_words long, n_removed long, kept string")
+    every = zipped.join(gone, zipped["id"] == gone["doc"], "left").select("id", "z", "anchors", "windows", *rest)
+    as_is = every.select("id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), *rest)
+    return every.mapInArrow(cover, as_is.schema).withColumnsRenamed(dict(zip(rest, carry)))
