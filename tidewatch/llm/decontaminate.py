@@ -1,7 +1,7 @@
 """Benchmark decontamination: windows of an item's size, SimHash, multi-index Hamming tables, exact weighted similarity.
 
 Texts are compared as lower-cased words without ASCII punctuation, in shingles of five words (fewer words: one shingle),
-every repeat counted. A window is as long as the item it may match. The similarity of two bags of shingles is the sum of
+every repeat counted; an item of fewer words matches where just these words follow each other. A window is as long as the item it may match. The similarity of two bags of shingles is the sum of
 smaller counts over the sum of larger ones; two bags of sizes a and b that reach t share at least t / (1 + t) * (a + b)
 shingles, so only windows that hold so many shingles of items of their size are fingerprinted; none that could match is lost.
 
@@ -72,6 +72,8 @@ class Items:
     count: np.ndarray
     table: np.ndarray
     entry: np.ndarray
+    #: The first shingle of each item.
+    only: np.ndarray
 
     @staticmethod
     def build(ids: list, texts: pa.Array) -> Items:
@@ -89,10 +91,13 @@ class Items:
         keys = [_block(n[full], k, (fp[full] >> np.uint64(_WIDTH * k) & np.uint64((1 << _WIDTH) - 1)) ^ f) for k in range(BLOCKS) for f in _FLIPS]
         table, entry = np.concatenate(keys), np.tile(full, BLOCKS * len(_FLIPS))
         order = np.argsort(table, kind="stable")
-        return Items(ids, n, per, fp, shingle, sizes_of, of, count, table[order], entry[order])
+        only = np.zeros(len(n), np.uint64)
+        only[full] = h[first[full]]
+        return Items(ids, n, per, fp, shingle, sizes_of, of, count, table[order], entry[order], only)
 
     def matches(self, w: W.Words, least: float) -> Iterator[tuple[int, int, float, int]]:
         """(row, item, similarity, first word of the window) of the best window of each row and item."""
+        yield from self._short(w)
         h, first, per = shingles(w)
         if not len(h) or not len(self.shingle):
             return
@@ -105,12 +110,15 @@ class Items:
         for s in np.unique(at[hit]):
             where = hit[at[hit] == s]
             for size in self.sizes_of[s].tolist():
-                by_size.setdefault(size, []).append(where)
+                if size >= SHINGLE:
+                    by_size.setdefault(size, []).append(where)
+        if not by_size:
+            return
         share = least / (1 + least)
         begins, ends, sizes = [], [], []
         for size, found in by_size.items():
             p = np.sort(np.concatenate(found))
-            m = size - SHINGLE + 1 if size >= SHINGLE else 1
+            m = size - SHINGLE + 1
             # whole windows: enough hits within m places of one row
             c = max(1, int(np.ceil(share * 2 * m - 1e-9)))
             if len(p) >= c:
@@ -148,6 +156,18 @@ class Items:
         for (r, i), (sim, start) in best.items():
             yield r, i, sim, -start
 
+    def _short(self, w: W.Words) -> Iterator[tuple[int, int, float, int]]:
+        """Items of fewer words than a shingle: one shingle, so a window is equal or shares nothing."""
+        for size in range(1, SHINGLE):
+            items = np.flatnonzero(self.words == size)
+            if len(items):
+                g, at = W.grams(w.hashes(), w.doc, size)
+                for i in items.tolist():
+                    place = at[g == self.only[i]]
+                    row, first = np.unique(w.doc[place], return_index=True)
+                    for r, p in zip(row.tolist(), place[first].tolist()):
+                        yield r, i, 1.0, int(p - w.first[r])
+
     def lookup(self, fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item of its size) within RADIUS, by the block tables."""
         window, item = [], []

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +211,7 @@ def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
                 names=["key", "open", "h", "extra", "doc", "pos"],
             )
 
-        for b in unpacked(batches):
+        for b in W.unpacked(batches):
             for part in W.pieces(b, 1):
                 w = W.split(part.column(1))
                 word = w.hashes()
@@ -250,24 +249,6 @@ def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
     return sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(meet, "doc long, found binary, kind int")
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches with their second column, the text, compressed row by row for the shuffle; null stays null."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for b in batches:
-        for part in W.pieces(b, 1):
-            yield pa.record_batch([part.column(0), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary()), *part.columns[2:]], names=["id", "z", *b.schema.names[2:]])
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts again, some hundred rows at a time; other columns stay."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
-            texts = pa.array([None if z is None else open_(z) for z in part.column(1).to_pylist()], pa.binary()).cast(pa.string())
-            yield pa.record_batch([part.column(0), texts, *part.columns[2:]], names=["id", "t", *b.schema.names[2:]])
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
     """Columns id, n_words, n_removed, kept (the words left, joined by one space) for every row of docs, and those named in
     carry as they are.
@@ -283,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chars = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(partitions(spark), -(-chars // BUCKET_CHARS))
     anchors = save(shared_anchors(known, run, buckets))
-    zipped = texts.mapInArrow(packed, texts.withColumn("t", F.col("t").cast("binary")).withColumnRenamed("t", "z").schema)
+    zipped = texts.mapInArrow(W.packed, texts.withColumn("t", F.col("t").cast("binary")).withColumnRenamed("t", "z").schema)
     of = anchors.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list("found").alias("found"))
     windows = save(repeated_windows(zipped.join(of, zipped["id"] == of["doc"]).select("id", "z", "found"), run, buckets))
     told = anchors.where(F.col("kind") == SETTLED).select("doc", F.col("found").alias("anchor"), F.lit(None).cast("binary").alias("window"))
@@ -291,7 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = told.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("window").alias("windows"))
 
     def cover(batches):
-        for b in unpacked(batches):
+        for b in W.unpacked(batches):
             for part in W.pieces(b, 1):
                 w = W.split(part.column(1))
                 edge = np.zeros(len(w) + run + 1, dtype=np.int32)

@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     for c in range(2):
         d = _discount(*ones[:, c])
         cut = np.maximum(after[c] - d, 0)
-        word = (cut + (after[c].sum() - cut.sum()) * base) / after[c].sum()
+        word = (cut + (after[c].sum() - cut.sum()) * base) / after[c].sum() if after[c].any() else base
         held = np.maximum(pair[c] - d, 0)
         seen = np.maximum(count[c], 1)
         free = np.maximum(1 - np.bincount(left, weights=held, minlength=size) / seen, 1e-6)
