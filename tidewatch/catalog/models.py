@@ -271,11 +271,11 @@ def isotonic_calibration(spark, sf):
 
 @query(
     "alert_narratives",
-    f"""{SC} SELECT event_id, 'Entity ' || entity_id || ' shows behaviour consistent with ' || replace(anomaly_type, '_', ' ') || ' (risk ' || CAST(CAST(risk AS BIGINT) AS VARCHAR) || '/100, ' ||
+    f"""{SC} SELECT event_id, entity_id || ': possible ' || replace(anomaly_type, '_', ' ') || ', risk ' || CAST(CAST(risk AS BIGINT) AS VARCHAR) || ' of 100 (' ||
       CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 40 THEN 'moderate' ELSE 'low' END || ').' ||
-      CASE WHEN event_id % 2 = 0 THEN ' Main drivers: log_bytes_out.' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ' Deterministic checks fired: brute_force.' ELSE '' END ||
-      CASE anomaly_type WHEN 'brute_force' THEN ' Maps to MITRE ATT&CK T1110 (Brute Force).' ELSE ' Maps to MITRE ATT&CK T1048 (Exfiltration Over Alternative Protocol).' END ||
-      CASE WHEN event_id % 5 = 0 THEN ' This entity has little history, so the score is less certain.' ELSE '' END AS narrative FROM sc WHERE is_anomaly""",
+      CASE WHEN event_id % 2 = 0 THEN ' Led by log_bytes_out.' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ' Rules hit: brute_force.' ELSE '' END ||
+      CASE anomaly_type WHEN 'brute_force' THEN ' Techniques: T1110 (Brute Force).' ELSE ' Techniques: T1048 (Exfiltration Over Alternative Protocol).' END ||
+      CASE WHEN event_id % 5 = 0 THEN ' Little history so far; read the risk with care.' ELSE '' END AS narrative FROM sc WHERE is_anomaly""",
 )
 def alert_narratives(spark, sf):
     rows = X.techniques(scored(spark, sf).filter("is_anomaly"), "anomaly_type").selectExpr(

@@ -514,7 +514,7 @@ _DET = "event_id, entity_id, round(value, 4) AS risk, ts_us"
 
 
 def _detections(spark, sf):
-    return scored(spark, sf).drop("risk").withColumnRenamed("value", "risk")
+    return scored(spark, sf).drop("risk").withColumnRenamed("value", "risk").withColumn("detection_id", F.concat(F.lit("det_"), F.col("event_id")))
 
 
 def _shown(df, *more):
@@ -533,7 +533,7 @@ def latest_detections(spark, sf):
 
 @query("detection_by_id", f"{SC} SELECT {_DET} FROM sc WHERE event_id = 20")
 def detection_by_id(spark, sf):
-    return _shown(H.detection_by_id(_detections(spark, sf), 20))
+    return _shown(H.detection_by_id(_detections(spark, sf), "det_20"))
 
 
 @query("entity_history", f"{SC} SELECT {_DET}, (SELECT count(*) FROM sc WHERE entity_id = 'ent_0') AS total FROM sc WHERE entity_id = 'ent_0' ORDER BY value DESC, ts_us DESC, event_id LIMIT 100")

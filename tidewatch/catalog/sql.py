@@ -26,10 +26,11 @@ base AS (
          concat_ws('_', ent, (ts_us // 1000000) // {SESSION_SECONDS}) AS session_id,
          CASE WHEN event_type = 'error' AND value > 60 THEN 'brute_force'
               WHEN value > 150 THEN 'low_and_slow_exfil'
-              WHEN k >= 98 THEN 'impossible_travel' ELSE 'normal' END AS label
-  FROM raw WHERE ent % 5 <> 1 OR ts_us >= {COLD_FROM_US}),
+              WHEN k >= 98 THEN 'impossible_travel' ELSE 'normal' END AS label,
+         ent || CASE WHEN ent % 5 = 1 AND ts_us < {COLD_FROM_US} THEN '_old' ELSE '' END AS who
+  FROM raw),
 ev AS (
-  SELECT event_id, ts AS timestamp, ts_us, 'ent_' || ent AS entity_id, ent, k, value, event_type,
+  SELECT event_id, ts AS timestamp, ts_us, 'ent_' || who AS entity_id, ent, k, value, event_type,
     {_pick(_text(("user", "service_account", "edge_device")), "ent % 3")} AS entity_type,
     concat_ws('.', '10', ent % 200, k % 4, event_id % 250) AS source_ip,
     {_pick(_text(p[3] for p in PLACES), "place")} AS geo_country,
@@ -46,7 +47,7 @@ ev AS (
     {_pick(_text(("https", "ssh", "mqtt", "rdp")), "k % 4")} AS device_protocol,
     'agent/' || (k % 3) AS device_user_agent,
     value * 1000 AS bytes_out, value * 100 AS bytes_in, label,
-    CASE WHEN label <> 'normal' THEN concat_ws('_', 'c', ent, (ts_us // 1000000) // {WEEK_SECONDS}) END AS campaign_id,
+    CASE WHEN label <> 'normal' THEN concat_ws('_', 'c', who, (ts_us // 1000000) // {WEEK_SECONDS}) END AS campaign_id,
     CASE WHEN label <> 'normal' THEN CAST(k % 4 AS BIGINT) END AS stage,
     CASE WHEN ts_us < train_end THEN 'train' WHEN ts_us < val_end THEN 'val' ELSE 'test' END AS split
   FROM base, bounds)"""

@@ -39,6 +39,10 @@ MAX_CATEGORIES = {
 SCHEMA_VERSION = 1
 
 
+#: Groups that a table may be cut into; what is broadcast about them is bounded by this.
+MAX_GROUPS = 100_000
+
+
 @dataclass(frozen=True)
 class Settings:
     # trailing window and live profile
@@ -92,6 +96,8 @@ class Settings:
 
     def group_limit(self, total_rows: int) -> int:
         if self.max_group_rows is not None:
+            if self.max_group_rows < 1 or total_rows > self.max_group_rows * MAX_GROUPS:
+                raise ValueError(f"max_group_rows={self.max_group_rows} would cut {total_rows} rows into more than {MAX_GROUPS} groups")
             return self.max_group_rows
         return max(1_000_000, total_rows // 10_000)
 

@@ -69,7 +69,7 @@ def frequencies(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def category_codes(events: DataFrame, caps: dict = MAX_CATEGORIES, min_count: int = 1, cohorts: int = 6) -> DataFrame:
-    """(field, value, code, n): frequency rank from 1; code 0 is kept for unseen values.
+    """(field, value, code, n): frequency rank from 1; code 0 is kept for unseen values. A field without a cap keeps all.
 
     Cohort codes come from the configured cohort count, not from data.
     """
@@ -84,8 +84,8 @@ def category_codes(events: DataFrame, caps: dict = MAX_CATEGORIES, min_count: in
     for f, k in caps.items():
         cap = F.when(F.col("field") == f, F.lit(k)).otherwise(cap)
     w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
-    ranked = counts.withColumn("code", F.row_number().over(w)).filter(F.col("code") <= max(caps.values()))
-    ranked = ranked.filter(F.col("code") <= cap).select("field", "value", "code", "n")
+    ranked = counts.withColumn("code", F.row_number().over(w)).filter(cap.isNull() | (F.col("code") <= cap))
+    ranked = ranked.select("field", "value", "code", "n")
     names = sorted([str(i) for i in range(cohorts)] + ["unknown"])
     fixed = events.sparkSession.createDataFrame(
         [("cohort", v, i + 1, 1) for i, v in enumerate(names)], "field string, value string, code int, n bigint"

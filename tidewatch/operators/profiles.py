@@ -113,18 +113,20 @@ def value_counts(events: DataFrame, keys: list[str], settings: Settings = DEFAUL
 
 
 def top_shares(counts: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """Keep each distribution's top K by (-n, value), then normalise.
+    """Keep the top K by (-n, value) of each distribution that has a K, all values of the others, then normalise.
 
-    Row numbers under a constant limit are cut inside each task before the shuffle, so a
+    Row numbers under a constant limit are cut inside each task before the shuffle, so a limited
     distribution with very many values does not gather in one place.
     """
     limit = F.lit(None).cast("int")
     for dim, k in settings.top_values.items():
         limit = F.when(F.col("dim") == dim, F.lit(k)).otherwise(limit)
-    w = Window.partitionBy(*keys, "dim").orderBy(F.desc("n"), "value")
-    widest = max(settings.top_values.values())
-    ranked = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= widest)
-    kept = ranked.filter(limit.isNull() | (F.col("rank") <= limit))
+    kept = counts.filter(limit.isNull())
+    if settings.top_values:
+        w = Window.partitionBy(*keys, "dim").orderBy(F.desc("n"), "value")
+        widest = max(settings.top_values.values())
+        ranked = counts.filter(limit.isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= widest)
+        kept = kept.unionByName(ranked.filter(F.col("rank") <= limit).drop("rank"))
     total = F.sum("n").over(Window.partitionBy(*keys, "dim"))
     return kept.withColumn("share", F.col("n") / total)
 

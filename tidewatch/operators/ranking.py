@@ -4,7 +4,8 @@ Rows are cut into order-preserving buckets by split points taken from a small sa
 points steer only the sizes of the buckets; every row is kept and every result is exact). Bucket
 totals, of which there are at most a few thousand, give each bucket's offset; inside a bucket a
 plain window does the rest. Ties on the score are separated by the id, so one popular score
-cannot make a bucket large.
+cannot make a bucket large. Null and NaN scores rank last, in either direction. Buckets hold about
+BUCKET_ROWS rows until there are MAX_BUCKETS of them; beyond that they grow with the table.
 """
 
 from __future__ import annotations
@@ -56,7 +57,9 @@ def ranked(
     """Adds ``rank`` (1 = first) by (score, id ascending) and, per SQL expression in ``sums``, its
     running total up to and including the row."""
     sums = sums or {}
-    keyed = df.withColumn("_s", F.col(score).cast("double") * (1 if ascending else -1)).withColumn("_i", F.col(id))
+    value = F.col(score).cast("double")
+    last = value.isNull() | F.isnan(value)
+    keyed = df.withColumn("_s", F.when(last, float("inf")).otherwise(value * (1 if ascending else -1))).withColumn("_i", F.col(id))
     total = df.count()
     splits = _splits(keyed.select("_s", "_i"), total, bucket_rows)
     keyed = keyed.withColumn("_b", _bucket(splits, dict(df.dtypes)[id]).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
@@ -24,10 +24,17 @@ def ordered(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def summaries(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Ten measures per session. Commands are counted with adjacent repeats merged: inside an event
-    by comparing neighbours, across events by the previous event's last command."""
+    by comparing neighbours, across events by the last command before. A slice of a split session
+    gets the last command of the slices before it."""
     o = _in_session(events.withColumn("_c", F.expr(CLEAN)), s)
-    w = o.by_row()
-    f = o.frame.withColumn("_last", F.last(F.expr("if(size(_c) > 0, element_at(_c, -1), null)"), True).over(w.rowsBetween(-(1 << 31), -1)))
+    f = o.frame.withColumn("_end", F.expr("if(size(_c) > 0, element_at(_c, -1), null)"))
+    f = f.withColumn("_last", F.last("_end", True).over(o.by_row().rowsBetween(Window.unboundedPreceding, -1)))
+    if o.sliced:
+        ends = o.with_frame(f).rows().filter("_end is not null").groupBy(o.key, "slice").agg(F.max_by("_end", F.struct(o.us, o.id)).alias("_end"))
+        slices = o.rows().select(o.key, "slice").distinct().join(ends, [o.key, "slice"], "left")
+        earlier = Window.partitionBy(o.key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        carry = slices.select(o.key, "slice", F.last("_end", True).over(earlier).alias("_carry")).filter("slice > 0")
+        f = f.join(F.broadcast(carry), [o.key, "slice"], "left").withColumn("_last", F.coalesce("_last", "_carry"))
     fresh = "size(filter(_c, (t, i) -> i = 0 or t <> _c[i - 1])) - if(size(_c) > 0 and _c[0] = _last, 1, 0)"
     f = o.with_frame(f).rows().withColumn("_fresh", F.expr(fresh))
     bad = F.when(F.col("auth_success"), 0.0).otherwise(1.0)

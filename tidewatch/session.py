@@ -24,21 +24,28 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; only a local session may leave it unset and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
 
-        root = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise a table that several later jobs read, in the cluster's shared checkpoint folder.
-    Survives losing executors, unlike a cached one."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """Write a table that several later jobs read as Parquet in the cluster's shared checkpoint folder.
+    Survives losing executors, unlike a cached one; later jobs read only the columns they need."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tidewatch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -1,7 +1,8 @@
 """Adapter: reads the generic ``events`` table as access telemetry.
 
 Deterministic and arithmetic only, so that the same table can be stated in plain SQL for checking
-(:data:`tidewatch.catalog.sql.EVENTS`). Ten users are folded into one entity.
+(:data:`tidewatch.catalog.sql.EVENTS`). Ten users are folded into one entity. A fifth of the entities gets another id
+before COLD_FROM_US, so that its later one starts cold; every row of the table is read.
 """
 
 from __future__ import annotations
@@ -57,9 +58,10 @@ def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.expr("user_id div 10").alias("ent"),
-    ).filter((F.col("ent") % 5 != 1) | (F.col("ts_us") >= COLD_FROM_US))
-
+    )
     k, ent = F.col("k"), F.col("ent")
+    early = F.when((ent % 5 == 1) & (F.col("ts_us") < COLD_FROM_US), "_old").otherwise("")
+    who = F.concat(ent.cast("string"), early)
     place = F.when(k >= 97, (ent + 1 + F.col("event_id") % 7) % 8).otherwise(ent % 8).cast("int")
     session = F.concat_ws("_", ent.cast("string"), F.expr(f"(ts_us div 1000000) div {SESSION_SECONDS}").cast("string"))
     label = (
@@ -73,7 +75,7 @@ def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = Window.partitionBy("session_id").orderBy("ts_us", "event_id").rowsBetween(-4, 0)
     return df.select(
         "event_id",
-        F.concat(F.lit("ent_"), ent.cast("string")).alias("entity_id"),
+        F.concat(F.lit("ent_"), who).alias("entity_id"),
         _pick(("user", "service_account", "edge_device"), (ent % 3).cast("int")).alias("entity_type"),
         "timestamp",
         "ts_us",
@@ -99,7 +101,7 @@ def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         "label",
         F.when(
-            F.col("label") != "normal", F.concat_ws("_", F.lit("c"), ent.cast("string"), week.cast("string"))
+            F.col("label") != "normal", F.concat_ws("_", F.lit("c"), who, week.cast("string"))
         ).alias("campaign_id"),
         F.when(F.col("label") != "normal", (k % 4).cast("bigint")).alias("stage"),
         time_split(F.col("ts_us"), F.lit(train_end), F.lit(val_end)).alias("split"),
