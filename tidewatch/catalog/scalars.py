@@ -278,3 +278,40 @@ def display_types(spark, sf):
 )
 def stable_ids(spark, sf):
     return load_raw(spark, sf).select("event_id", S.stable_id("det", F.col("event_id"), F.col("user_id")).alias("detection_id"))
+
+
+_KNOWN = "event_id % 5 <> 0"
+
+
+@query(
+    "ingested_messages",
+    f"""{EV}, m AS (SELECT *, event_id % 17 = 3 AS broken, event_id % 13 = 2 AS far, event_id % 7 = 1 AS no_flag, event_id % 11 = 4 AS odd FROM ev)
+      SELECT event_id AS message, coalesce(CASE WHEN NOT broken AND {_KNOWN} THEN CAST(event_id AS VARCHAR) END, 'made') AS event_id,
+        coalesce(CASE WHEN NOT broken THEN entity_id END, '') AS entity_id, coalesce(CASE WHEN NOT broken THEN device_mac END, '') AS device_mac,
+        CASE WHEN broken THEN true ELSE no_flag OR auth_success END AS auth_success,
+        CASE WHEN broken THEN 0 WHEN odd THEN -1 ELSE floor(bytes_out) END AS bytes_out,
+        CASE WHEN broken THEN 'unparseable' ELSE concat_ws(',', CASE WHEN odd THEN 'bytes_out' END, CASE WHEN far THEN 'lat' END) END AS reasons FROM m""",
+)
+def ingested_messages(spark, sf):
+    """Events rendered as nested messages, with faults by event id, read back leniently."""
+    from tidewatch.streaming.jobs import parse_messages
+
+    n = Tb.nest(access_events(spark, sf)).withColumn("message", F.col("event_id"))
+    text = F.format_number(F.floor("bytes_out").cast("double"), 0)
+    n = n.withColumns({
+        "event_id": F.when(F.expr(_KNOWN), F.col("event_id").cast("string")),
+        "auth_success": F.when(F.col("message") % 7 != 1, F.when(F.col("auth_success"), "Yes").otherwise(" off ")),
+        "bytes_out": F.when(F.col("message") % 11 == 4, F.lit("much")).otherwise(text),
+        "geo": F.struct("geo.country", "geo.city", F.when(F.col("message") % 13 == 2, 999.0).otherwise(F.col("geo.lat")).alias("lat"), "geo.lon"),
+        "device_fingerprint": F.struct("device_fingerprint.os", F.concat(F.lit(" "), F.upper("device_fingerprint.mac")).alias("mac"), "device_fingerprint.protocol"),
+    })
+    fields = ("event_id", "entity_id", "entity_type", "timestamp", "source_ip", "geo", "device_fingerprint", "resource_accessed", "auth_method", "auth_success", "session_id", "command_sequence", "bytes_out")
+    value = F.to_json(F.struct(*fields))
+    raw = n.select("message", F.when(F.col("message") % 17 == 3, F.substring(value, 1, 40)).otherwise(value).alias("value"))
+    made = F.when(F.col("event_id").startswith("evt_"), "made").otherwise(F.col("event_id"))
+    out = parse_messages(raw, keep=("message",)).select(
+        "message", made.alias("event_id"), F.coalesce("entity_id", F.lit("")).alias("entity_id"), F.coalesce("device_mac", F.lit("")).alias("device_mac"),
+        "auth_success", F.coalesce("bytes_out", F.lit(-1.0)).alias("bytes_out"), F.array_join("reasons", ",").alias("reasons"),
+    )
+    blank = F.col("reasons") == "unparseable"
+    return out.withColumns({"entity_id": F.when(blank, "").otherwise(F.col("entity_id")), "auth_success": blank | F.col("auth_success"), "bytes_out": F.when(blank, 0.0).otherwise(F.col("bytes_out")), "device_mac": F.when(blank, "").otherwise(F.col("device_mac"))})

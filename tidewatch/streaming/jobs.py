@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidewatch.config import DEFAULTS, Settings
+from tidewatch.functions import scalar as S
 from tidewatch.operators.drift import Monitor
 from tidewatch.sources.tables import EVENT, latest_by, rejections
 
@@ -25,13 +26,45 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 # --- ingest -------------------------------------------------------------------------------------- #
 
+PLACE, DEVICE, FLOATS = ("country", "city", "lat", "lon"), ("os", "mac", "protocol", "user_agent"), ("session_duration", "bytes_out", "bytes_in")
+#: Every value is read as text and typed afterwards; flat place and device fields are taken under their own names.
+MESSAGE = (
+    "event_id string, entity_id string, entity_type string, timestamp string, source_ip string, geo struct<country string, city string, lat string, lon string>, "
+    "device_fingerprint struct<os string, mac string, protocol string, user_agent string>, resource_accessed string, auth_method string, auth_success string, "
+    "session_id string, session_duration string, command_sequence array<string>, bytes_out string, bytes_in string, split string, "
+    + ", ".join([*(f"geo_{n} string" for n in PLACE), *(f"device_{n} string" for n in DEVICE)]) + ", _corrupt string"
+)
+
 
-def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text -> typed event columns plus ``reasons`` (why a message cannot be used)."""
-    e = raw.withColumn("_e", F.from_json(F.col(column).cast("string"), EVENT, {"mode": "PERMISSIVE"}))
-    flat = e.select(F.col(column).cast("string").alias("raw"), "_e.*").withColumn("ts_us", F.unix_micros("timestamp"))
-    broken = F.when(F.col("event_id").isNull(), F.array(F.lit("unparseable")))
-    return flat.withColumn("reasons", F.coalesce(broken, rejections()))
+def parse_messages(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON text -> typed event columns plus ``reasons`` (why a message cannot be used) and the columns named in keep.
+
+    Place and device may be nested (``geo``, ``device_fingerprint``) or flat. Numbers and flags may come as text such as
+    "1,234", "83%" or "yes". An absent event id is made from the message's own text, so a replay gives it again; absent
+    success counts as true, absent volumes and durations as zero, absent commands as none.
+    """
+    e = raw.withColumn("_e", F.from_json(F.col(column).cast("string"), MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    e = e.select(F.col(column).cast("string").alias("raw"), *keep, "_e.*").withColumn("_broken", F.col("_corrupt").isNotNull() | F.col("raw").isNull())
+    flat = e.select("*", *[F.coalesce(F.col(f"geo.{n}"), F.col(f"geo_{n}")).alias(f"_geo_{n}") for n in PLACE],
+                    *[F.coalesce(F.col(f"device_fingerprint.{n}"), F.col(f"device_{n}")).alias(f"_device_{n}") for n in DEVICE])
+    flat = flat.drop(*(f"geo_{n}" for n in PLACE), *(f"device_{n}" for n in DEVICE))
+    flat = flat.withColumnsRenamed({f"_{k}_{n}": f"{k}_{n}" for k, ns in (("geo", PLACE), ("device", DEVICE)) for n in ns})
+    typed, bad = {}, []
+    for names, read, absent in ((FLOATS, S.coerce_float, F.lit(0.0)), (("geo_lat", "geo_lon"), S.coerce_float, None), (("auth_success",), S.coerce_bool, F.lit(True))):
+        for n in names:
+            value = read(F.col(n))
+            bad.append(F.when(F.col(n).isNotNull() & value.isNull(), F.lit(n)))
+            typed[n] = value if absent is None else F.when(F.col(n).isNull(), absent).otherwise(value)
+    texts = ("entity_id", "entity_type", "source_ip", "resource_accessed", "auth_method", "session_id", *(f"geo_{n}" for n in ("country", "city")), *(f"device_{n}" for n in DEVICE))
+    typed |= {n: F.trim(n) for n in texts}
+    typed["device_mac"] = F.lower(F.trim("device_mac"))
+    typed["event_id"] = F.coalesce(F.trim("event_id"), S.stable_id("evt", F.col("raw")))
+    typed["command_sequence"] = F.coalesce("command_sequence", F.array().cast("array<string>"))
+    typed["timestamp"] = F.col("timestamp").try_cast("timestamp")
+    out = flat.withColumn("_bad", F.filter(F.array(*bad), lambda m: m.isNotNull())).withColumns(typed).withColumn("ts_us", F.unix_micros("timestamp"))
+    short = F.when(F.length("source_ip") < 3, F.array(F.lit("source_ip"))).otherwise(F.array().cast("array<string>"))
+    reasons = F.when(F.col("_broken"), F.array(F.lit("unparseable"))).otherwise(F.array_sort(F.array_distinct(F.concat(rejections(), short, "_bad"))))
+    return out.withColumn("reasons", reasons).select("raw", *keep, *EVENT.fieldNames(), "ts_us", "reasons")
 
 
 def good_and_dead(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +92,7 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -
 # --- keyed feature state --------------------------------------------------------------------------- #
 
 FEATURE_SCHEMA = (
-    "entity_id string, event_id bigint, ts_us bigint, log_seconds_since_prev double, log_distance_from_prev_km double, "
+    "entity_id string, event_id {id}, ts_us bigint, log_seconds_since_prev double, log_distance_from_prev_km double, "
     "device_changed_from_prev double, window_event_count double, window_auth_failures double, window_distinct_resources double, "
     "log_window_bytes_out double, window_distinct_sessions double, session_event_index double, session_distinct_resources double, "
     "session_auth_failures double, is_new_session double, bytes_out_zscore double, bytes_in_zscore double, "
@@ -148,7 +181,7 @@ class FeatureState(StatefulProcessor):
         bad = 0 if r.auth_success else 1
         sids = {win[2][i] for i in live if win[2][i]} | ({r.session_id} if r.session_id else set())
         row = (
-            int(r.event_id), t, gap or 0.0, 0.0 if first else math.log1p(_km(lat, lon, r.geo_lat, r.geo_lon)),
+            r.event_id, t, gap or 0.0, 0.0 if first else math.log1p(_km(lat, lon, r.geo_lat, r.geo_lon)),
             float(not first and mac != r.device_mac), len(live) + 1.0, float(sum(not win[1][i] for i in live) + bad),
             float(len({win[4][i] for i in live} | {r.resource_accessed})), math.log1p(max(0.0, sum(win[3][i] for i in live) + r.bytes_out)),
             float(len(sids)), float(len(same)), float(len({win[4][i] for i in same} | {r.resource_accessed})),
@@ -182,7 +215,7 @@ FEATURE_INPUT = (
 def feature_stream(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Stateful features of an event stream; equal to the batch features for events in order."""
     return events.select(*FEATURE_INPUT).groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=FeatureState(s), outputStructType=FEATURE_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=FeatureState(s), outputStructType=FEATURE_SCHEMA.replace("{id}", dict(events.dtypes)["event_id"]), outputMode="Append", timeMode="None"
     )
 
 
@@ -206,7 +239,7 @@ class DriftState(StatefulProcessor):
         for r in pd.concat(list(rows)).sort_values(["ts_us", "event_id"]).itertuples(index=False):
             psi, status, n = m.push(r.value)
             if status != "bootstrap":
-                out.append((key[0], int(r.event_id), int(r.ts_us), n, psi, status))
+                out.append((key[0], r.event_id, int(r.ts_us), n, psi, status))
         floats = lambda xs: [float(x) for x in xs or []]
         self.state.update((m.seen, floats(m.buffer), floats(m.edges), floats(m.base), m.streak))
         yield pd.DataFrame(out, columns=["entity_id", "event_id", "ts_us", "samples", "psi", "status"])
@@ -218,7 +251,7 @@ class DriftState(StatefulProcessor):
 def drift_stream(signal: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return signal.groupBy("entity_id").transformWithStateInPandas(
         statefulProcessor=DriftState(s),
-        outputStructType="entity_id string, event_id bigint, ts_us bigint, samples bigint, psi double, status string",
+        outputStructType=f"entity_id string, event_id {dict(signal.dtypes)['event_id']}, ts_us bigint, samples bigint, psi double, status string",
         outputMode="Append", timeMode="None",
     )
 
