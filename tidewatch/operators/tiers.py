@@ -204,14 +204,18 @@ def assemble(rows: DataFrame, scaler: dict, codes: DataFrame) -> DataFrame:
     return out.withColumn("row", array_to_vector("row_array"))
 
 
-def fit_classifier(rows: DataFrame, s: Settings = DEFAULTS, trees: int = 30) -> Classifier:
-    """Multiclass forest on 85 % of the rows, per-class calibration on the rest. ``rows``: row, label."""
+def fit_classifier(rows: DataFrame, s: Settings = DEFAULTS, trees: int = 30, weighting: str = "none") -> Classifier:
+    """Multiclass forest on 85 % of the rows, per-class calibration on the rest. ``rows``: row, label.
+    ``weighting`` is a mode of class_weights(); the weights go to the forest's training rows."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
     idx = F.expr("CASE label " + " ".join(f"WHEN '{c}' THEN {i}D" for i, c in enumerate(ANOMALY_CLASSES)) + " END")
     data = rows.withColumn("y", idx)
     forest = RandomForestClassifier(featuresCol="row", labelCol="y", numTrees=trees, maxDepth=8, seed=s.seed)
+    if weighting != "none":
+        data = data.join(F.broadcast(class_weights(rows, weighting).select("label", "weight")), "label")  # one row per class
+        forest = forest.setWeightCol("weight")
     model = forest.fit(data.filter(f"not ({holdout()})"))
     held = model.transform(data.filter(holdout())).withColumn("p", vector_to_array("probability")).select("p", "y")
     held = settle(held)
