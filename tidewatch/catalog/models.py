@@ -11,6 +11,7 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.scoring import SC, scored
 from tidewatch.catalog.sql import BLOCK, EVENTS, ORDERED, by_value, haversine, r4, with_
 from tidewatch.config import ANOMALY_CLASSES, DEFAULTS
+from tidewatch.functions import sequences as SQ
 from tidewatch.functions.scalar import r4 as R
 from tidewatch.operators import cohorts as CO
 from tidewatch.operators import corpus as C
@@ -151,12 +152,56 @@ def full_feature_table(spark, sf):
 
 @query("entity_feature_statistics")
 def entity_feature_statistics(spark, sf):
-    f = featurise(access_events(spark, sf), WIDE, names=("window_event_count", "log_bytes_out", "cold_start"))
-    per = f.groupBy("entity_id").agg(
-        F.avg("window_event_count").alias("mean_events"), F.stddev_pop("window_event_count").alias("std_events"),
-        F.avg("log_bytes_out").alias("mean_bytes"), F.stddev_pop("log_bytes_out").alias("std_bytes"), F.avg("cold_start").alias("cold_share"),
-    )
-    return per
+    """Mean and population deviation of all 59 features per entity."""
+    return FI.feature_statistics(featurise(access_events(spark, sf), WIDE), ["entity_id"])
+
+
+@query("pooled_feature_statistics")
+def pooled_feature_statistics(spark, sf):
+    """The same per entity type and over all events."""
+    f = settle(featurise(access_events(spark, sf), WIDE))
+    each = FI.feature_statistics(f, ["entity_type"])
+    return each.unionByName(FI.feature_statistics(f.withColumn("entity_type", F.lit("all")), ["entity_type"]))
+
+
+@query(
+    "scaler_inverse",
+    f"""{with_(EVENTS)}, v AS (SELECT event_id, ln(1 + bytes_out) AS x FROM ev), m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx FROM v)
+      SELECT event_id, {r4('mx + sx * least(12, greatest(-12, (x - mx) / sx))')} AS log_bytes_out FROM v, m""",
+)
+def scaler_inverse(spark, sf):
+    f = featurise(access_events(spark, sf), names=("log_bytes_out",))
+    sc = T.fit_scaler(f, ("log_bytes_out",))["log_bytes_out"]
+    z = f.selectExpr("event_id", f"{T.scale_sql('log_bytes_out', *sc)} AS z")
+    return z.select("event_id", R(F.expr(T.unscale_sql("z", *sc))).alias("log_bytes_out"))
+
+
+@query(
+    "category_round_trip",
+    f"{with_(EVENTS)} SELECT event_id, auth_method AS auth_method_value, device_os AS device_os_value, geo_country AS geo_country_value FROM ev",
+)
+def category_round_trip(spark, sf):
+    """Codes of three fields, read back."""
+    ev = access_events(spark, sf)
+    fields = ["auth_method", "device_os", "geo_country"]
+    codes = settle(C.category_codes(ev))
+    back = C.decode_categories(C.encode_categories(ev, codes, fields), codes, fields)
+    return back.select("event_id", *[f"{f}_value" for f in fields])
+
+
+@query(
+    "profile_ngram_novelty",
+    f"""{with_(EVENTS)}, g AS (SELECT event_id, entity_id, split, list_transform(range(1, len(cmds)), lambda i: cmds[i] || '>' || cmds[i + 1]) AS grams FROM ev),
+      known AS (SELECT entity_id, list_distinct(flatten(list(grams))) AS known FROM g WHERE split = 'train' GROUP BY 1)
+      SELECT event_id, {r4("CASE WHEN len(grams) = 0 THEN 0 WHEN coalesce(len(known), 0) = 0 THEN 1 ELSE len(list_filter(grams, lambda x: NOT list_contains(known, x))) / CAST(len(grams) AS DOUBLE) END")} AS novelty
+      FROM g LEFT JOIN known USING (entity_id)""",
+)
+def profile_ngram_novelty(spark, sf):
+    """N-grams of each event against its entity's training profile."""
+    g = access_events(spark, sf).select("event_id", "entity_id", "split", SQ.ngrams(SQ.clean(F.col("command_sequence"))).alias("grams"))
+    seen = g.filter("split = 'train'").select("entity_id", F.explode("grams").alias("gram")).distinct()
+    known = seen.groupBy("entity_id").agg(F.collect_set("gram").alias("known"))  # an entity's distinct n-grams
+    return g.join(known, "entity_id", "left").select("event_id", R(SQ.profile_novelty(F.col("grams"), F.col("known"))).alias("novelty"))
 
 
 @query(

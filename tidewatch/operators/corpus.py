@@ -108,6 +108,18 @@ def encode_categories(rows: DataFrame, codes: DataFrame, fields: list[str]) -> D
     return out
 
 
+def decode_categories(rows: DataFrame, codes: DataFrame, fields: list[str]) -> DataFrame:
+    """Add ``<field>_value`` from ``<field>_code``; null for 0 and codes that were never given out.
+
+    Every field has its own join: with a cap the table is small and Spark broadcasts it, without one it may be large.
+    """
+    out = rows
+    for f in fields:
+        own = codes.filter(F.col("field") == f).select(F.col("code").alias(f"{f}_code"), F.col("value").alias(f"{f}_value"))
+        out = out.join(own, f"{f}_code", "left")
+    return out
+
+
 def vocabulary(corpus: Corpus) -> DataFrame:
     """(token, id, n): ids from 3 by (-count, token); rarer tokens stay out and read as unknown."""
     kept = corpus.counts.filter((F.col("dim") == "token") & (F.col("n") >= corpus.min_token_count))

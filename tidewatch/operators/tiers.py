@@ -37,6 +37,11 @@ def scale_sql(name: str, mean: float, std: float) -> str:
     return f"least(12D, greatest(-12D, ({finite} - {mean!r}D) / {std!r}D))"
 
 
+def unscale_sql(name: str, mean: float, std: float) -> str:
+    """The value that scale_sql() scaled; what lay beyond the clip comes back at it."""
+    return f"({name} * {std!r}D + {mean!r}D)"
+
+
 def scaled_array(scaler: dict) -> str:
     return "array(" + ", ".join(scale_sql(n, m, s) for n, (m, s) in scaler.items()) + ")"
 
