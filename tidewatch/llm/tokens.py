@@ -11,39 +11,77 @@ those of its words in turn, and each distinct word is encoded once per worker.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
-from tidewatch.llm.store import partitions, tokenizer_file
+from tidewatch.llm.store import drop, partitions, save, tokenizer_file
 
 #: Words that a worker remembers at most; ids of a block, beyond which a new one begins; bytes of text looked at together.
-REMEMBERED, BLOCK_IDS, PIECE = 400_000, 1 << 20, 1 << 22
+REMEMBERED, BLOCK_IDS, PIECE = 300_000, 1 << 20, 1 << 21
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int8) + 1
+#: Byte-level stand-ins: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_STAND_IN = {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
 _WORKER: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of many words at once; words seen before are looked up."""
+    """Ids of many words at once; the first REMEMBERED distinct words are looked up, others encoded again where they occur."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        #: Whether a run of lower-case letters reaches the model as it is, each byte by its stand-in.
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"] and "[\\p{L}]+" in told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.model = self.tokenizer.model
+        self.tails: dict[str, list[int]] = {}
         self.slot: dict[str, int] = {}
         self.begin = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
+    def letters(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_STAND_IN))]
+
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words and where each word's begin. Letters with stops after them go to the model directly; the whole
+        tokenizer, which takes several times as long, sees the rest."""
+        found: list[list[int] | None] = [None] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            stem = word.rstrip(".,;:!?") if self.plain else ""
+            low = stem.lower()
+            if low.isalpha() and (stem.isascii() or ("Σ" not in stem and unicodedata.is_normalized("NFC", stem))):
+                found[k] = self.letters(low)
+                if len(stem) < len(word):
+                    tail = word[len(stem) :]
+                    if tail not in self.tails and len(self.tails) < 4096:
+                        self.tails[tail] = self.letters(tail)
+                    found[k] = found[k] + (self.tails.get(tail) or self.letters(tail))
+            else:
+                rest.append(k)
+        for lo in range(0, len(rest), 4096):  # an encoding is large until only its ids are kept
+            some = rest[lo : lo + 4096]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
+                found[k] = e.ids
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))])
+
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column in order, and the number of each row."""
         w = W.split(column)
@@ -57,20 +95,22 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_string(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > REMEMBERED:
-            self.clear()
-        new = [x for x in distinct if x not in self.slot]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
-            ends = self.begin[-1] + np.cumsum([len(x) for x in found])
-            self.begin = np.concatenate([self.begin, ends])
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], dtype=np.int32)])
-        slots = np.array([self.slot[x] for x in distinct], dtype=np.int64)[coded.indices.to_numpy()]
-        n = self.begin[slots + 1] - self.begin[slots]
+        slot = np.fromiter(map(self.slot.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        at = np.flatnonzero(slot < 0)
+        flat, begin = self.flat, self.begin
+        if len(at):
+            new = [distinct[i] for i in at.tolist()]
+            more, where = self.fresh(new)
+            slot[at] = np.arange(len(new)) + len(self.begin) - 1
+            flat, begin = np.concatenate([flat, more]), np.concatenate([begin, begin[-1] + where[1:]])
+            if len(self.slot) + len(new) <= REMEMBERED:
+                self.slot.update(zip(new, slot[at].tolist()))
+                self.flat, self.begin = flat, begin
+        slots = slot[coded.indices.to_numpy()]
+        n = begin[slots + 1] - begin[slots]
         ends = np.cumsum(n)
-        take = np.repeat(self.begin[slots] - (ends - n), n) + np.arange(ends[-1])
-        return self.flat[take], np.diff(np.concatenate([[0], ends])[w.first])
+        take = np.repeat(begin[slots] - (ends - n), n) + np.arange(ends[-1])
+        return flat[take], np.diff(np.concatenate([[0], ends])[w.first])
 
 
 def encoder(path: str) -> Encoder:
@@ -112,39 +152,37 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ranks(docs: DataFrame, text_col: str, path: str, end: int) -> np.ndarray:
-    """Ids by falling count over all texts, then by id; the vocabulary bounds what reaches the driver."""
-    size = encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
+def ranks(blocks: DataFrame, size: int) -> np.ndarray:
+    """Ids by falling count over all blocks, then by id; the vocabulary's size bounds what reaches the driver."""
 
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for part in W.pieces(b, 0, PIECE):
-                ids, n = encoder(path).ids(part.column(0))
-                total += np.bincount(ids, minlength=size)
-                total[end] += len(n)
+            for ids in b.column(0).to_pylist():
+                total += np.bincount(_opened(ids), minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, dtype=np.int64)
     total[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return np.lexsort((np.arange(size), -total)).astype(np.int32)
 
 
+def _opened(ids: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(ids), dtype="<u4")
+
+
 def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every row, each document's end id included, in ascending id order (null ids first).
 
-    Null and empty texts have the end id alone. Rows that share an id stand in the order of their text's hash. An empty
+    Texts are put in order, tokenized once into blocks of plain ids, counted, and the blocks written again with ranks.
+    Null and empty texts have the end id alone. Rows that share an id stand in the order of a hash of their text. An empty
     table writes no block. A lost task is run again and Spark commits the files of one attempt only.
     """
     spark = docs.sparkSession
     path = tokenizer_file(tokenizer)
-    order = ranks(docs, text_col, path, end)
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order))
-    of = spark.sparkContext.broadcast(rank)
-    spark.createDataFrame(pa.table({"rank": np.arange(len(order), dtype=np.int32), "id": order})).coalesce(1).write.parquet(f"{to}/ranks")
+    names = ["part", "seq", "base", "n_ids", "docs", "counts"]
 
     def blocks(batches):
         part, seq, base = TaskContext.get().partitionId(), 0, 0
@@ -152,13 +190,10 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc
 
         def block():
             ids, docs_, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            control, data = pack(of.value[ids])
-            return pa.record_batch(
-                [pa.array([part]), pa.array([seq]), pa.array([base]), pa.array([len(ids)]), *(pa.array([x], pa.binary()) for x in (docs_.tobytes(), n.tobytes(), control, data))],
-                names=["part", "seq", "base", "n_ids", "docs", "counts", "control", "data"],
-            )
+            packed = zstandard.compress(ids.astype("<u4").tobytes(), 1)
+            return pa.record_batch([pa.array([part]), pa.array([seq]), pa.array([base]), pa.array([len(ids)]), *(pa.array([x], pa.binary()) for x in (docs_.tobytes(), n.tobytes(), packed))], names=[*names, "ids"])
 
-        for b in batches:
+        for b in W.unpacked(batches):
             for piece in W.pieces(b, 1, PIECE):
                 ids, n = with_end(*encoder(path).ids(piece.column(1)), end)
                 held.append((ids, _id_bits(piece.column(0)), n))
@@ -171,8 +206,23 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc
             yield block()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    ordered = texts.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("t"))
-    ordered.mapInArrow(blocks, "part long, seq long, base long, n_ids long, docs binary, counts binary, control binary, data binary").write.parquet(f"{to}/blocks")
+    ordered = texts.mapInArrow(W.packed, "id long, z binary").repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("z"))
+    plain = save(ordered.mapInArrow(blocks, "part long, seq long, base long, n_ids long, docs binary, counts binary, ids binary"))
+    order = ranks(plain, encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
+    rank = np.empty(len(order), dtype=np.uint32)
+    rank[order] = np.arange(len(order))
+    of = spark.sparkContext.broadcast(rank)
+    spark.createDataFrame(pa.table({"rank": np.arange(len(order), dtype=np.int32), "id": order})).coalesce(1).write.parquet(f"{to}/ranks")
+
+    def ranked(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                control, data = pack(of.value[_opened(row.column(6)[0].as_py())])
+                yield pa.record_batch([*row.columns[:6], pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=[*names, "control", "data"])
+
+    plain.mapInArrow(ranked, "part long, seq long, base long, n_ids long, docs binary, counts binary, control binary, data binary").write.parquet(f"{to}/blocks")
+    drop(plain)
 
 
 #: Stands for a null id in the blocks.
