@@ -21,12 +21,18 @@ WIDE = replace(DEFAULTS, window_minutes=360)  # six hours: the telemetry is spar
 
 def _features(spark, sf, names, settings=WIDE, with_corpus=False, raw=()):
     df = access_events(spark, sf)
-    know = Knowledge(corpus=C.fit_corpus(df, settings)) if with_corpus else Knowledge()
+    know = Knowledge(corpus=C.fit_corpus(df.filter("split = 'train'"), settings)) if with_corpus else Knowledge()
     out = featurise(df, settings, know, names)
-    return out.select("event_id", *[R(F.col(n)).alias(n) for n in names], *raw)
+    return out.select("event_id", *[R(F.col(n).cast("double")).alias(n) for n in names], *raw)
+
+
+#: (features, SQL) of every group in the benchmark's settings; together all features.
+PARTS: list[tuple[tuple[str, ...], str]] = []
 
 
 def feature_query(name, names, sql, **kw):
+    if kw.get("settings", WIDE) is WIDE and not kw.get("raw"):
+        PARTS.append((tuple(names), sql))
     query(name, sql)(lambda spark, sf: _features(spark, sf, names, **kw))
 
 
@@ -219,23 +225,26 @@ feature_query(
     "features_corpus",
     ("resource_global_rarity", "resource_entity_share", "device_os_global_rarity", "seq_ngram_novelty_global", "seq_token_rarity_global"),
     f"""{with_(EVENTS, ORDERED, _BAGS)},
-      tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT entity_id) AS DOUBLE) AS e FROM ev),
-      res AS (SELECT resource_accessed, count(*) AS n, count(DISTINCT entity_id) AS e FROM ev GROUP BY 1),
-      os AS (SELECT device_os, count(*) AS n FROM ev GROUP BY 1),
-      tc AS (SELECT v, count(*) AS n FROM tk GROUP BY 1), tt AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM tc),
+      learn AS (SELECT * FROM o WHERE split = 'train'),
+      tot AS (SELECT CAST(greatest(count(*), 1) AS DOUBLE) AS n, CAST(greatest(count(DISTINCT entity_id), 1) AS DOUBLE) AS e FROM learn),
+      res AS (SELECT resource_accessed, count(*) AS n, count(DISTINCT entity_id) AS e FROM learn GROUP BY 1),
+      os AS (SELECT device_os, count(*) AS n FROM learn GROUP BY 1),
+      tc AS (SELECT v, count(*) AS n FROM tk SEMI JOIN learn USING (event_id) GROUP BY 1), tt AS (SELECT CAST(greatest(sum(n), 1) AS DOUBLE) AS n FROM tc),
       tr AS (SELECT event_id, avg(-ln(greatest(CASE WHEN tc.n >= 3 THEN tc.n ELSE 1 END, 1) / (tt.n + 1))) AS x
-             FROM tk JOIN tc USING (v), tt GROUP BY 1)
-      SELECT o.event_id, {r4('-ln(res.n / tot.n)')} AS resource_global_rarity, {r4('res.e / tot.e')} AS resource_entity_share,
-        {r4('-ln(os.n / tot.n)')} AS device_os_global_rarity, {r4('0')} AS seq_ngram_novelty_global, {r4('coalesce(tr.x, 0)')} AS seq_token_rarity_global
-      FROM o JOIN res USING (resource_accessed) JOIN os USING (device_os) LEFT JOIN tr ON tr.event_id = o.event_id, tot""",
+             FROM tk LEFT JOIN tc USING (v), tt GROUP BY 1),
+      gk AS (SELECT DISTINCT v, 1 AS old FROM gm SEMI JOIN learn USING (event_id)),
+      gn AS (SELECT event_id, avg(CASE WHEN old IS NULL THEN 1 ELSE 0 END) AS x FROM gm LEFT JOIN gk USING (v) GROUP BY 1)
+      SELECT o.event_id, {r4('-ln(greatest(coalesce(res.n, 0), 1) / tot.n)')} AS resource_global_rarity, {r4('coalesce(res.e, 0) / tot.e')} AS resource_entity_share,
+        {r4('-ln(greatest(coalesce(os.n, 0), 1) / tot.n)')} AS device_os_global_rarity, {r4('coalesce(gn.x, 0)')} AS seq_ngram_novelty_global, {r4('coalesce(tr.x, 0)')} AS seq_token_rarity_global
+      FROM o LEFT JOIN res USING (resource_accessed) LEFT JOIN os USING (device_os) LEFT JOIN tr ON tr.event_id = o.event_id LEFT JOIN gn ON gn.event_id = o.event_id, tot""",
     with_corpus=True,
 )
 feature_query(
     "features_profile_meta",
-    ("log_entity_session_count", "log_entity_event_count", "cold_start", "profile_confidence"),
+    ("log_entity_session_count", "log_entity_event_count", "cold_start", "profile_confidence", "auth_success"),
     f"""{with_(EVENTS, ORDERED, WEIGHT)} SELECT event_id, {r4('ln(1 + sessions)')} AS log_entity_session_count,
       {r4('ln(1 + snap_n)')} AS log_entity_event_count, {r4('CASE WHEN sessions < 15 THEN 1 ELSE 0 END')} AS cold_start,
-      {r4('weight')} AS profile_confidence FROM w""",
+      {r4('weight')} AS profile_confidence, {r4('CASE WHEN auth_success THEN 1 ELSE 0 END')} AS auth_success FROM w""",
 )
 feature_query(
     "features_failure_delta",

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.features import WIDE
+from tidewatch.catalog.features import PARTS, WIDE
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.scoring import SC, scored
 from tidewatch.catalog.sql import BLOCK, EVENTS, ORDERED, by_value, haversine, r4, with_
@@ -142,12 +142,18 @@ def features_with_priors(spark, sf):
     return f.select("event_id", R(F.col("country_likelihood")).alias("country_likelihood"), R(F.col("is_new_country")).alias("is_new_country"), "profile_source")
 
 
-@query("full_feature_table")
+_ALL = [n for names, _ in PARTS for n in names]
+_FULL = "SELECT * FROM " + " JOIN ".join(f"({sql})" + (" USING (event_id)" if k else "") for k, (_, sql) in enumerate(PARTS))
+_CODED = ("entity_type", "auth_method", "geo_country", "device_protocol", "device_os", "resource_accessed", "cohort")
+_FULL += f" JOIN ({with_(EVENTS)} SELECT event_id, {', '.join(f'{c} AS c_{c}' for c in _CODED[:-1])}, 'unknown' AS c_cohort FROM ev) USING (event_id)"
+
+
+@query("full_feature_table", _FULL)
 def full_feature_table(spark, sf):
-    """All 66 features of every event: the batch job the benchmark times."""
+    """All 59 features and 7 categories of every event, the corpus from the training split: the batch job of the benchmark."""
     df = access_events(spark, sf)
-    f = featurise(df, WIDE, Knowledge(corpus=C.fit_corpus(df)))
-    return f.drop("tokens", "timestamp")
+    f = featurise(df, WIDE, Knowledge(corpus=C.fit_corpus(df.filter("split = 'train'"))))
+    return f.select("event_id", *[R(F.col(n).cast("double")).alias(n) for n in _ALL], *[f"c_{c}" for c in _CODED])
 
 
 @query("entity_feature_statistics")
