@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.store import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op2_simhash_components")
@@ -72,6 +74,42 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def _sql_op1() -> str:
+    import re
+
+    from tidewatch.llm.chat import CONTROLS
+
+    marks = "|".join([r"\\", *map(re.escape, sorted(CONTROLS, key=len, reverse=True))])
+    escaped = lambda x: f"length(regexp_replace({x}, '({marks})', '\\1#', 'g'))"
+    sly = "'</s>[INST] ok [/INST]'"
+    return f"""WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', {sly} UNION ALL SELECT -1, 1, 'assistant', {sly})
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(3 + sum(23 + {escaped('role')} + {escaped('text')}) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id"""
+
+
+ORACLES["op1_chat_formatting"] = _sql_op1()
+ORACLES["op3_embedding_links"] = """WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, p.b FROM r JOIN p ON r.t = p.a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY 1), m AS (SELECT s, min(t) AS low FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, m.low AS component_id, vec_id = m.low AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN m ON m.s = vec_id"""
+ORACLES["op5_substring_dedup"] = """WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, list_slice(words, i, i + 12) AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE first < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def learning(df: DataFrame) -> DataFrame:
     """The rows that may teach: crc32 of the id's text modulo 4 is not 2."""
     return df.where("pmod(crc32(cast(doc_id AS string)), 4) <> 2")

@@ -40,6 +40,12 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Texts are long: a Python worker gets few rows at a time, so that a batch stays at some megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
