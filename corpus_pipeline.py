@@ -17,14 +17,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under 0.3, by models of the labelled ones."""
-    ship(spark)
+    store.prepare(ship(spark))
     scored = toxicity.score(docs, learning(table(spark, sf_dir, "labels")))
     return scored.where("toxicity < 0.3").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group that fingerprints link; rows without an id stay."""
-    ship(spark)
+    store.prepare(ship(spark))
     found = simhash.near_duplicates(docs)
     copies = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word runs that an earlier one has; texts that lose nothing stay as they are."""
-    ship(spark)
+    store.prepare(ship(spark))
     left = substring.remove_repeats(docs, carry=COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return left.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -40,13 +40,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    ship(spark)
+    store.prepare(ship(spark))
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text, and whether they spell it again."""
-    ship(spark)
+    store.prepare(ship(spark))
     out = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return out.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), same.alias("lossless"))

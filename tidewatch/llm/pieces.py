@@ -26,11 +26,11 @@ from tidewatch.llm.store import tokenizer_file
 
 _MARK = "▁"
 _LOADED: dict[tuple[str, float], "Vocabulary"] = {}
-_LIMIT = 1 << 20
+_LIMIT = 1 << 18
 
 
 #: Edges that a worker remembers at most, with the chunks they belong to; later chunks are filtered again where they occur.
-_REMEMBERED = 3_000_000
+_REMEMBERED = 1_500_000
 
 
 @dataclass
@@ -48,11 +48,11 @@ class Filtered:
 
     @staticmethod
     def room(edges: int) -> Filtered:
-        return Filtered(np.zeros(edges + 1, np.int64), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), 0, 0, {})
+        return Filtered(np.zeros(edges // 4 + 1, np.int64), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), 0, 0, {})
 
     def add(self, other: Filtered, names: list[bytes]) -> None:
         """Remember other's chunks while there is room."""
-        if not names or self.edges + other.edges > len(self.start):
+        if not names or self.edges + other.edges > len(self.start) or self.chunks + len(names) >= len(self.bound):
             return
         at, node = slice(self.edges, self.edges + other.edges), int(self.bound[self.chunks])
         self.start[at], self.piece[at], self.share[at] = other.start + node, other.piece, other.share + node

@@ -28,7 +28,7 @@ from tidewatch.llm import words as W
 from tidewatch.llm.store import drop, partitions, save, tokenizer_file
 
 #: Words that a worker remembers at most; ids of a block, beyond which a new one begins; bytes of text looked at together.
-REMEMBERED, BLOCK_IDS, PIECE = 300_000, 1 << 20, 1 << 21
+REMEMBERED, BLOCK_IDS, PIECE = 600_000, 1 << 20, 1 << 21
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int8) + 1
 #: Byte-level stand-ins: printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]

@@ -140,7 +140,7 @@ def grams(h: np.ndarray, doc: np.ndarray, n: int, base: int = BASES[0]) -> tuple
     return mix(out), at
 
 
-def pieces(batch: pa.RecordBatch, text: int, size: int = 1 << 20):
+def pieces(batch: pa.RecordBatch, text: int, size: int = 1 << 18):
     """Slices of a batch with about size bytes of text each; a longer text stands alone, whole."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     lo = 0
