@@ -223,3 +223,20 @@ def test_pipeline_equals_its_stages_put_plainly(spark, tiny):
     assert {r.doc_id for r in out} == set(texts) - dirty and all(r.lossless for r in out)
     v = pieces.vocabulary(tokenizer_file("piece_bpe_32k.model"))
     assert all(v.spell(np.array(r.pieces, np.int64), np.array([len(r.pieces)])).cast(pa.string())[0].as_py() == (texts[r.doc_id] or "") for r in out)
+
+
+def test_url_contexts_stay_in_a_large_table(spark):
+    rng = np.random.default_rng(5)
+    rows = [("\x02https://a.org/" + "".join(map(str, rng.integers(0, 10, 50))), k % 2) for k in range(24_000)]
+    rows += [(f"\x02https://b.com/zzqxv{k}", 1) for k in range(6)]
+    model = urls.fit(spark.createDataFrame(rows, "u string, y int"))
+    *_, (_, h) = urls.contexts(*urls.W.raw_bytes(pa.array(["\x02zzqxv0"])))
+    assert h[-1] in model.context
+
+
+def test_url_verdicts_are_the_same_from_tables(spark, monkeypatch):
+    rows = [(k, u) for k in range(60) for u in (f"http://a.org/p{k}/read", f"http://b.com/de/q{k}/kaufen", f"http://c.net/q{k * 7}/kaufen", f"http://c.net/r{k * 3}/read")]
+    df = spark.createDataFrame([*rows, (900, None), (901, "")], "page_id long, url string")
+    sent = sorted((r.page_id, r.url or "", r.verdict, round(r.ratio, 9)) for r in urls.judge(df, RULES).collect())
+    monkeypatch.setattr(urls, "BROADCAST", 0)
+    assert sorted((r.page_id, r.url or "", r.verdict, round(r.ratio, 9)) for r in urls.judge(df, RULES).collect()) == sent

@@ -5,8 +5,8 @@ part of a model if it stands often enough; a longer context backs off to a short
 uniform distribution. The difference of log-likelihoods per byte is cut at the value that best balances both kinds of
 error on the rule-judged URLs that the counts leave out.
 
-A context stays if it makes up at least RATE of a model's bytes, a continuation at RATE / 8. So an order has at most 1 / RATE
-contexts and 8 / RATE continuations for each model, whatever the number of URLs; this bounds the broadcast.
+A context stays if it stands LEAST times in a class, whatever the number of URLs, and all its continuations stay with it. Up to
+BROADCAST contexts and continuations are sent to every worker; more stay a table, and each piece of URLs joins what it asks for.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
+from tidewatch.llm.lookup import asked, meet, numbered
 from tidewatch.llm.store import drop, save
 
-#: Longest context in bytes; least share of a model's bytes; one in FOLDS rule-judged URLs sets the cut; bins of that choice.
-ORDER, RATE, FOLDS, BINS, SPAN = 5, 1e-5, 5, 4000, 8.0
+#: Longest context in bytes; least count of a context; one in FOLDS rule-judged URLs sets the cut; bins of that choice.
+ORDER, LEAST, FOLDS, BINS, SPAN = 5, 2, 5, 4000, 8.0
+#: Contexts and continuations that are broadcast at most.
+BROADCAST = 2_000_000
 _FLUSH = 1 << 21
 _B = np.uint64(W.BASES[0])
 
@@ -81,6 +84,15 @@ class Model:
     m: np.ndarray
     cut: float = 0.0
 
+    @staticmethod
+    def of(rows: pa.Table) -> Model:
+        """rows: kind (0 context, 1 continuation), key, n0, n1 (counts), t0, t1 (followers). Rows that repeat a key are equal."""
+        kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
+        n, t = (np.stack([rows.column(f"{c}{k}").to_numpy() for k in (0, 1)]).astype(np.float64) for c in "nt")
+        at = [np.flatnonzero(kind == k) for k in (0, 1)]
+        at = [a[np.unique(key[a], return_index=True)[1]] for a in at]
+        return Model(key[at[0]], n[:, at[0]], t[:, at[0]], key[at[1]], n[:, at[1]])
+
     def ratio(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood per byte under the allowed model less that under the blocked one; zero for no bytes."""
         raw, offsets = W.raw_bytes(column)
@@ -102,9 +114,40 @@ class Model:
         return np.where(n > 0, (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1), 0.0)
 
 
-def fit(urls: DataFrame) -> Model | None:
+@dataclass
+class Tables:
+    """The same model as a table of what Model.of takes."""
+
+    rows: DataFrame
+    cut: float = 0.0
+
+
+def _asks(b: pa.RecordBatch, at: int) -> list[np.ndarray]:
+    """kind, key of what a piece needs."""
+    raw, offsets = W.raw_bytes(b.column(at))
+    found = [(h, _pair(h, raw[i])) for i, h in contexts(raw, offsets)]
+    key = [np.unique(np.concatenate([f[k] for f in found])).view(np.int64) for k in (0, 1)]
+    return [np.repeat([0, 1], [len(key[0]), len(key[1])]), np.concatenate(key)]
+
+
+def _over(rows: DataFrame, at: int, model: Model | Tables, work, schema) -> DataFrame:
+    """work(model, batch) for all rows; column at holds the URL after its mark."""
+    if isinstance(model, Model):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            for b in batches:
+                for piece in W.pieces(b, at):
+                    yield work(shared.value, piece)
+
+        return rows.mapInArrow(run, schema)
+    pieces = numbered(rows, at)
+    found = asked(pieces, lambda b: _asks(b, at), ["kind", "key"]).join(model.rows, ["kind", "key"])
+    return meet(pieces, found, lambda b, t: work(Model.of(t), b), schema)
+
+
+def fit(urls: DataFrame) -> Model | Tables | None:
     """urls: u (the URL after a mark byte), y (0 allowed, 1 blocked). None where either kind is missing."""
-    spark = urls.sparkSession
     fold = F.pmod(F.xxhash64("u"), F.lit(FOLDS)) == 0
 
     def count(batches):
@@ -133,38 +176,35 @@ def fit(urls: DataFrame) -> Model | None:
     if not total[0] or not total[1]:
         drop(pairs)
         return None
-    each = [RATE * total[c] / (ORDER + 1) for c in (0, 1)]
-    often = " OR ".join(f"sum(n{c}) >= {max(2.0, each[c])}" for c in (0, 1))
-    context = pairs.groupBy("h").agg(*(F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"t{c}") for c in (0, 1)), F.expr(often).alias("often")).where("often")
-    told = context.toArrow()
-    kept = pairs.where(" OR ".join(f"n{c} >= {each[c] / 8}" for c in (0, 1))).join(context.select("h"), "h").toArrow()
+    context = pairs.groupBy("h").agg(*(F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"t{c}") for c in (0, 1))).where(f"s0 >= {LEAST} OR s1 >= {LEAST}")
+    told = save(context)
+
+    def keyed(batches):
+        for b in batches:
+            key = _pair(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy())
+            yield pa.record_batch([pa.array(np.ones(len(key), np.int64)), pa.array(key.view(np.int64)), b.column(2), b.column(3)], names=["kind", "key", "n0", "n1"])
+
+    kept = pairs.join(told.select("h"), "h").select("h", "byte", "n0", "n1").mapInArrow(keyed, "kind long, key long, n0 long, n1 long")
+    none = F.lit(0).cast("long")
+    rows = save(told.select(none.alias("kind"), F.col("h").alias("key"), F.col("s0").alias("n0"), F.col("s1").alias("n1"), "t0", "t1").union(kept.select("*", none, none)))
     drop(pairs)
-    h = told.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    key = _pair(kept.column("h").to_numpy().view(np.uint64), kept.column("byte").to_numpy())
-    by_key = np.argsort(key)
-    n, t, m = (np.stack([x.column(f"{c}{k}").to_numpy() for k in (0, 1)]).astype(np.float64) for x, c in ((told, "s"), (told, "t"), (kept, "n")))
-    model = Model(h[order], n[:, order], t[:, order], key[by_key], m[:, by_key])
-    model.cut = _cut(urls.where(fold), model, spark)
+    drop(told)
+    model = Model.of(rows.toArrow()) if rows.count() <= BROADCAST else Tables(rows)
+    model.cut = _cut(urls.where(fold), model)
     return model
 
 
-def _cut(urls: DataFrame, model: Model, spark) -> float:
+def _cut(urls: DataFrame, model: Model | Tables) -> float:
     """The ratio below which URLs are blocked, with the least mean of both error rates on urls; zero where a kind is missing."""
-    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        n = np.zeros((2, BINS), np.int64)
-        for b in batches:
-            for piece in W.pieces(b, 0):
-                at = np.clip((shared.value.ratio(piece.column(0)) + SPAN) * BINS / (2 * SPAN), 0, BINS - 1).astype(np.int64)
-                y = piece.column(1).to_numpy()
-                for c in (0, 1):
-                    n[c] += np.bincount(at[y == c], minlength=BINS)
+    def work(model: Model, b: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.clip((model.ratio(b.column(0)) + SPAN) * BINS / (2 * SPAN), 0, BINS - 1).astype(np.int64)
+        y = b.column(1).to_numpy()
+        n = np.stack([np.bincount(at[y == c], minlength=BINS) for c in (0, 1)])
         some = np.flatnonzero(n.sum(axis=0))
-        yield pa.record_batch([pa.array(some), pa.array(n[0][some]), pa.array(n[1][some])], names=["bin", "n0", "n1"])
+        return pa.record_batch([pa.array(some), pa.array(n[0][some]), pa.array(n[1][some])], names=["bin", "n0", "n1"])
 
-    got = urls.mapInArrow(run, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    got = _over(urls.select("u", "y"), 0, model, work, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     n = np.zeros((2, BINS))
     for c in (0, 1):
         n[c][got.column("bin").to_numpy()] = got.column(f"n{c}").to_numpy()
@@ -194,13 +234,10 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
     model = fit(ruled.where("verdict IS NOT NULL").select(F.col("_u").alias("u"), (F.col("verdict") == "block").cast("int").alias("y")))
     if model is None:
         return ruled.drop("_u").withColumns({"verdict": F.coalesce("verdict", F.lit("allow")), "ratio": F.lit(0.0)})
-    shared = pages.sparkSession.sparkContext.broadcast(model)
     at = ruled.columns.index("_u")
 
-    def run(batches):
-        for b in batches:
-            for piece in W.pieces(b, at):
-                yield pa.record_batch([*piece.columns, pa.array(shared.value.ratio(piece.column(at)))], names=[*piece.schema.names, "ratio"])
+    def work(model: Model, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([*b.columns, pa.array(model.ratio(b.column(at)))], names=[*b.schema.names, "ratio"])
 
-    scored = ruled.mapInArrow(run, ruled.withColumn("ratio", F.lit(0.0)).schema)
+    scored = _over(ruled, at, model, work, ruled.withColumn("ratio", F.lit(0.0)).schema)
     return scored.drop("_u").withColumn("verdict", F.coalesce("verdict", F.when(F.col("ratio") < model.cut, "block").otherwise("allow")))
