@@ -225,6 +225,27 @@ def test_pipeline_equals_its_stages_put_plainly(spark, tiny):
     assert all(v.spell(np.array(r.pieces, np.int64), np.array([len(r.pieces)])).cast(pa.string())[0].as_py() == (texts[r.doc_id] or "") for r in out)
 
 
+def test_a_rare_toxic_word_counts_at_any_size(spark):
+    # "vile" stands in 12 of 600 toxic texts, under 3 % of them, and in no other text; the last two texts differ in one word
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 200, n))
+    rows = [(k, f"{word(8)} {('vile' if k < 24 else 'awful') if k % 2 == 0 else 'nice'} {word(8)}", int(k % 2 == 0)) for k in range(1200)]
+    plain = word(16)
+    df = spark.createDataFrame([*rows, (5000, plain + " vile", None), (5001, plain + " zorp", None)], "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(df.drop("toxic"), df.where("toxic IS NOT NULL").select("doc_id", "toxic")).collect()}
+    assert got[5000] > max(0.3, got[5001])
+
+
+def test_toxicity_is_the_same_from_tables(spark, monkeypatch):
+    df = _rated(spark)
+    labels = df.where("doc_id % 3 <> 0").select("doc_id", "toxic")
+    sent = {r.doc_id: r.toxicity for r in toxicity.score(df, labels).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST", 0)
+    monkeypatch.setattr(toxicity, "LABELS", 0)
+    rows = toxicity.score(df, labels).collect()
+    assert len(rows) == 400 and all(abs(sent[r.doc_id] - r.toxicity) < 1e-9 for r in rows)
+
+
 def test_url_contexts_stay_in_a_large_table(spark):
     rng = np.random.default_rng(5)
     rows = [("\x02https://a.org/" + "".join(map(str, rng.integers(0, 10, 50))), k % 2) for k in range(24_000)]

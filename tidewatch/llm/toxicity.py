@@ -7,8 +7,9 @@ little, and an expression too rare to tell the classes apart is about as likely
 under either. A text is judged by differences of log-likelihood per word: of the whole text and of its worst short windows,
 put together by a logistic fit on labelled rows that the counts leave out (one in FOLDS).
 
-Counts cover all labelled rows used. Words and bigrams enter the model if they stand in at least max(MIN_TEXTS, RATE * n) of
-one class's n texts; with a mean of w words per text there are at most 10 * w / RATE of either, which bounds the broadcast.
+Counts cover all labelled rows that are not left out. Words, stems and bigrams enter the model if they stand in at least
+MIN_TEXTS of these texts, whatever their number. The model is two tables, one row for each unit and for each bigram; up to
+BROADCAST rows together are sent to every worker, more stay tables and each piece of text joins the rows it asks for.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
+from tidewatch.llm.lookup import asked, meet, numbered
+from tidewatch.llm.store import drop, save
 
-#: Labelled rows used at most (taken in order of a hash of their id); least share and number of a class's texts; rows that
-#: the logistic fit sees at most; window lengths in words; words gathered before a task sends counts.
-LABELLED, RATE, MIN_TEXTS, FIT_ROWS, WINDOWS, FLUSH = 2_000_000, 3e-2, 3, 50_000, (1, 4, 16, 64), 1 << 20
+#: Labels and rows of the model that are broadcast at most; least number of labelled texts; rows that the logistic fit sees at
+#: most; window lengths in words; words gathered before a task sends counts.
+LABELS, BROADCAST, MIN_TEXTS, FIT_ROWS, WINDOWS, FLUSH = 1_000_000, 4_000_000, 3, 50_000, (1, 4, 16, 64), 1 << 20
 FOLDS = 5
 #: Bytes from a word's beginning that stand for it if it is rare, longest first.
 STEMS = (7, 6, 5, 4)
+#: A ratio learnt from n texts or contexts weighs n / (n + TRUST) against no evidence, or against the backoff for a bigram.
+TRUST = 10.0
 #: Ratio from which a word is strong evidence; features of a text.
 STRONG = 1.5
 FEATURES = 3 + len(WINDOWS)
@@ -43,7 +48,15 @@ class Model:
     context: np.ndarray
     keys: np.ndarray
     bigram: np.ndarray
-    weights: np.ndarray
+
+    @staticmethod
+    def of(unit: pa.Table, pair: pa.Table) -> Model:
+        """unit: h (0 for all rare words), word, context. pair: left, right, ratio. Rows that repeat a key are equal."""
+        h, first = np.unique(unit.column("h").to_numpy().view(np.uint64), return_index=True)
+        word, context = (unit.column(c).to_numpy()[first] for c in ("word", "context"))
+        left, right = (np.searchsorted(h, pair.column(c).to_numpy().view(np.uint64)).astype(np.int64) for c in ("left", "right"))
+        keys, at = np.unique(left << 32 | right, return_index=True)
+        return Model(h[1:], word, context, keys, pair.column("ratio").to_numpy()[at])
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Per row: mean ratio of the whole text, logarithms of its strong evidence in all and per hundred words, and the
@@ -72,9 +85,19 @@ class Model:
             out[some, k] = np.maximum.reduceat((total[stop] - total[start]) / size, begin)
         return out
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        z = self.features(column) @ self.weights[1:] + self.weights[0]
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+@dataclass
+class Tables:
+    """The same model as tables of what Model.of takes."""
+
+    unit: DataFrame
+    pair: DataFrame
+
+    @staticmethod
+    def of(found: pa.Table) -> Model:
+        kind = found.column("kind").to_numpy()
+        part = [found.filter(pa.array(kind == k)) for k in (0, 1)]
+        return Model.of(part[0].rename_columns(["_piece", "kind", "h", "_", "word", "context"]), part[1].rename_columns(["_piece", "kind", "left", "right", "ratio", "_"]))
 
 
 #: Contexts that rare words stand for when different contexts are counted.
@@ -105,151 +128,179 @@ def shifted(at: np.ndarray, w: W.Words) -> np.ndarray:
     return before
 
 
-def _labelled(batches, ids: np.ndarray, label: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Pieces of the rows that have a label, with their labels."""
-    for b in batches:
-        if not len(ids):
-            return
-        own = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-        known = (ids[at] == own) & ~np.asarray(b.column(0).is_null())
-        rows = b.filter(pa.array(known))
-        y, lo = label[at[known]], 0
-        for piece in W.pieces(rows, 1):
-            yield piece, y[lo : lo + piece.num_rows]
-            lo += piece.num_rows
+def _asks(column: pa.Array) -> list[np.ndarray]:
+    """Distinct units of a piece, and 0."""
+    return [np.unique(np.concatenate([np.zeros(1, np.uint64), *units(W.split(column, lower=True, marks=True))])).view(np.int64)]
+
+
+def _words(w: W.Words) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.concatenate(units(w)).view(np.int64)], np.tile(w.doc, 1 + len(STEMS))
+
 
+def _pairs(w: W.Words, vocabulary: np.ndarray, strange: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """Units of the word before (0 before the first; rare words have 1 to STRANGE) and of each word (0 for rare words)."""
+    found = units(w)
+    at = places(found, vocabulary)
+    unit = np.concatenate([np.zeros(1, np.uint64), vocabulary])[at].view(np.int64)
+    before = np.where(at > 0, unit, (found[0] % np.uint64(STRANGE)).astype(np.int64) + 1) if strange else unit
+    return [shifted(before, w), unit], w.doc
 
-def _tally(texts: DataFrame, known, keys) -> DataFrame:
-    """key, n_toxic, n_plain, in_toxic, in_plain (texts that hold it), over the labelled rows. keys(words) gives key, row."""
+
+_COUNTS = ("n0", "n1", "in0", "in1")
+
+
+def _sums(key: list[np.ndarray], text: np.ndarray, y: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """One row for each key: n0, n1 (toxic, ordinary occurrences), in0, in1 (texts that hold it)."""
+    order = np.lexsort(key)  # texts come in order
+    key, text, y = [k[order] for k in key], text[order], y[order]
+    new = np.ones(len(y), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+    fresh = new.copy()
+    fresh[1:] |= text[1:] != text[:-1]
+    begin = np.flatnonzero(new)
+    cols = [np.add.reduceat(x.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64) for x in (y, 1 - y, y & fresh, (1 - y) & fresh)]
+    return pa.record_batch([pa.array(x) for x in (*(k[begin] for k in key), *cols)], names=[*names, *_COUNTS])
+
+
+def _tally(texts: DataFrame, keys, names: list[str]) -> DataFrame:
+    """names and _COUNTS over texts (t, y). keys(words) gives keys and rows."""
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def flush():
-            # one row for each (key, text, label), then sums by key
-            key, text, y = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.argsort(key, kind="stable")  # texts come in order
-            key, text, y = key[order], text[order], y[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            fresh = new.copy()
-            fresh[1:] |= text[1:] != text[:-1]
-            begin = np.flatnonzero(new)
-            cols = [np.add.reduceat(x.astype(np.int64), begin) for x in (y, 1 - y, y & fresh, (1 - y) & fresh)]
-            return pa.record_batch([pa.array(key[begin].view(np.int64)), *(pa.array(c) for c in cols)], names=["key", "n_toxic", "n_plain", "in_toxic", "in_plain"])
+            return _sums([np.concatenate([h[0][k] for h in held]) for k in range(len(names))], *(np.concatenate([h[k] for h in held]) for k in (1, 2)), names)
 
         serial = 0
-        for piece, y in _labelled(batches, *known.value):
-            key, row = keys(W.split(piece.column(1), lower=True, marks=True))
-            held.append((key, row + serial, y[row]))
-            serial += piece.num_rows
-            if sum(len(h[0]) for h in held) >= FLUSH:
-                yield flush()
-                held = []
-        if held and sum(len(h[0]) for h in held):
+        for b in batches:
+            for piece in W.pieces(b, 0):
+                key, row = keys(W.split(piece.column(0), lower=True, marks=True))
+                held.append((key, row + serial, piece.column(1).to_numpy().astype(np.int64)[row]))
+                serial += piece.num_rows
+                if sum(len(h[1]) for h in held) >= FLUSH:
+                    yield flush()
+                    held = []
+        if held:
             yield flush()
 
-    sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_plain", "in_toxic", "in_plain")]
-    return texts.mapInArrow(run, "key long, n_toxic long, n_plain long, in_toxic long, in_plain long").groupBy("key").agg(*sums)
+    return _summed(texts.mapInArrow(run, _schema(names)), names)
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in (*names, *_COUNTS))
+
+
+def _summed(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.groupBy(*names).agg(*(F.sum(c).alias(c) for c in _COUNTS))
+
+
+def _tally_pairs(texts: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
+    """left, right and _COUNTS of all bigrams of units in vocabulary (key), which has n rows."""
+    names = ["left", "right"]
+    if n <= BROADCAST:
+        shared = texts.sparkSession.sparkContext.broadcast(np.sort(vocabulary.toArrow().column("key").to_numpy().view(np.uint64)))
+        return _tally(texts, lambda w: _pairs(w, shared.value), names)
+
+    def use(b: pa.RecordBatch, found: pa.Table) -> pa.RecordBatch:
+        key, row = _pairs(W.split(b.column(0), lower=True, marks=True), np.unique(found.column("key").to_numpy().view(np.uint64)))
+        return _sums(key, row, b.column(1).to_numpy().astype(np.int64)[row], names)
+
+    pieces = numbered(texts, 0)
+    return _summed(meet(pieces, asked(pieces, lambda b: _asks(b.column(0)), ["key"]).join(vocabulary, "key"), use, _schema(names)), names)
 
 
 def _discount(n1: float, n2: float) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model | float:
-    """The model, or the share of toxic rows where the labels have one class or none (0 if there are none)."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
-    drawn = marks.orderBy(F.xxhash64("id"), "id").limit(LABELLED).toArrow()
-    ids, y = drawn.column("id").to_numpy(), drawn.column("y").to_numpy().astype(np.int64)
-    order = np.argsort(ids)
-    ids, y = ids[order], y[order]
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    apart = W.mix(ids.view(np.uint64)) % np.uint64(FOLDS) == 0
-    if len(np.unique(y[apart])) < 2 or len(np.unique(y[~apart])) < 2:
-        apart = np.zeros(len(ids), dtype=bool)  # too few rows to leave some out
-    known = sc.broadcast((ids[~apart], y[~apart]))
-    floor = [max(MIN_TEXTS, RATE * (y[~apart] == c).sum()) for c in (1, 0)]
-    frequent = f"in_toxic >= {floor[0]} OR in_plain >= {floor[1]}"
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-
-    every = _tally(texts, known, lambda w: (np.concatenate(units(w)), np.tile(w.doc, 1 + len(STEMS))))
-    vocabulary = np.sort(every.where(frequent).select("key").toArrow().column("key").to_numpy().view(np.uint64))
-    size = len(vocabulary) + 1
-    shared = sc.broadcast(vocabulary)
-
-    def pairs(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        found = units(w)
-        at = places(found, shared.value)
-        strange = size + (found[0] % np.uint64(STRANGE)).astype(np.int64)
-        before = shifted(np.where(at > 0, at, strange), w)
-        return (before << 32 | at).view(np.uint64), w.doc
-
-    def follow(batches):
-        """Kind 0: bigrams kept; 1, 2: contexts that a word follows in either class, in each; 3: counts of contexts in each;
-        4: bigrams that stand once and twice."""
-        either, after, count, once = np.zeros(size, np.int64), np.zeros((2, size), np.int64), np.zeros((2, size), np.int64), np.zeros((2, 2), np.int64)
-        for b in batches:
-            key = b.column("key").to_numpy()
-            word, before = key & 0xFFFFFFFF, key >> 32
-            before = np.where(before < size, before, 0)
-            either += np.bincount(word, minlength=size)
-            n = [b.column(c).to_numpy() for c in ("n_toxic", "n_plain")]
-            after += np.stack([np.bincount(word[x > 0], minlength=size) for x in n])
-            count += np.stack([np.bincount(before, weights=x, minlength=size).astype(np.int64) for x in n])
-            once += np.array([[(x == k).sum() for k in (1, 2)] for x in n])
-            fine = (before > 0) & ((b.column("in_toxic").to_numpy() >= floor[0]) | (b.column("in_plain").to_numpy() >= floor[1]))
-            yield pa.record_batch([pa.array(np.zeros(fine.sum(), np.int32)), *(pa.array(x[fine]) for x in (key, *n))], names=["kind", "key", "a", "b"])
-        at = np.arange(size)
-        for kind, key, x, y in ((1, at, either, 0 * at), (2, at, *after), (3, at, *count), (4, at[:2], *once.T)):
-            some = np.flatnonzero((x > 0) | (y > 0))
-            yield pa.record_batch([pa.array(np.full(len(some), kind, np.int32)), pa.array(key[some]), pa.array(x[some]), pa.array(y[some])], names=["kind", "key", "a", "b"])
-
-    told = _tally(texts, known, pairs).mapInArrow(follow, "kind int, key long, a long, b long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-    kind, key, a, b = (told.column(c).to_numpy() for c in ("kind", "key", "a", "b"))
-    def counted(k: int, n: int) -> np.ndarray:
-        out = np.zeros((2, n))
-        out[:, key[kind == k]] = np.stack([a[kind == k], b[kind == k]])
-        return out
-
-    either, after, count, ones = counted(1, size)[0], counted(2, size), counted(3, size), counted(4, 2)
-    base = (either + 1e-3) / (either + 1e-3).sum()
-    order = np.flatnonzero(kind == 0)[np.argsort(key[kind == 0])]
-    keys, pair = key[order], np.stack([a[order], b[order]]).astype(float)
-    left, right = keys >> 32, keys & 0xFFFFFFFF
-    log_word, log_context, log_pair = [], [], []
-    for c in range(2):
-        d = _discount(*ones[:, c])
-        cut = np.maximum(after[c] - d, 0)
-        word = (cut + (after[c].sum() - cut.sum()) * base) / after[c].sum() if after[c].any() else base
-        held = np.maximum(pair[c] - d, 0)
-        seen = np.maximum(count[c], 1)
-        free = np.maximum(1 - np.bincount(left, weights=held, minlength=size) / seen, 1e-6)
-        log_word.append(np.log(word))
-        log_context.append(np.log(free))
-        log_pair.append(np.log(held / seen[left] + free[left] * word[right]))
-    model = Model(vocabulary, log_word[0] - log_word[1], log_context[0] - log_context[1], keys, log_pair[0] - log_pair[1], np.zeros(1 + FEATURES))
-    model.weights = _calibrate(texts, sc.broadcast((ids[apart], y[apart])) if apart.any() else known, model, apart.sum() or len(ids))
-    return model
-
-
-def _calibrate(texts: DataFrame, known, model: Model, n: int) -> np.ndarray:
+def _model(told: DataFrame, vocabulary: DataFrame) -> Tables:
+    """Kneser-Ney estimates of both classes, from counts of bigrams (left, right, _COUNTS) over vocabulary (key)."""
+    c2 = (0, 1)
+    ones = told.agg(*(F.count_if(F.col(f"n{c}") == k) for c in c2 for k in (1, 2))).first()
+    d = [_discount(*ones[2 * c : 2 * c + 2]) for c in c2]
+    context = F.when(F.col("left").between(0, STRANGE), 0).otherwise(F.col("left"))
+    kept = (context != 0) & (F.col("in0") + F.col("in1") >= MIN_TEXTS)
+    held = [F.greatest(F.col(f"n{c}") - F.lit(d[c]), F.lit(0.0)) for c in c2]
+    ends = told.groupBy(F.col("right").alias("h")).agg(F.count("*").alias("either"), *(F.count_if(F.col(f"n{c}") > 0).alias(f"after{c}") for c in c2))
+    begins = told.groupBy(context.alias("h")).agg(*(F.sum(f"n{c}").alias(f"seen{c}") for c in c2), *(F.sum(F.when(kept, held[c]).otherwise(0.0)).alias(f"held{c}") for c in c2))
+    every = vocabulary.select(F.col("key").alias("h")).union(told.sparkSession.range(1).select(F.lit(0).cast("long").alias("h")))
+    unit = save(every.join(ends, "h", "left").join(begins, "h", "left").fillna(0))
+    cut = [F.greatest(F.col(f"after{c}") - F.lit(d[c]), F.lit(0.0)) for c in c2]
+    all_ = unit.agg(F.sum(F.col("either") + 1e-3), *(F.sum(f"after{c}") for c in c2), *(F.sum(cut[c]) for c in c2)).first()
+    base = (F.col("either") + 1e-3) / F.lit(all_[0])
+    word = [(cut[c] + F.lit(all_[1 + c] - all_[3 + c]) * base) / F.lit(float(all_[1 + c])) if all_[1 + c] else base for c in c2]
+    seen = [F.greatest(F.col(f"seen{c}"), F.lit(1)) for c in c2]
+    trust = {k: n / (n + F.lit(TRUST)) for k, n in (("word", F.col("either")), ("context", F.col("seen0") + F.col("seen1")), ("pair", F.col("in0") + F.col("in1")))}
+    unit = unit.select("h", trust["word"].alias("trust_word"), trust["context"].alias("trust_context"), *(word[c].alias(f"word{c}") for c in c2), *(seen[c].alias(f"seen{c}") for c in c2), *(F.greatest(1 - F.col(f"held{c}") / seen[c], F.lit(1e-6)).alias(f"free{c}") for c in c2))
+    unit = save(unit.withColumns({"word": F.col("trust_word") * (F.log("word0") - F.log("word1")), "context": F.col("trust_context") * (F.log("free0") - F.log("free1"))}))
+    left = unit.select(F.col("h").alias("left"), "seen0", "seen1", "free0", "free1", "context")
+    right = unit.select(F.col("h").alias("right"), "word0", "word1", "word")
+    log = [F.log(held[c] / F.col(f"seen{c}") + F.col(f"free{c}") * F.col(f"word{c}")) for c in c2]
+    ratio = trust["pair"] * (log[0] - log[1]) + (1 - trust["pair"]) * (F.col("context") + F.col("word"))
+    pair = told.where(kept).join(left, "left").join(right, "right").select("left", "right", ratio.alias("ratio"))
+    return Tables(unit.select("h", "word", "context"), save(pair))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Model | Tables, np.ndarray] | float:
+    """The model and the weights of its features, or the share of toxic rows where the labels have one class or none (0 if there are none)."""
+    marks = save(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
+                 .withColumn("apart", F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0))
+    n = {(r.apart, r.y): r["count"] for r in marks.groupBy("apart", "y").count().collect()}
+    total, toxic = sum(n.values()), sum(k for (_, y), k in n.items() if y)
+    if toxic in (0, total):
+        return toxic / total if total else 0.0
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(marks) if total <= LABELS else marks, "id")
+    if len(n) == 4:
+        texts, rest, some = known.where("NOT apart"), known.where("apart"), n[True, 0] + n[True, 1]
+    else:
+        texts, rest, some = known, known, total  # too few rows to leave some out
+    texts = texts.select("t", "y")
+    vocabulary = save(_tally(texts, _words, ["key"]).where(f"in0 + in1 >= {MIN_TEXTS}").select("key"))
+    size = vocabulary.count()
+    told = save(_tally_pairs(texts, vocabulary, size))
+    model = _model(told, vocabulary)
+    drop(told)
+    if model.unit.count() + model.pair.count() <= BROADCAST:
+        model = Model.of(model.unit.toArrow(), model.pair.toArrow())
+    return model, _calibrate(rest, model, some)
+
+
+def _over(rows: DataFrame, at: int, model: Model | Tables, work, schema) -> DataFrame:
+    """work(model, batch) for all rows; column at holds the text."""
+    if isinstance(model, Model):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            for b in batches:
+                for piece in W.pieces(b, at):
+                    yield work(shared.value, piece)
+
+        return rows.mapInArrow(run, schema)
+
+    def bigrams(b: pa.RecordBatch, found: pa.Table) -> pa.RecordBatch:
+        (left, right), _ = _pairs(W.split(b.column(at), lower=True, marks=True), np.unique(found.column("h").to_numpy().view(np.uint64))[1:], strange=False)
+        number = found.column("_piece").to_numpy()[:1]
+        pair = np.unique(np.stack([left, right])[:, left != 0], axis=1)
+        return pa.record_batch([pa.array(np.repeat(number, pair.shape[1])), pa.array(pair[0]), pa.array(pair[1])], names=["_piece", "left", "right"])
+
+    pieces = numbered(rows, at)
+    unit = save(asked(pieces, lambda b: _asks(b.column(at)), ["h"]).join(model.unit, "h"))
+    pair = meet(pieces, unit.select("_piece", "h"), bigrams, "_piece long, left long, right long").join(model.pair, ["left", "right"])
+    found = unit.select("_piece", F.lit(0).alias("kind"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), F.col("word").alias("x"), F.col("context").alias("z"))
+    found = found.union(pair.select("_piece", F.lit(1).alias("kind"), "left", "right", "ratio", F.lit(0.0)))
+    return meet(pieces, found, lambda b, t: work(Tables.of(t), b), schema)
+
+
+def _calibrate(texts: DataFrame, model: Model | Tables, n: int) -> np.ndarray:
     """Logistic weights of the features, by Newton steps with a small ridge, on at most FIT_ROWS labelled rows."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    names = [*(f"x{k}" for k in range(FEATURES)), "y"]
 
-    def run(batches):
-        for piece, y in _labelled(batches, *known.value):
-            yield pa.record_batch([*(pa.array(x) for x in shared.value.features(piece.column(1)).T), pa.array(y.astype(float))], names=names)
+    def work(model: Model, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([*(pa.array(x) for x in model.features(b.column(0)).T), pa.array(b.column(1).to_numpy().astype(float))], names=names)
 
-    names = [*(f"x{k}" for k in range(FEATURES)), "y"]
     share = min(1.0, FIT_ROWS / n)
-    chosen = texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < round(share * 1_000_000))
-    rows = chosen.mapInArrow(run, ", ".join(f"{c} double" for c in names)).toArrow()
+    chosen = texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < round(share * 1_000_000)).select("t", "y")
+    rows = _over(chosen, 0, model, work, ", ".join(f"{c} double" for c in names)).toArrow()
     data = np.stack([rows.column(c).to_numpy() for c in names], axis=1) if rows.num_rows else np.zeros((0, len(names)))
     x, y = np.c_[np.ones(len(data)), data[:, :-1]], data[:, -1]
     w = np.zeros(x.shape[1])
@@ -271,17 +322,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     null ids and labels teach nothing. With labels of one class, or none, every score is that class's share (0 for none).
     Every column of docs stays; a column named toxicity is replaced. An empty table gives none.
     """
-    model = fit(docs, labels, id_col, text_col, label_col)
-    if isinstance(model, float):
-        return docs.withColumn("toxicity", F.lit(model))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = fit(docs, labels, id_col, text_col, label_col)
+    if isinstance(fitted, float):
+        return docs.withColumn("toxicity", F.lit(fitted))
+    model, weights = fitted
     rest = [c for c in docs.columns if c != "toxicity"]
     at = rest.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            for piece in W.pieces(b, at):
-                yield pa.record_batch([*piece.columns, pa.array(shared.value.score(piece.column(at)))], names=[*rest, "toxicity"])
+    def work(model: Model, b: pa.RecordBatch) -> pa.RecordBatch:
+        z = model.features(b.column(at)) @ weights[1:] + weights[0]
+        return pa.record_batch([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*rest, "toxicity"])
 
-    schema = docs.select(*rest).withColumn("toxicity", F.lit(0.0)).schema
-    return docs.select(*rest).mapInArrow(run, schema)
+    return _over(docs.select(*rest), at, model, work, docs.select(*rest).withColumn("toxicity", F.lit(0.0)).schema)
