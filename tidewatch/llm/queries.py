@@ -157,3 +157,59 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = graded(learning(table(spark, sf_dir, "labels")), F.col("quality"), F.col("toxic"))
     out = grade(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, 3)
     return out.select("doc_id", "expected_grade", "tail_probability", (F.col("expected_grade") >= 1.25).alias("kept"))
+
+
+def spoil(doc, run: str) -> str:
+    """The run without one code point where 199 divides the crc32 of `<doc>:<run>`, else the run itself."""
+    import zlib
+
+    h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+    if h % 199:
+        return run
+    at = h % len(run)
+    return run[:at] + run[at + 1 :]
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), change=spoil)
+
+
+ORACLES["op11_spelling_variants"] = r"""WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{6,}')) AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r GROUP BY 1, 2),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i:
+    16 * (strpos('0123456789ABCDEF', x[i]) - 1) + strpos('0123456789ABCDEF', x[i + 1]) - 1)), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]))) AS h FROM o, t),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN run[:CAST(h % length(run) AS INT)] || run[CAST(h % length(run) AS INT) + 2:] ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, word[:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT x.word AS u, x.n AS un, y.word AS w, y.n AS wn FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT cut.word, cut.n, v.word, v.n FROM cut JOIN v ON v.word = a || b UNION SELECT v.word, v.n, cut.word, cut.n FROM cut JOIN v ON v.word = a || b),
+f AS (SELECT u, w, wn FROM p WHERE wn >= 5 * un QUALIFY row_number() OVER (PARTITION BY u ORDER BY wn DESC, w) = 1),
+q AS (SELECT word, n, coalesce(m, 0) AS n_near, w AS form, wn AS form_n FROM v LEFT JOIN (SELECT u, count(*) AS m FROM p GROUP BY 1) g ON g.u = word LEFT JOIN f ON f.u = word),
+w AS (SELECT word, word AS z FROM v UNION ALL SELECT w.word, f.w FROM w JOIN f ON f.u = w.z)
+SELECT q.*, root FROM q JOIN (SELECT w.word, z AS root FROM w LEFT JOIN f ON f.u = z WHERE f.u IS NULL) USING (word)"""
+
+
+@query("op12_hard_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.negatives import hard_negatives
+
+    fine = "label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND x > float('-inf') AND x < float('inf'))"
+    rows = table(spark, sf_dir, "embeddings").where(fine).select(
+        "vec_id", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"), F.expr("transform(embedding, x -> floor(256 * double(x)))").alias("v"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, id_col="vec_id")
+
+
+ORACLES["op12_hard_negatives"] = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank, s.b AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 3"""
