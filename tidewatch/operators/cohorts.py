@@ -189,14 +189,7 @@ def live_cohorts(o: Ordered, model: CohortModel) -> Ordered:
     and block sums ``snap_n``, ``snap_fail``."""
     s = o.settings
     last = math.ceil((s.geo_points - 1) / s.refresh_every)
-    sums = {f"_h{h}": f"if(hour(timestamp) = {h}, 1D, 0D)" for h in range(24)}
-    sums["_we"] = "if(weekday(timestamp) >= 5, 1D, 0D)"
-    sums["_dc"] = "if(first_rn_country = rn, 1D, 0D)"
-    sums["_dr"] = "if(first_rn_resource = rn, 1D, 0D)"
-    for a in AUTH_ORDER:
-        sums[f"_a_{a}"] = f"if(auth_method = '{a}', 1D, 0D)"
-    for n, x in P.stat_sums().items():
-        sums[f"_{n}"] = x
+    sums = snapshot_sums()
     o = running(o, sums, "block")
     spread = snapshot_spread(o)
     f = o.frame.withColumn("hb", F.least(F.lit(last).cast("bigint"), F.col("blk")))
@@ -205,6 +198,24 @@ def live_cohorts(o: Ordered, model: CohortModel) -> Ordered:
         f = f.join(spread, [o.key, "slice", "hb"], "left")
     else:
         f = f.join(spread, [o.key, "hb"], "left")
+    return o.with_frame(with_live_cohort(f, model, s).drop(*sums, "hb", "spread_km"))
+
+
+def snapshot_sums() -> dict[str, str]:
+    """The sums over a snapshot's rows that its cohort is found by."""
+    sums = {f"_h{h}": f"if(hour(timestamp) = {h}, 1D, 0D)" for h in range(24)}
+    sums["_we"] = "if(weekday(timestamp) >= 5, 1D, 0D)"
+    sums["_dc"] = "if(first_rn_country = rn, 1D, 0D)"
+    sums["_dr"] = "if(first_rn_resource = rn, 1D, 0D)"
+    for a in AUTH_ORDER:
+        sums[f"_a_{a}"] = f"if(auth_method = '{a}', 1D, 0D)"
+    for n, x in P.stat_sums().items():
+        sums[f"_{n}"] = x
+    return sums
+
+
+def with_live_cohort(f: DataFrame, model: CohortModel, s: Settings) -> DataFrame:
+    """Adds ``live_cohort`` to rows with the snapshot's sums, ``snap_n``, ``snap_fail`` and ``spread_km``."""
     n, zero = F.col("snap_n"), F.lit(0.0)
     c = F.col
     parts = {f"hour_{h:02d}": c(f"_h{h}") / n for h in range(24)}
@@ -224,5 +235,4 @@ def live_cohorts(o: Ordered, model: CohortModel) -> Ordered:
         parts[f"auth_{a}_share"] = c(f"_a_{a}") / n
     nearest = model.nearest([parts[name] for name in SUMMARY])
     cohort = F.when(n >= 3, nearest).otherwise(F.expr(model.default_sql("entity_type")))
-    f = f.withColumn("live_cohort", cohort).drop(*sums, "hb", "spread_km")
-    return o.with_frame(f)
+    return f.withColumn("live_cohort", cohort)

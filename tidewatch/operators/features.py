@@ -87,9 +87,9 @@ def _corpus_joins(o: O.Ordered, k: Knowledge) -> O.Ordered:
     return o.with_frame(frame)
 
 
-def _bags(o: O.Ordered, k: Knowledge) -> O.Ordered:
+def _bags(o: O.Ordered, k: Knowledge, long: DataFrame | None = None) -> O.Ordered:
     """Tokens and n-grams as arrays of (pos, value, seen in the snapshot, seen in the corpus)."""
-    long = P.snapshot_bags(o)
+    long = P.snapshot_bags(o) if long is None else long
     if k.corpus is not None:
         side = k.corpus.counts.filter(F.col("dim").isin(*P.BAG_DIMS)).selectExpr("dim", "value", "n AS corpus_n")
         long = long.join(side, ["dim", "value"], "left")
@@ -216,12 +216,18 @@ def featurise(
 
     Asking for fewer ``names`` leaves out the stages only the others need.
     """
+    return finish(history(events, settings, know, names), settings, know, names)
+
+
+def history(events: DataFrame, settings: Settings = DEFAULTS, know: Knowledge = Knowledge(), names=NUMERIC) -> O.Ordered:
+    """What a row knows of its entity's earlier rows: counts, sums, cuts, trailing rows, previous row, cohort.
+
+    The streaming job keeps the same columns as keyed state (``streaming/serve.py``)."""
     s, k = settings, know
     text = any(n.startswith("seq") for n in names)
     against_profile = text or any(n.endswith("_likelihood") or n.startswith(("is_new_", "window_foreign")) for n in names)
     windowed = any("window" in n or n.startswith("session_") or n == "auth_failure_rate_delta" for n in names)
     with_cohorts = k.cohorts is not None and bool(k.cohorts.centroids)
-    has_st, has_pr = k.profiles is not None, k.priors is not None
     o = P.value_columns(O.order_events(events, s))
     if k.corpus is not None:
         o = _corpus_joins(o, k)
@@ -259,8 +265,14 @@ def featurise(
         })
     snap_n = f"cast(if(blk >= 0, blk * {s.refresh_every} + 1, 0) AS double) AS snap_n"
     o = o.with_frame(o.frame.selectExpr("*", snap_n))
-    if with_cohorts:
-        o = live_cohorts(o, k.cohorts)
+    return live_cohorts(o, k.cohorts) if with_cohorts else o
+
+
+def finish(o: O.Ordered, settings: Settings = DEFAULTS, know: Knowledge = Knowledge(), names=NUMERIC) -> DataFrame:
+    """The features of rows that carry what history() gives."""
+    s, k = settings, know
+    windowed = any("window" in n or n.startswith("session_") or n == "auth_failure_rate_delta" for n in names)
+    has_st, has_pr = k.profiles is not None, k.priors is not None
     if has_st:
         o = _attach(o, k.profiles, "st_")
     f = _resolve(o.rows(), k, s)
