@@ -380,12 +380,33 @@ def static_drift_summary(spark, sf):
     return _rounded(s, "drift_fraction", "mean_psi", "max_psi")
 
 
-@query("adaptive_drift")
+# The monitor as a fold: one reading of every entity at a time, carrying base shares and streak.
+_ROW = f"[{', '.join(f'CASE WHEN n = 0 THEN CAST(1 AS DOUBLE) / k ELSE n{j} / n END' for j in _J)}][:k]"
+_BASE = f"[{', '.join(f'CASE WHEN c = 0 THEN CAST(1 AS DOUBLE) / k ELSE c{j} / c END' for j in _J)}][:k]"
+_FLOOR = "list_transform({0}, lambda x: greatest(x, 1e-6))"
+_MIX = "list_transform(list_zip(base, r), lambda z: 0.95 * z[1] + 0.05 * z[2])"
+_FOLD = f"""{_DRIFT.replace('WITH ', 'WITH RECURSIVE ', 1)},
+  rows AS (SELECT w.entity_id, event_id, rn - 50 AS m, {_ROW} AS r, {_BASE} AS own FROM (SELECT w.*, len(e) - 1 AS k FROM w JOIN e USING (entity_id)) w JOIN bs USING (entity_id)),
+  f AS (
+    SELECT entity_id, CAST(0 AS BIGINT) AS m, CAST(NULL AS BIGINT) AS event_id, own AS base, 0 AS streak, CAST(0 AS DOUBLE) AS psi, '' AS status FROM rows WHERE m = 1
+    UNION ALL
+    SELECT entity_id, m, event_id, CASE WHEN m >= 50 AND (s2 = 0 OR s2 = 3) THEN list_transform({_MIX}, lambda x: x / list_sum({_MIX})) ELSE base END,
+      CASE WHEN s2 = 3 THEN 0 ELSE s2 END, psi, CASE WHEN s2 = 3 THEN 'adapted' WHEN s2 > 0 THEN 'drifting' ELSE 'stable' END
+    FROM (SELECT *, CASE WHEN psi >= 0.2 THEN streak + 1 ELSE 0 END AS s2 FROM (
+      SELECT *, CASE WHEN m < 50 THEN 0 ELSE list_sum(list_transform(list_zip(list_transform(fr, lambda x: x / list_sum(fr)), list_transform(fb, lambda x: x / list_sum(fb))), lambda z: (z[1] - z[2]) * ln(z[1] / z[2]))) END AS psi
+      FROM (SELECT rows.entity_id, rows.m, rows.event_id, r, base, streak, {_FLOOR.format('r')} AS fr, {_FLOOR.format('base')} AS fb FROM f JOIN rows ON rows.entity_id = f.entity_id AND rows.m = f.m + 1))))"""
+
+
+@query("adaptive_drift", f"{_FOLD} SELECT entity_id, event_id, m AS samples, {r4('psi')} AS psi, status FROM f WHERE m > 0")
 def adaptive_drift(spark, sf):
-    return D.adaptive_drift(_signal(spark, sf))
+    return _rounded(D.adaptive_drift(_signal(spark, sf)).select("entity_id", "event_id", "samples", "psi", "status"), "psi")
 
 
-@query("adaptive_drift_states")
+@query(
+    "adaptive_drift_states",
+    f"""{_FOLD} SELECT status, count(*) AS entities, string_agg(entity_id, ',' ORDER BY entity_id) AS members
+      FROM (SELECT entity_id, arg_max(status, m) AS status FROM f WHERE m > 0 GROUP BY 1) GROUP BY 1""",
+)
 def adaptive_drift_states(spark, sf):
     return D.latest_states(D.adaptive_drift(_signal(spark, sf))).groupBy("status").agg(
         F.count(F.lit(1)).alias("entities"), F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("members")
