@@ -50,23 +50,27 @@ def test_entry_runs(spark):
 
 
 def test_explanations_add_up_and_never_raise_risk(spark, tiny):
-    from tidewatch.catalog.models import _SMALL, _alerts
-    from tidewatch.operators import explain as X
-    from tidewatch.operators import tiers as T
-    from tidewatch.operators.risk import RiskModel
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.sql import functions as F
+    from tidewatch.catalog import models as M
+    from tidewatch.config import ANOMALY_CLASSES
+    from tidewatch.operators import explain as X
 
-    alerts, forest, _ = _alerts(spark, tiny)
-    attr = X.attributions(alerts, forest, list(_SMALL))
+    state, alerts = M._alerts(spark, tiny)
+    assert alerts.count() > 5 and len(M.INPUTS) == 68 and all(len(r.row_array) == 68 for r in alerts.select("row_array").collect())
+    attr = X.attributions(alerts, state.classifier, M.INPUTS)
     total = {r.event_id: r.s for r in attr.groupBy("event_id").agg(F.sum("contribution").alias("s")).collect()}
     zero = alerts.withColumn("row_array", F.expr("transform(row_array, x -> 0D)"))
 
     def p(df):
-        c = T.classify(df.withColumn("row", array_to_vector("row_array")), forest)
-        return {r.event_id: r.p for r in c.selectExpr("event_id", "probs[anomaly_type] AS p").collect()}
+        """The forest's probability of each alert's class, before calibration."""
+        out = state.classifier.model.transform(df.select("event_id", "anomaly_type", array_to_vector("row_array").alias("row")))
+        names = {c: i for i, c in enumerate(ANOMALY_CLASSES)}
+        return {r.event_id: (r.v + [0.0] * 9)[names[r.anomaly_type]] for r in out.select("event_id", "anomaly_type", vector_to_array("probability").alias("v")).collect()}
 
     full, none = p(alerts), p(zero)
-    assert total and all(abs(total[e] - (full[e] - none[e])) < 1e-9 for e in total)
-    cf = X.counterfactual(alerts, attr, forest, RiskModel(weights=(0.0, 0.0, 1.0)), list(_SMALL), len(_SMALL)).collect()
+    assert set(total) == set(full) and all(abs(total[e] - (full[e] - none[e])) < 1e-9 for e in total)
+    cf = X.counterfactual(alerts, attr, state.classifier, state.risk, M.INPUTS, 59).collect()
     assert all(r.resulting_risk <= r.original_risk and len(r.changes) <= 4 for r in cf)
+    told = entry.queries()["alert_explanations"](spark, tiny).collect()
+    assert len(told) == len(total) and all(len(r.leading) == 6 and r.narrative and r.counterfactual and r.commands for r in told)

@@ -19,6 +19,7 @@ from tidewatch.operators import explain as X
 from tidewatch.operators import profiles as P
 from tidewatch.operators import tiers as T
 from tidewatch.operators.features import NUMERIC, Knowledge, featurise
+from tidewatch.plans import evaluate as EV
 from tidewatch.plans import fit as FI
 from tidewatch.plans import score as SCO
 from tidewatch.session import settle
@@ -293,19 +294,17 @@ def class_weights(spark, sf):
 
 @query("bottleneck_residuals")
 def bottleneck_residuals(spark, sf):
-    """Reconstruction error behind the linear bottleneck and the worst features of each event."""
-    df = access_events(spark, sf)
-    f = settle(featurise(df, WIDE, names=_SMALL))
-    scaler = T.fit_scaler(f, _SMALL)
-    m = T.fit_bottleneck(f, scaler, k=4)
-    out = T.score_bottleneck(f, m).withColumn("worst", F.expr(T.worst_features(2, _SMALL)))
+    """Reconstruction error of all features behind the linear bottleneck and the worst features of each event."""
+    df = settle(access_events(spark, sf))
+    f = settle(featurise(df, WIDE, Knowledge(corpus=_settled_corpus(df.filter("split = 'train'")))))
+    scaler = T.fit_scaler(f)
+    out = T.score_bottleneck(f, T.fit_bottleneck(f, scaler)).withColumn("worst", F.expr(T.worst_features(2)))
     return out.select("event_id", "error", "baseline", F.expr("array_join(transform(worst, x -> x.feature), ',') AS worst"))
 
 
-_SMALL = (
-    "hour_sin", "hour_cos", "log_seconds_since_prev", "log_geo_velocity_kmh", "log_distance_from_prev_km", "auth_success",
-    "log_bytes_out", "log_bytes_in", "log_session_duration", "bytes_out_zscore", "interval_zscore", "cold_start",
-)
+def _settled_corpus(train):
+    c = C.fit_corpus(train, WIDE)
+    return replace(c, counts=settle(c.counts))
 
 
 @query("isotonic_calibration")
@@ -342,49 +341,92 @@ def alerts_to_explain(spark, sf):
     return scored(spark, sf).filter("is_anomaly").select("event_id", "entity_id", "anomaly_type")
 
 
-def _alerts(spark, sf):
-    """A forest over a dozen features, and the events it calls an attack."""
-    from pyspark.ml.functions import array_to_vector
+#: What the forest sees: scaled features, category codes, the scores of the other two tiers.
+INPUTS = [*NUMERIC, "entity_type", "auth_method", "geo_country", "device_protocol", "device_os", "resource_accessed", "cohort", "baseline", "sequence"]
+_FITTED: dict = {}
 
-    df = settle(access_events(spark, sf))
-    f = featurise(df, WIDE, names=_SMALL)
-    scaler = T.fit_scaler(settle(f), _SMALL)
-    rows = f.selectExpr("event_id", f"{T.scaled_array(scaler)} AS row_array").withColumn("row", array_to_vector("row_array"))
-    rows = settle(rows.join(df.select("event_id", "label"), "event_id"))
-    forest = T.fit_classifier(rows, DEFAULTS, trees=5)
-    scored_rows = T.classify(rows, forest).filter("base_type <> 'normal'")
-    alerts = scored_rows.selectExpr("event_id", "base_type AS anomaly_type", "row_array", "0D AS baseline", "0D AS sequence")
-    return settle(alerts), forest, scaler
+
+def _served(spark, sf):
+    """(state, test events, their detections): fitted on the training split, tuned on validation; once a session and folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _FITTED:
+        df = settle(access_events(spark, sf))
+        state = FI.fit_all(df.filter("split = 'train'"), df.filter("split = 'val'"), df.select("event_id", "label"), WIDE)
+        test = df.filter("split = 'test'")
+        _FITTED[at] = state, test, settle(SCO.score_table(test, state, WIDE).drop("row"))
+    return _FITTED[at]
+
+
+def _alerts(spark, sf):
+    state, _, detections = _served(spark, sf)
+    return state, detections.filter("is_anomaly")
 
 
 @query("alert_attributions")
 def alert_attributions(spark, sf):
-    alerts, forest, scaler = _alerts(spark, sf)
-    attr = X.attributions(alerts, forest, list(_SMALL))
-    top = X.top_attributions(attr, {n: m for n, (m, _) in scaler.items()}, 3)
+    """The inputs that move each alert's class most, of all 68."""
+    state, alerts = _alerts(spark, sf)
+    top = X.top_attributions(X.attributions(alerts, state.classifier, INPUTS), {n: m for n, (m, _) in state.scaler.items()})
     return top.select("event_id", "rank", "feature", "contribution", "direction", "typical", "description")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    alerts, forest, _ = _alerts(spark, sf)
-    return X.global_importance(X.attributions(alerts, forest, list(_SMALL)))
+    state, alerts = _alerts(spark, sf)
+    return X.global_importance(X.attributions(alerts, state.classifier, INPUTS))
 
 
 @query("alert_counterfactuals")
 def alert_counterfactuals(spark, sf):
-    from tidewatch.operators.risk import RiskModel
-
-    alerts, forest, _ = _alerts(spark, sf)
-    attr = settle(X.attributions(alerts, forest, list(_SMALL)))
-    cf = X.counterfactual(alerts, attr, forest, RiskModel(weights=(0.0, 0.0, 1.0)), list(_SMALL), len(_SMALL))
+    """Fewest features put back to typical that end an alert, judged by the fused risk of all three tiers."""
+    state, alerts = _alerts(spark, sf)
+    attr = settle(X.attributions(alerts, state.classifier, INPUTS))
+    cf = X.counterfactual(alerts, attr, state.classifier, state.risk, INPUTS, len(NUMERIC))
     return cf.select("event_id", "original_risk", "resulting_risk", "found", F.array_join("changes", ",").alias("changes"), "summary")
 
 
+@query("alert_explanations")
+def alert_explanations(spark, sf):
+    """Everything told about an alert: leading inputs, counterfactual, least expected commands, techniques, narrative."""
+    state, test, detections = _served(spark, sf)
+    ids = detections.filter("is_anomaly").select("event_id")
+    steps = T.step_attribution(T.step_surprise(T.steps(test.join(ids, "event_id", "left_semi"), state.vocab, WIDE), state.transitions, state.vocab_size))
+    words = state.vocab.select(F.col("id").alias("nxt"), "token")
+    named = steps.join(words, "nxt", "left").withColumn("token", F.coalesce("token", F.lit("an unknown command")))
+    out = X.explain(detections, named, state, INPUTS, len(NUMERIC))
+    return out.selectExpr(
+        "event_id", "anomaly_type", "risk", "transform(top_features, x -> x.feature) AS leading", "counterfactual.summary AS counterfactual",
+        f"{X.summarise_steps_sql('coalesce(sequence_steps, array())')} AS commands", "transform(techniques, x -> x.technique_id) AS techniques", "narrative")
+
+
 @query("scored_detections")
 def scored_detections(spark, sf):
     """Fit on the training split, tune on validation, score the test split into detections."""
-    df = settle(access_events(spark, sf))
-    state = FI.fit_all(df.filter("split = 'train'"), df.filter("split = 'val'"), df.select("event_id", "label"), WIDE, trees=5)
-    d = SCO.score_table(df.filter("split = 'test'"), state, WIDE)
+    _, _, d = _served(spark, sf)
     return d.select("detection_id", "event_id", "entity_id", "risk", "uncertainty", "in_budget", "is_anomaly", "anomaly_type", "cold_start", "drift_flag")
+
+
+# --- evaluation of the fitted whole ---------------------------------------------------------------- #
+
+
+@query("evaluation_metrics")
+def evaluation_metrics(spark, sf):
+    """Recall at the budget, ranking quality, macro F1 and calibration error of the test split's detections."""
+    state, test, detections = _served(spark, sf)
+    judged = EV.evaluation_table(detections, test.select("event_id", "label", "campaign_id"), state.risk)
+    return EV.metrics_row(settle(judged.withColumn("y", F.expr("if(label <> 'normal', 1, 0)"))), WIDE.alert_budget)
+
+
+@query("campaign_experiment")
+def campaign_experiment(spark, sf):
+    """True campaigns against those linked from what was flagged."""
+    state, test, detections = _served(spark, sf)
+    judged = EV.evaluation_table(detections, test.select("event_id", "label", "campaign_id"), state.risk)
+    return EV.campaign_experiment(settle(judged), state.risk.alert_threshold, WIDE)
+
+
+@query("cold_start_ablation")
+def cold_start_ablation(spark, sf):
+    """Recall on events of little-known entities, with cohort priors and with the global prior alone."""
+    state, test, _ = _served(spark, sf)
+    return EV.cold_start_ablation(test, test.select("event_id", "label"), state, WIDE)

@@ -413,6 +413,15 @@ def adaptive_drift_states(spark, sf):
     )
 
 
+@query(
+    "adaptive_drift_summary",
+    f"""{_FOLD} SELECT count(*) AS n, {r4("avg(CASE WHEN status = 'drifting' THEN 1 ELSE 0 END)")} AS drift_fraction, count(*) FILTER (status = 'adapted') AS adapted,
+      {r4('coalesce(avg(psi) FILTER (psi > 0), 0)')} AS mean_psi, {r4('max(psi)')} AS max_psi FROM f WHERE m > 0""",
+)
+def adaptive_drift_summary(spark, sf):
+    return _rounded(D.drift_summary(D.adaptive_drift(_signal(spark, sf))), "drift_fraction", "mean_psi", "max_psi")
+
+
 # --- campaigns ------------------------------------------------------------------------------- #
 
 _GAP = 72 * 3_600_000_000
