@@ -221,3 +221,28 @@ def test_groups_of_a_large_host_report_to_each_other(spark, monkeypatch):
     monkeypatch.setattr(extract, "GROUP", 4000)
     out = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.id: r.text for r in out} == {i: extract.blocks(h)[0][0][1] for i, _, h in rows}
+
+
+def test_token_files_order_odd_rows(spark, no_docs):
+    """Null ids first, rows of one id together, an id that a third of the rows share in several parts, an empty table."""
+    from tokenizers import Tokenizer
+
+    from tidewatch.llm import tokens
+    from tidewatch.llm.store import folder, tokenizer_file
+
+    t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    rng = random.Random(8)
+    rows = [(k if k % 3 else 30, f"word{rng.randrange(900)} text {k}") for k in range(300)] + [(None, "one"), (None, None), (None, "one"), (-(1 << 63) + 5, "low"), ((1 << 63) - 1, "high"), (30, "")]
+    to = f"{folder(spark)}/tokens-test-{rng.randrange(1 << 60)}"
+    tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), to, "word_bpe_49k.json", 2)
+    got = sorted((r.start, r.n_ids, r.id, tuple(r.ids)) for r in tokens.read(spark, to).collect())
+    ids = [r[2] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
+    assert [r[0] for r in got] == [sum(r[1] for r in got[:k]) for k in range(len(got))]
+    want = Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids + [2])) for i, x in rows)
+    assert Counter((r[2], r[3]) for r in got) == want
+    tokens.write(no_docs, f"{to}-none", "word_bpe_49k.json", 2)
+    assert tokens.read(spark, f"{to}-none").count() == 0
+    bounds = np.array([5, 30, 30, 30, 40])
+    h = np.array([-(1 << 63), -1, 0, (1 << 63) - 1])
+    assert tokens.dealt(np.full(4, 30), h, bounds).tolist() == [1, 2, 3, 4] and tokens.dealt(np.array([4, 6, 41, 35]), h, bounds).tolist() == [0, 1, 5, 4]

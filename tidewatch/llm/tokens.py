@@ -28,7 +28,7 @@ from tidewatch.llm import words as W
 from tidewatch.llm.store import drop, partitions, save, tokenizer_file
 
 #: Words that a worker remembers at most; ids of a block, beyond which a new one begins; bytes of text looked at together.
-REMEMBERED, BLOCK_IDS, PIECE = 600_000, 1 << 20, 1 << 21
+REMEMBERED, BLOCK_IDS, PIECE = 1_000_000, 1 << 20, 1 << 21
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int8) + 1
 #: Byte-level stand-ins: printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
@@ -109,7 +109,8 @@ class Encoder:
         slots = slot[coded.indices.to_numpy()]
         n = begin[slots + 1] - begin[slots]
         ends = np.cumsum(n)
-        take = np.repeat(begin[slots] - (ends - n), n) + np.arange(ends[-1])
+        take = np.repeat((begin[slots] - (ends - n)).astype(np.int32), n)
+        take += np.arange(len(take), dtype=np.int32)
         return flat[take], np.diff(np.concatenate([[0], ends])[w.first])
 
 
@@ -152,23 +153,30 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ranks(blocks: DataFrame, size: int) -> np.ndarray:
-    """Ids by falling count over all blocks, then by id; the vocabulary's size bounds what reaches the driver."""
-
-    def count(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            for ids in b.column(0).to_pylist():
-                total += np.bincount(_opened(ids), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
-
-    found = blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+def ranks(counts: DataFrame, size: int) -> np.ndarray:
+    """Ids by falling count, then by id; counts: id, n. The vocabulary's size bounds what reaches the driver."""
+    found = counts.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, dtype=np.int64)
     total[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return np.lexsort((np.arange(size), -total)).astype(np.int32)
 
 
+def dealt(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each row's part: parts follow each other in the order of (id, hash). An id that several bounds name, because very many
+    rows share it, is cut among their parts by its hashes."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    share = ((hashes >> 32) + (1 << 31)) / float(1 << 32)  # 0 to 1, rising with the hash
+    return (low + np.floor(share * (high - low + 1))).astype(np.int32)
+
+
+def _bounds(ids: DataFrame, parts: int) -> np.ndarray:
+    """Ids that cut the table into parts of about equal size."""
+    if parts == 1:
+        return np.zeros(0, np.int64)
+    found = ids.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (10 * parts))
+    return np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in found], dtype=np.int64)
+
+
 def _opened(ids: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(ids), dtype="<u4")
 
@@ -176,39 +184,67 @@ def _opened(ids: bytes) -> np.ndarray:
 def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every row, each document's end id included, in ascending id order (null ids first).
 
-    Texts are put in order, tokenized once into blocks of plain ids, counted, and the blocks written again with ranks.
-    Null and empty texts have the end id alone. Rows that share an id stand in the order of a hash of their text. An empty
-    table writes no block. A lost task is run again and Spark commits the files of one attempt only.
+    Texts are tokenized where they are read; ids, not texts, are then put in order, by bounds from the id column alone, made
+    into blocks and counted in one pass, and the blocks written again with ranks. Null and empty texts have the end id alone.
+    Rows that share an id, or have none, stand in the order of a hash of their text; equal rows in any order. An empty table
+    writes no block. A lost task is run again and Spark commits the files of one attempt only.
     """
     spark = docs.sparkSession
     path = tokenizer_file(tokenizer)
+    size = encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
+    small = np.dtype("<u2") if max(size, end + 1) <= 1 << 16 else np.dtype("<u4")
     names = ["part", "seq", "base", "n_ids", "docs", "counts"]
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NULL))).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
+    parts = partitions(spark)
+    bounds = _bounds(texts, parts)
+
+    def tokenized(batches):
+        for b in batches:
+            for piece in W.pieces(b, 2, PIECE):
+                ids, n = with_end(*encoder(path).ids(piece.column(2)), end)
+                offsets = (np.concatenate([[0], np.cumsum(n)]) * small.itemsize).astype(np.int64)
+                coded = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(small))])
+                part = dealt(piece.column(0).to_numpy(), piece.column(1).to_numpy(), bounds)
+                yield pa.record_batch([pa.array(part), piece.column(0), piece.column(1), coded.cast(pa.binary())], names=["part", "id", "h", "ids"])
 
     def blocks(batches):
-        part, seq, base = TaskContext.get().partitionId(), 0, 0
+        seq, base, total = 0, 0, np.zeros(max(size, end + 1), dtype=np.int64)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        part = TaskContext.get().partitionId()
+
+        def row(**has):
+            has = {"part": part, "seq": seq, "base": base} | has
+            return pa.record_batch([pa.array([has.get(c)], k) for c, k in kinds.items()], names=list(kinds))
 
         def block():
             ids, docs_, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            packed = zstandard.compress(ids.astype("<u4").tobytes(), 1)
-            return pa.record_batch([pa.array([part]), pa.array([seq]), pa.array([base]), pa.array([len(ids)]), *(pa.array([x], pa.binary()) for x in (docs_.tobytes(), n.tobytes(), packed))], names=[*names, "ids"])
+            total[:] += np.bincount(ids, minlength=len(total))
+            return row(n_ids=len(ids), docs=docs_.tobytes(), counts=n.tobytes(), ids=zstandard.compress(ids.astype("<u4").tobytes(), 1))
 
-        for b in W.unpacked(batches):
-            for piece in W.pieces(b, 1, PIECE):
-                ids, n = with_end(*encoder(path).ids(piece.column(1)), end)
-                held.append((ids, _id_bits(piece.column(0)), n))
+        for b in batches:
+            data = b.column("ids").cast(pa.large_binary())
+            offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] // small.itemsize
+            flat = np.frombuffer(data.buffers()[2], small)
+            docs_, lo = b.column("id").to_numpy(), 0
+            while lo < len(docs_):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_IDS, "right")) - 1)
+                held.append((flat[offsets[lo] : offsets[hi]], docs_[lo:hi], np.diff(offsets[lo : hi + 1])))
+                lo = hi
                 if sum(len(h[0]) for h in held) >= BLOCK_IDS:
                     out = block()
                     yield out
-                    seq, base = seq + 1, base + out.column("n_ids")[0].as_py()
-                    held = []
+                    seq, base, held = seq + 1, base + out.column("n_ids")[0].as_py(), []
         if held:
             yield block()
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    ordered = texts.mapInArrow(W.packed, "id long, z binary").repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("z"))
-    plain = save(ordered.mapInArrow(blocks, "part long, seq long, base long, n_ids long, docs binary, counts binary, ids binary"))
-    order = ranks(plain, encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
+        if total.any():
+            at = np.flatnonzero(total)
+            yield row(seq=-1, seen=at.astype(np.int32), n_seen=total[at])
+
+    kinds = {"part": pa.int64(), "seq": pa.int64(), "base": pa.int64(), "n_ids": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "ids": pa.binary(), "seen": pa.list_(pa.int32()), "n_seen": pa.list_(pa.int64())}
+    moved = texts.mapInArrow(tokenized, "part int, id long, h long, ids binary").repartitionById(parts, F.col("part")).sortWithinPartitions("id", "h")
+    plain = save(moved.drop("part", "h").mapInArrow(blocks, "part long, seq long, base long, n_ids long, docs binary, counts binary, ids binary, seen array<int>, n_seen array<long>"))
+    seen = plain.where("seq < 0").select(F.explode(F.arrays_zip("seen", "n_seen")).alias("x")).select(F.col("x.seen").alias("id"), F.col("x.n_seen").alias("n"))
+    order = ranks(seen, max(size, end + 1))
     rank = np.empty(len(order), dtype=np.uint32)
     rank[order] = np.arange(len(order))
     of = spark.sparkContext.broadcast(rank)
@@ -221,7 +257,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc
                 control, data = pack(of.value[_opened(row.column(6)[0].as_py())])
                 yield pa.record_batch([*row.columns[:6], pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=[*names, "control", "data"])
 
-    plain.mapInArrow(ranked, "part long, seq long, base long, n_ids long, docs binary, counts binary, control binary, data binary").write.parquet(f"{to}/blocks")
+    plain.where("seq >= 0").drop("seen", "n_seen").mapInArrow(ranked, "part long, seq long, base long, n_ids long, docs binary, counts binary, control binary, data binary").write.parquet(f"{to}/blocks")
     drop(plain)
 
 
@@ -229,10 +265,6 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc
 _NULL = np.iinfo(np.int64).min
 
 
-def _id_bits(column: pa.Array) -> np.ndarray:
-    return column.fill_null(int(_NULL)).to_numpy(zero_copy_only=False)
-
-
 def read(spark: SparkSession, at: str, digest: bool = False) -> DataFrame:
     """One row per document of a written folder: id, start (ids before it), n_ids, and its ids, or their CRC-32 if digest."""
     blocks = spark.read.parquet(f"{at}/blocks")
