@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -233,7 +234,7 @@ def test_token_files_order_odd_rows(spark, no_docs):
     t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     rng = random.Random(8)
     rows = [(k if k % 3 else 30, f"word{rng.randrange(900)} text {k}") for k in range(300)] + [(None, "one"), (None, None), (None, "one"), (-(1 << 63) + 5, "low"), ((1 << 63) - 1, "high"), (30, "")]
-    to = f"{folder(spark)}/tokens-test-{rng.randrange(1 << 60)}"
+    to = f"{folder(spark)}/tokens-test-{uuid.uuid4().hex}"
     tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), to, "word_bpe_49k.json", 2)
     got = sorted((r.start, r.n_ids, r.id, tuple(r.ids)) for r in tokens.read(spark, to).collect())
     ids = [r[2] for r in got]

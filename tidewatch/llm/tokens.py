@@ -33,6 +33,9 @@ _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int8)
 #: Byte-level stand-ins: printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _STAND_IN = {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
+_LETTER, _PUNCTUATION = np.zeros((2, 256), dtype=bool)
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _WORKER: dict[str, Encoder] = {}
 
 
@@ -87,14 +90,11 @@ class Encoder:
         w = W.split(column)
         if not len(w):
             return np.zeros(0, np.int32), np.zeros(len(w.first) - 1, np.int64)
-        lengths = w.ends - w.starts
-        mark = np.zeros(len(w.data) + 1, dtype=np.int8)
-        mark[w.starts] += 1
-        mark[w.ends] -= 1
-        solid = w.data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_string(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        data, starts, ends, first = self.units(w)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        solid = data[_inside(len(data), starts, ends)]
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         slot = np.fromiter(map(self.slot.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         at = np.flatnonzero(slot < 0)
         flat, begin = self.flat, self.begin
@@ -111,7 +111,33 @@ class Encoder:
         ends = np.cumsum(n)
         take = np.repeat((begin[slots] - (ends - n)).astype(np.int32), n)
         take += np.arange(len(take), dtype=np.int32)
-        return flat[take], np.diff(np.concatenate([[0], ends])[w.first])
+        return flat[take], np.diff(np.concatenate([[0], ends])[first])
+
+    def units(self, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is looked up: words, but letters and the punctuation after them apart where the tokenizer keeps them apart
+        anyway, and such letters in lower case. So one entry serves a word in all its surroundings. Also the first unit of each row."""
+        if not self.plain:
+            return w.data, w.starts, w.ends, w.first
+        letter, high = _LETTER[w.data], w.data >= 128
+        at = np.arange(len(w.data))
+        stem = np.maximum(np.maximum.accumulate(np.where(_PUNCTUATION[w.data], -1, at))[w.ends - 1] + 1, w.starts)
+        other = np.concatenate([[0], np.cumsum(~(letter | high))])
+        clean = (stem > w.starts) & (other[stem] == other[w.starts]) & letter[stem - 1]
+        data = np.where(_inside(len(w.data), w.starts[clean], stem[clean]), W._LOWER[w.data], w.data)
+        cut = clean & (stem < w.ends)
+        place = np.arange(len(w)) + np.cumsum(cut) - cut
+        starts, ends = np.empty((2, len(w) + int(cut.sum())), dtype=np.int64)
+        starts[place], ends[place] = w.starts, np.where(cut, stem, w.ends)
+        starts[place[cut] + 1], ends[place[cut] + 1] = stem[cut], w.ends[cut]
+        return data, starts, ends, np.append(place, len(starts))[w.first]
+
+
+def _inside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in one of the ranges, none of which overlap."""
+    mark = np.zeros(n + 1, dtype=np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    return np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
 
 
 def encoder(path: str) -> Encoder:
@@ -153,9 +179,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ranks(counts: DataFrame, size: int) -> np.ndarray:
-    """Ids by falling count, then by id; counts: id, n. The vocabulary's size bounds what reaches the driver."""
-    found = counts.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+def ranks(seen: DataFrame, size: int) -> np.ndarray:
+    """Ids by falling count, then by id. seen: ids and their counts of one task a row, as arrays; rows are added up where they
+    are read. The vocabulary's size bounds what reaches the driver."""
+
+    def add(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            np.add.at(total, b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
+
+    found = seen.mapInArrow(add, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, dtype=np.int64)
     total[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return np.lexsort((np.arange(size), -total)).astype(np.int32)
@@ -243,8 +278,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, id_col: str = "doc
     kinds = {"part": pa.int64(), "seq": pa.int64(), "base": pa.int64(), "n_ids": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "ids": pa.binary(), "seen": pa.list_(pa.int32()), "n_seen": pa.list_(pa.int64())}
     moved = texts.mapInArrow(tokenized, "part int, id long, h long, ids binary").repartitionById(parts, F.col("part")).sortWithinPartitions("id", "h")
     plain = save(moved.drop("part", "h").mapInArrow(blocks, "part long, seq long, base long, n_ids long, docs binary, counts binary, ids binary, seen array<int>, n_seen array<long>"))
-    seen = plain.where("seq < 0").select(F.explode(F.arrays_zip("seen", "n_seen")).alias("x")).select(F.col("x.seen").alias("id"), F.col("x.n_seen").alias("n"))
-    order = ranks(seen, max(size, end + 1))
+    order = ranks(plain.where("seq < 0").select("seen", "n_seen"), max(size, end + 1))
     rank = np.empty(len(order), dtype=np.uint32)
     rank[order] = np.arange(len(order))
     of = spark.sparkContext.broadcast(rank)
