@@ -256,7 +256,19 @@ def session_order(spark, sf):
     return SE.ordered(access_events(spark, sf)).select("session_id", "event_id", "pos")
 
 
-@query("session_commands")
+@query(
+    "session_commands",
+    f"""{with_(EVENTS).replace('WITH ', 'WITH RECURSIVE ', 1)},
+      s AS (SELECT session_id, event_id, list_filter(cmds, lambda t: t <> '') AS c, row_number() OVER (PARTITION BY session_id ORDER BY ts_us, event_id) AS i FROM ev),
+      f AS (
+        SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST([] AS VARCHAR[]) AS tail, CAST([] AS VARCHAR[]) AS fresh FROM s
+        UNION ALL
+        SELECT session_id, i, event_id, list_slice(tail || fresh, greatest(1, len(tail) + len(fresh) - 63), len(tail) + len(fresh)), fresh FROM (
+          SELECT s.session_id, s.i, s.event_id, tail,
+            list_slice(c, 1 + list_max(list_filter(range(0, least(len(tail), len(c)) + 1), lambda k: list_slice(tail, len(tail) - k + 1, len(tail)) = list_slice(c, 1, k))), len(c)) AS fresh
+          FROM f JOIN s ON s.session_id = f.session_id AND s.i = f.i + 1))
+      SELECT session_id, event_id, coalesce(array_to_string(fresh, ' '), '') AS new_tokens FROM f WHERE i > 0""",
+)
 def session_commands(spark, sf):
     """Commands of each session rebuilt from overlapping windows: the new tokens of every event."""
     return SE.new_commands(access_events(spark, sf)).select(

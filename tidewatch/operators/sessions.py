@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.functions.scalar import off_hours
 from tidewatch.operators.ordering import order_events
+from tidewatch.session import settle
 from tidewatch.sources.tables import class_table
 
 CLEAN = "filter(command_sequence, t -> t is not null and t <> '')"
@@ -63,33 +64,77 @@ def merge_overlap(tail: list, tokens: list, keep: int) -> tuple[list, list]:
     return new, (tail + new)[-keep:]
 
 
-def new_commands(events: DataFrame, keep: int = 64) -> DataFrame:
+#: Events of one session that a task walks in a row, and events before them that it walks first to guess what stood before.
+SEGMENT, WARM_UP = 50_000, 200
+
+
+def new_commands(events: DataFrame, keep: int = 64, s: Settings = DEFAULTS) -> DataFrame:
     """The commands each event adds to its session, from overlapping rolling windows.
 
-    Every step depends on the one before, so rows stream through a task in session order and only
-    the end of the running sequence is held: as many tokens as the longest window so far (at least
-    ``keep``) can overlap. The session's full sequence is the concatenation of ``new_tokens``.
+    Only the end of the running sequence matters to the next event: as many tokens as the longest window so far (at least
+    ``keep``) can overlap. A session with more than SEGMENT events is cut: each segment guesses that end by walking WARM_UP
+    earlier events, and segments whose guess differs from what the one before really ends with are walked again from there,
+    until none differs. The session's full sequence is the concatenation of ``new_tokens``. Events without a session are left
+    out; an event without commands adds none.
     """
-    import pandas as pd
-
     widest = events.agg(F.max(F.size("command_sequence"))).first()[0] or 0
     hold = max(keep, widest)
     kt = dict(events.dtypes)["event_id"]
+    rows = events.filter("session_id is not null").selectExpr("session_id", "event_id", "ts_us", f"coalesce({CLEAN}, array()) AS t")
+    rows = order_events(rows, s, key="session_id", halo=0).rows().withColumn("seg", F.expr(f"cast((rn - 1) div {SEGMENT} AS bigint)"))
+    rows = rows.select("session_id", "event_id", "ts_us", "rn", "t", "seg")
+    long = settle(rows.groupBy("session_id").agg(F.max("seg").alias("last")).where("last > 0"))  # at most rows / SEGMENT sessions
+    plain = ("session_id", "event_id", "ts_us", "new_tokens")
+    if long.isEmpty():
+        return _walked(rows, None, hold, kt).where("NOT mark").select(*plain)
+    tail = rows.where(f"(rn - 1) % {SEGMENT} >= {max(0, SEGMENT - WARM_UP)}").join(long, "session_id").where("seg < last").drop("last").withColumn("seg", F.col("seg") + 1)
+    whole = settle(rows.withColumn("warm", F.lit(False)).unionByName(tail.withColumn("warm", F.lit(True))))
+    out = settle(_walked(whole, None, hold, kt))
+    order = Window.partitionBy("session_id").orderBy("seg")
+    while True:
+        ends = out.where("mark").groupBy("session_id", "seg").agg(
+            F.max(F.when(F.col("side") == "entry", F.col("new_tokens"))).alias("entry"),
+            F.max(F.when(F.col("side") == "exit", F.col("new_tokens"))).alias("exit"))
+        wrong = settle(ends.withColumn("given", F.lag("exit").over(order)).where("given IS NOT NULL AND entry <> given").select("session_id", "seg", "given"))
+        if wrong.isEmpty():
+            return out.where("NOT mark").select(*plain)
+        again = _walked(whole.where("NOT warm").join(wrong.select("session_id", "seg"), ["session_id", "seg"], "left_semi"), wrong, hold, kt)
+        out = settle(out.join(wrong.select("session_id", "seg"), ["session_id", "seg"], "left_anti").select(*out.columns).unionByName(again))
+
+
+def _walked(rows: DataFrame, entries: DataFrame | None, hold: int, kt: str) -> DataFrame:
+    """New tokens of every event, and two marked rows for each segment: the end of the sequence before its first event and
+    after its last. A segment starts from ``entries`` (session_id, seg, given) where it has one, else from nothing."""
+    import pandas as pd
+
+    if "warm" not in rows.columns:
+        rows = rows.withColumn("warm", F.lit(False))
+    given = rows.withColumn("given", F.lit(None).cast("array<string>")) if entries is None else rows.join(entries, ["session_id", "seg"])
+    cols = ["session_id", "event_id", "ts_us", "new_tokens", "mark", "side", "seg"]
+    whole_number = {"ts_us": "Int64", "seg": "Int64"} | ({"event_id": "Int64"} if kt in ("bigint", "int") else {})
 
     def walk(batches):
-        current, tail = None, []
+        where, tail, begun = None, [], False
         for pdf in batches:
             out = []
-            for sid, eid, us, tokens in zip(pdf["session_id"], pdf["event_id"], pdf["ts_us"], pdf["t"]):
-                if sid != current:
-                    current, tail = sid, []
+            for sid, seg, warm, eid, us, tokens, start in zip(pdf["session_id"], pdf["seg"], pdf["warm"], pdf["event_id"], pdf["ts_us"], pdf["t"], pdf["given"]):
+                if (sid, seg) != where:
+                    if where is not None:
+                        out.append((where[0], None, None, tail, True, "exit", where[1]))
+                    where, begun = (sid, seg), False
+                    tail = list(start) if start is not None else []
+                if not warm and not begun:
+                    out.append((sid, None, None, tail, True, "entry", seg))
+                    begun = True
                 new, tail = merge_overlap(tail, list(tokens), hold)
-                out.append((sid, eid, us, new))
-            yield pd.DataFrame(out, columns=["session_id", "event_id", "ts_us", "new_tokens"])
-
-    rows = events.filter("session_id is not null").selectExpr("session_id", "event_id", "ts_us", f"{CLEAN} AS t")
-    rows = rows.repartition("session_id").sortWithinPartitions("session_id", "ts_us", "event_id")
-    return rows.mapInPandas(walk, f"session_id string, event_id {kt}, ts_us bigint, new_tokens array<string>")
+                if not warm:
+                    out.append((sid, eid, us, new, False, None, seg))
+            yield pd.DataFrame(out, columns=cols).astype(whole_number)
+        if where is not None:
+            yield pd.DataFrame([(where[0], None, None, tail, True, "exit", where[1])], columns=cols).astype(whole_number)
+
+    ordered = given.repartition("session_id", "seg").sortWithinPartitions("session_id", "seg", "rn")
+    return ordered.mapInPandas(walk, f"session_id string, event_id {kt}, ts_us bigint, new_tokens array<string>, mark boolean, side string, seg bigint")
 
 
 def traffic(events: DataFrame) -> DataFrame:
