@@ -316,6 +316,22 @@ def isotonic_calibration(spark, sf):
     return s.select("event_id", "classifier", F.expr(f"{interpolate_sql('classifier', knots)} AS calibrated"))
 
 
+#: Knots of a calibration that has a jump, a level stretch and a steep one.
+_KNOTS = ((0.05, 0.0), (0.2, 0.1), (0.2, 0.3), (0.55, 0.3), (0.6, 0.8), (0.95, 1.0))
+
+
+@query(
+    "calibrated_scores",
+    f"""{SC} SELECT event_id, {r4("CASE " + f"WHEN classifier <= {_KNOTS[0][0]} THEN {_KNOTS[0][1]} " + " ".join(
+        f"WHEN classifier <= {x1} THEN {y0} + (classifier - {x0}) * ({y1 - y0}) / ({x1 - x0})" for (x0, y0), (x1, y1) in zip(_KNOTS, _KNOTS[1:]) if x1 > x0) + f" ELSE {_KNOTS[-1][1]} END")} AS calibrated FROM sc""",
+)
+def calibrated_scores(spark, sf):
+    """The calibration map of given knots."""
+    from tidewatch.operators.risk import interpolate_sql
+
+    return scored(spark, sf).select("event_id", R(F.expr(interpolate_sql("classifier", _KNOTS))).alias("calibrated"))
+
+
 # --- explanations -------------------------------------------------------------------------------- #
 
 
