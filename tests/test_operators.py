@@ -153,6 +153,50 @@ def test_feedback_clamps_at_every_step(spark):
         assert new[:6] == [-10, -20, -30, -40, -40, -30] and new[-1] == 40 and len(new) == 306
 
 
+def test_feedback_through_levels_of_chunks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(B, "CHUNK", 4)
+    rnd = random.Random(3)
+    rows = [(e, 1000 * k + i, i // 3, rnd.choice(["false_positive", "confirmed"])) for k, (e, n) in enumerate({"busy": 300, "some": 17, "one": 1}.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id string, feedback_id bigint, ts_us bigint, verdict string")
+    want, cur = {}, {}
+    for e, i, _, v in rows:
+        before = cur.get(e, 0.0)
+        cur[e] = max(-40.0, min(40.0, before + (-10.0 if v == "false_positive" else 10.0)))
+        want[i] = (before, cur[e])
+    for s in (DEFAULTS, replace(DEFAULTS, max_group_rows=50)):
+        assert {r.feedback_id: (r.previous_value, r.new_value) for r in B.fold(df, s).collect()} == want
+    assert B.fold(df.limit(0)).count() == 0
+
+
+def test_weight_grid_with_shared_scores(spark):
+    import random
+
+    from tidewatch.operators import risk as RI
+
+    rnd = random.Random(5)
+
+    def plain(rows, k):
+        out = {}
+        for g, (a, b, c) in enumerate(RI.weight_grid(0.25)):
+            best = sorted(rows, key=lambda r: (-round(a * r[2] + b * r[3] + c * r[4], 9), r[0]))
+            out[g] = sum(r[1] for r in best[:k])
+        return out
+
+    few = [(i, int(rnd.random() < 0.3), *(rnd.choice([0.0, 0.25, 0.5]) for _ in range(3))) for i in range(1500)]
+    same = [(i, i % 7 % 2, 0.5, 0.5, 0.5) for i in range(1500)]
+    free = [(i, int(rnd.random() < 0.1), rnd.random(), rnd.random(), rnd.random()) for i in range(300)]
+    for rows in (few, same, free):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "event_id bigint, y int, baseline double, sequence double, classifier double")
+        got = {r.g: r.hits for r in RI.tune_weights(df, 0.1, 0.25).collect()}
+        assert got == plain(rows, len(rows) // 10)
+    assert RI.tune_weights(df.limit(0), 0.1, 0.25).count() == 0
+    gaps = spark.createDataFrame([(1, 1, None, 0.9, 0.9), (2, None, 0.1, 0.1, 0.1)], df.schema)
+    assert {r.hits for r in RI.tune_weights(gaps, 0.5, 0.25).collect()} == {0}
+
+
 def test_offset_as_of_with_split_history(spark):
     marks = spark.createDataFrame([("e", 10 * i + 5, i, float(i)) for i in range(200)], "entity_id string, ts_us bigint, seq bigint, new_value double")
     probes = spark.createDataFrame([("e", 10 * i, i) for i in range(200)], "entity_id string, ts_us bigint, detection_id bigint")

@@ -3,7 +3,7 @@
 Each verdict moves the offset by a step and clamps it, so a plain running sum is wrong. But
 "add, then clamp" functions compose into one function of the same form (shift a, floor lo,
 ceiling hi). Verdicts are folded in chunks of bounded size, chunk functions are composed in
-order, and no entity's history has to sit in one place row by row.
+order level by level, and no group ever holds more than CHUNK verdicts or functions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.operators.ordering import order_events
+from tidewatch.session import settle
 
 CHUNK = 128
 
@@ -24,28 +25,38 @@ def accepted(feedback: DataFrame, detections: DataFrame) -> tuple[DataFrame, Dat
 
 
 def fold(verdicts: DataFrame, s: Settings = DEFAULTS, id: str = "feedback_id") -> DataFrame:
-    """Audit rows: previous and new offset of every verdict. ``verdicts``: entity, ts_us, id, verdict."""
+    """Audit rows: previous and new offset of every verdict. ``verdicts``: entity, ts_us, id, verdict.
+
+    Chunks of CHUNK verdicts become functions, CHUNK functions become one, level by level until an entity has one; then each
+    level hands its members their starting offsets. No group holds more than CHUNK members, however many verdicts an entity has.
+    """
     step, bound = s.feedback_step, s.feedback_bound
     o = order_events(verdicts, s, id=id, halo=1)
     rows = o.rows().selectExpr(
-        "entity_id", id, "ts_us", "verdict", "rn", f"(rn - 1) div {CHUNK} AS chunk",
-        f"if(verdict = 'false_positive', {-step}D, {step}D) AS step",
+        "entity_id", id, "rn", f"(rn - 1) div {CHUNK} AS chunk", f"if(verdict = 'false_positive', {-step}D, {step}D) AS step",
     )
     clamp = lambda x: f"greatest({-bound}D, least({bound}D, {x}))"
-    chunks = rows.groupBy("entity_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("rn", id, "step"))).alias("v"))
     start = f"named_struct('a', 0D, 'lo', {-bound}D, 'hi', {bound}D)"
     one = f"aggregate(v, {start}, (f, x) -> named_struct('a', f.a + x.step, 'lo', {clamp('f.lo + x.step')}, 'hi', {clamp('f.hi + x.step')}))"
-    chunks = chunks.selectExpr("*", f"{one} AS f")
-    fs = chunks.selectExpr("entity_id", "chunk", "f")
-    # Offsets at chunk starts: a fold over the few chunk functions of an entity.
-    per = fs.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"))
-    apply = "greatest(c.f.lo, least(c.f.hi, s.cur + c.f.a))"
-    per = per.selectExpr(
-        "entity_id",
-        f"aggregate(fs, named_struct('cur', 0D, 'out', cast(array() AS array<double>)), (s, c) -> named_struct("
-        f"'cur', {apply}, 'out', array_append(s.out, s.cur))).out AS starts",
-    ).selectExpr("entity_id", "posexplode(starts) AS (chunk, start)")
-    walked = chunks.join(per.selectExpr("entity_id", "cast(chunk AS bigint) AS chunk", "start"), ["entity_id", "chunk"]).selectExpr(
+    chunks = rows.groupBy("entity_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("rn", id, "step"))).alias("v"))
+    chunks = settle(chunks.selectExpr("*", f"{one} AS f"))
+    within = lambda g, x: f"greatest({g}.lo, least({g}.hi, {x} + {g}.a))"
+    both = f"named_struct('a', f.a + m.f.a, 'lo', {within('m.f', 'f.lo')}, 'hi', {within('m.f', 'f.hi')})"
+    members, levels = chunks.selectExpr("entity_id", "chunk AS pos", "f"), []
+    last = chunks.agg(F.max("chunk")).first()[0] or 0
+    while last > 0:
+        group = members.groupBy("entity_id", F.expr(f"pos div {CHUNK}").alias("up")).agg(F.array_sort(F.collect_list(F.struct("pos", "f"))).alias("fs"))
+        levels.append(settle(group))
+        members = levels[-1].selectExpr("entity_id", "up AS pos", f"aggregate(fs, {start}, (f, m) -> {both}) AS f")
+        last //= CHUNK
+    starts = members.selectExpr("entity_id", "pos", "0D AS start")
+    for group in reversed(levels):
+        walk = (
+            "aggregate(fs, named_struct('cur', start, 'out', cast(array() AS array<struct<pos:bigint,start:double>>)), (w, m) -> named_struct("
+            f"'cur', {within('m.f', 'w.cur')}, 'out', array_append(w.out, named_struct('pos', m.pos, 'start', w.cur)))).out"
+        )
+        starts = group.join(starts.withColumnRenamed("pos", "up"), ["entity_id", "up"]).selectExpr("entity_id", f"explode({walk}) AS m").select("entity_id", "m.*")
+    walked = chunks.join(starts.withColumnRenamed("pos", "chunk"), ["entity_id", "chunk"]).selectExpr(
         "entity_id",
         "aggregate(v, named_struct('cur', start, 'out', cast(array() AS array<struct<rn:bigint,prev:double,cur:double>>)), "
         f"(s, x) -> named_struct('cur', {clamp('s.cur + x.step')}, 'out', array_append(s.out, "
