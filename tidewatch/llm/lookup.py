@@ -1,6 +1,7 @@
 """Tables too large to broadcast, looked up by pieces of text: a piece asks once for each of its distinct keys and meets what it found.
 
-A key is asked for by each piece once, however often the piece holds it, so the hottest key has one row for each piece.
+A key is asked for by each piece once, however often the piece holds it, so the hottest key has one row for each piece. Pieces are
+SIZE bytes long because a longer text repeats more of its words, so that fewer keys are asked for per byte.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -17,34 +19,50 @@ from tidewatch.llm import words as W
 from tidewatch.llm.store import save
 
 
+#: Bytes of text in a piece, about; a longer text is a piece of its own.
+SIZE = 1 << 22
+
+
 def numbered(rows: DataFrame, at: int) -> DataFrame:
     """rows with one more column, _piece, written once so that the numbers stay; column at holds the text."""
 
     def run(batches):
-        serial = TaskContext.get().partitionId() << 32
+        serial, held = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            for piece in W.pieces(b, at):
-                yield pa.record_batch([*piece.columns, pa.array(np.full(piece.num_rows, serial, np.int64))], names=[*piece.schema.names, "_piece"])
-                serial += 1
+            for part in W.pieces(b, at):
+                n = pc.sum(pc.binary_length(part.column(at))).as_py() or 0
+                if held and held + n > SIZE:
+                    serial, held = serial + 1, 0
+                held += n
+                yield pa.record_batch([*part.columns, pa.array(np.full(part.num_rows, serial, np.int64))], names=[*part.schema.names, "_piece"])
 
     return save(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_piece", T.LongType())])))
 
 
 def asked(pieces: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """Columns _piece and names: the keys of each piece, as distinct as keys(batch) makes them."""
+    """Columns _piece and names: the keys of each piece, as distinct as keys(rows of the piece) makes them."""
+
+    def found(parts: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        got = keys(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+        return pa.record_batch([pa.array(np.full(len(got[0]), number)), *(pa.array(k) for k in got)], names=["_piece", *names])
 
     def run(batches):
+        held, last = [], None  # a piece that two tasks read asks twice, which meet() allows
         for b in batches:
             number = b.column("_piece").to_numpy()
             for n in np.unique(number):
-                got = keys(b.filter(pa.array(number == n)))
-                yield pa.record_batch([pa.array(np.full(len(got[0]), n)), *(pa.array(k) for k in got)], names=["_piece", *names])
+                if held and n != last:
+                    yield found(held, last)
+                    held = []
+                held, last = [*held, b.filter(pa.array(number == n))], n
+        if held:
+            yield found(held, last)
 
     return pieces.mapInArrow(run, ", ".join(f"{c} long" for c in ["_piece", *names]))
 
 
 def meet(pieces: DataFrame, found: DataFrame, use: Callable[[pa.RecordBatch, pa.Table], pa.RecordBatch], schema) -> DataFrame:
-    """use(rows of a piece, rows of found for it) for every piece."""
+    """use(rows of a piece, rows of found for it, which may repeat) for every piece."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = pa.record_batch([c.combine_chunks() for c in left.drop_columns(["_piece"]).columns], names=left.drop_columns(["_piece"]).column_names)

@@ -4,7 +4,8 @@ P(grade <= k) = sigmoid(threshold_k - w . x). A text's features are its words, t
 overall figures fall into (length of words, repeats, symbols, capitals, line lengths), hashed into 2 ** BITS places, damped
 by the logarithm and scaled to unit length, each kind on its own.
 
-The fit sees at most FIT_ROWS labelled rows (in order of a hash of their id): the documented bound of what reaches the driver.
+The fit sees at most FIT_ROWS labelled ids (in order of a hash of the id), each with its smallest text: the documented bound of
+what reaches the driver.
 """
 
 from __future__ import annotations
@@ -131,6 +132,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str, text_col:
                 lo += piece.num_rows
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids.tolist()], "id long")  # FIT_ROWS ids at most
+    texts = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t"))  # one row an id, however often it stands
     got = texts.mapInArrow(run, "g int, place array<int>, value array<float>").toArrow().combine_chunks()
     grade = got.column("g").to_numpy()
     if len(np.unique(grade)) < 2:

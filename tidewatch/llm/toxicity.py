@@ -88,11 +88,22 @@ class Model:
 
 @dataclass
 class Tables:
-    """The same model as tables of what Model.of takes."""
+    """The same model as tables of what Model.of takes.
+
+    A unit also says by which bits (the six lowest of a unit's hash) its kept bigrams end (follows) and begin (precedes), so that
+    a piece asks only for bigrams that both of their units may know.
+    """
 
     unit: DataFrame
     pair: DataFrame
 
+    def signed(self) -> Tables:
+        def bits(own: str, other: str, name: str) -> DataFrame:
+            return self.pair.groupBy(F.col(own).alias("h")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({other} & 63 AS int))")).alias(name))
+
+        unit = self.unit.join(bits("left", "right", "follows"), "h", "left").join(bits("right", "left", "precedes"), "h", "left")
+        return Tables(save(unit.fillna(0, ["follows", "precedes"])), self.pair)
+
     @staticmethod
     def of(found: pa.Table) -> Model:
         kind = found.column("kind").to_numpy()
@@ -100,7 +111,7 @@ class Tables:
         return Model.of(part[0].rename_columns(["_piece", "kind", "h", "_", "word", "context"]), part[1].rename_columns(["_piece", "kind", "left", "right", "ratio", "_"]))
 
 
-#: Contexts that rare words stand for when different contexts are counted.
+#: Contexts that rare words stand for when different contexts are counted: no word's count of different rare contexts goes beyond it.
 STRANGE = 1 << 16
 
 
@@ -137,12 +148,12 @@ def _words(w: W.Words) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(units(w)).view(np.int64)], np.tile(w.doc, 1 + len(STEMS))
 
 
-def _pairs(w: W.Words, vocabulary: np.ndarray, strange: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+def _pairs(w: W.Words, vocabulary: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Units of the word before (0 before the first; rare words have 1 to STRANGE) and of each word (0 for rare words)."""
     found = units(w)
     at = places(found, vocabulary)
     unit = np.concatenate([np.zeros(1, np.uint64), vocabulary])[at].view(np.int64)
-    before = np.where(at > 0, unit, (found[0] % np.uint64(STRANGE)).astype(np.int64) + 1) if strange else unit
+    before = np.where(at > 0, unit, (found[0] % np.uint64(STRANGE)).astype(np.int64) + 1)
     return [shifted(before, w), unit], w.doc
 
 
@@ -262,6 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     drop(told)
     if model.unit.count() + model.pair.count() <= BROADCAST:
         model = Model.of(model.unit.toArrow(), model.pair.toArrow())
+    else:
+        model = model.signed()
     return model, _calibrate(rest, model, some)
 
 
@@ -278,28 +291,37 @@ def _over(rows: DataFrame, at: int, model: Model | Tables, work, schema) -> Data
         return rows.mapInArrow(run, schema)
 
     def bigrams(b: pa.RecordBatch, found: pa.Table) -> pa.RecordBatch:
-        (left, right), _ = _pairs(W.split(b.column(at), lower=True, marks=True), np.unique(found.column("h").to_numpy().view(np.uint64))[1:], strange=False)
+        h, first = np.unique(found.column("h").to_numpy().view(np.uint64), return_index=True)
+        follows, precedes = (found.column(c).to_numpy()[first].view(np.uint64) for c in ("follows", "precedes"))
+        w = W.split(b.column(at), lower=True, marks=True)
+        here = places(units(w), h[1:])
+        key = np.unique(shifted(here, w) << 32 | here)
+        left, right = key >> 32, key & 0xFFFFFFFF
+        known = (follows[left] >> (h[right] & np.uint64(63))) & (precedes[right] >> (h[left] & np.uint64(63))) & np.uint64(1)
+        some = (known > 0) & (left > 0)
         number = found.column("_piece").to_numpy()[:1]
-        pair = np.unique(np.stack([left, right])[:, left != 0], axis=1)
-        return pa.record_batch([pa.array(np.repeat(number, pair.shape[1])), pa.array(pair[0]), pa.array(pair[1])], names=["_piece", "left", "right"])
+        return pa.record_batch([pa.array(np.repeat(number, some.sum())), *(pa.array(h[k[some]].view(np.int64)) for k in (left, right))], names=["_piece", "left", "right"])
 
     pieces = numbered(rows, at)
     unit = save(asked(pieces, lambda b: _asks(b.column(at)), ["h"]).join(model.unit, "h"))
-    pair = meet(pieces, unit.select("_piece", "h"), bigrams, "_piece long, left long, right long").join(model.pair, ["left", "right"])
+    pair = meet(pieces, unit.select("_piece", "h", "follows", "precedes"), bigrams, "_piece long, left long, right long").join(model.pair, ["left", "right"])
     found = unit.select("_piece", F.lit(0).alias("kind"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), F.col("word").alias("x"), F.col("context").alias("z"))
     found = found.union(pair.select("_piece", F.lit(1).alias("kind"), "left", "right", "ratio", F.lit(0.0)))
     return meet(pieces, found, lambda b, t: work(Tables.of(t), b), schema)
 
 
 def _calibrate(texts: DataFrame, model: Model | Tables, n: int) -> np.ndarray:
-    """Logistic weights of the features, by Newton steps with a small ridge, on at most FIT_ROWS labelled rows."""
+    """Logistic weights of the features, by Newton steps with a small ridge, on about FIT_ROWS labelled ids at most.
+
+    An id that stands in several rows is seen with its smallest text, so the driver gets one row for each id.
+    """
     names = [*(f"x{k}" for k in range(FEATURES)), "y"]
 
     def work(model: Model, b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([*(pa.array(x) for x in model.features(b.column(0)).T), pa.array(b.column(1).to_numpy().astype(float))], names=names)
 
     share = min(1.0, FIT_ROWS / n)
-    chosen = texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < round(share * 1_000_000)).select("t", "y")
+    chosen = texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < round(share * 1_000_000)).groupBy("id", "y").agg(F.min("t").alias("t")).select("t", "y")
     rows = _over(chosen, 0, model, work, ", ".join(f"{c} double" for c in names)).toArrow()
     data = np.stack([rows.column(c).to_numpy() for c in names], axis=1) if rows.num_rows else np.zeros((0, len(names)))
     x, y = np.c_[np.ones(len(data)), data[:, :-1]], data[:, -1]
