@@ -212,12 +212,16 @@ def _tally_pairs(texts: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
         shared = texts.sparkSession.sparkContext.broadcast(np.sort(vocabulary.toArrow().column("key").to_numpy().view(np.uint64)))
         return _tally(texts, lambda w: _pairs(w, shared.value), names)
 
-    def use(b: pa.RecordBatch, found: pa.Table) -> pa.RecordBatch:
-        key, row = _pairs(W.split(b.column(0), lower=True, marks=True), np.unique(found.column("key").to_numpy().view(np.uint64)))
+    def take(found: pa.Table) -> np.ndarray:
+        return np.unique(found.column("key").to_numpy().view(np.uint64))
+
+    def use(known: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
+        key, row = _pairs(W.split(b.column(0), lower=True, marks=True), known)
         return _sums(key, row, b.column(1).to_numpy().astype(np.int64)[row], names)
 
     pieces = numbered(texts, 0)
-    return _summed(meet(pieces, asked(pieces, lambda b: _asks(b.column(0)), ["key"]).join(vocabulary, "key"), use, _schema(names)), names)
+    found = asked(pieces, lambda b: _asks(b.column(0)), ["key"], 0).join(vocabulary, "key")
+    return _summed(meet(pieces, found, take, use, _schema(names), 0), names)
 
 
 def _discount(n1: float, n2: float) -> float:
@@ -290,24 +294,26 @@ def _over(rows: DataFrame, at: int, model: Model | Tables, work, schema) -> Data
 
         return rows.mapInArrow(run, schema)
 
-    def bigrams(b: pa.RecordBatch, found: pa.Table) -> pa.RecordBatch:
+    def take(found: pa.Table) -> tuple:
         h, first = np.unique(found.column("h").to_numpy().view(np.uint64), return_index=True)
-        follows, precedes = (found.column(c).to_numpy()[first].view(np.uint64) for c in ("follows", "precedes"))
+        return found.column("_piece").to_numpy()[:1], h, *(found.column(c).to_numpy()[first].view(np.uint64) for c in ("follows", "precedes"))
+
+    def bigrams(told: tuple, b: pa.RecordBatch) -> pa.RecordBatch:
+        number, h, follows, precedes = told
         w = W.split(b.column(at), lower=True, marks=True)
         here = places(units(w), h[1:])
         key = np.unique(shifted(here, w) << 32 | here)
         left, right = key >> 32, key & 0xFFFFFFFF
         known = (follows[left] >> (h[right] & np.uint64(63))) & (precedes[right] >> (h[left] & np.uint64(63))) & np.uint64(1)
         some = (known > 0) & (left > 0)
-        number = found.column("_piece").to_numpy()[:1]
         return pa.record_batch([pa.array(np.repeat(number, some.sum())), *(pa.array(h[k[some]].view(np.int64)) for k in (left, right))], names=["_piece", "left", "right"])
 
     pieces = numbered(rows, at)
-    unit = save(asked(pieces, lambda b: _asks(b.column(at)), ["h"]).join(model.unit, "h"))
-    pair = meet(pieces, unit.select("_piece", "h", "follows", "precedes"), bigrams, "_piece long, left long, right long").join(model.pair, ["left", "right"])
+    unit = save(asked(pieces, lambda b: _asks(b.column(at)), ["h"], at).join(model.unit, "h"))
+    pair = meet(pieces, unit.select("_piece", "h", "follows", "precedes"), take, bigrams, "_piece long, left long, right long", at, distinct=True).join(model.pair, ["left", "right"])
     found = unit.select("_piece", F.lit(0).alias("kind"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), F.col("word").alias("x"), F.col("context").alias("z"))
     found = found.union(pair.select("_piece", F.lit(1).alias("kind"), "left", "right", "ratio", F.lit(0.0)))
-    return meet(pieces, found, lambda b, t: work(Tables.of(t), b), schema)
+    return meet(pieces, found, Tables.of, work, schema, at)
 
 
 def _calibrate(texts: DataFrame, model: Model | Tables, n: int) -> np.ndarray:

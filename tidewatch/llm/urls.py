@@ -142,8 +142,8 @@ def _over(rows: DataFrame, at: int, model: Model | Tables, work, schema) -> Data
 
         return rows.mapInArrow(run, schema)
     pieces = numbered(rows, at)
-    found = asked(pieces, lambda b: _asks(b, at), ["kind", "key"]).join(model.rows, ["kind", "key"])
-    return meet(pieces, found, lambda b, t: work(Model.of(t), b), schema)
+    found = asked(pieces, lambda b: _asks(b, at), ["kind", "key"], at).join(model.rows, ["kind", "key"])
+    return meet(pieces, found, Model.of, work, schema, at)
 
 
 def fit(urls: DataFrame) -> Model | Tables | None:
@@ -221,6 +221,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
 
     The longest fitting rule (host and path together) decides; URLs that none fits get the models' verdict: block where the
     ratio is below the cut. Null URLs and URLs without :// have an empty host and path; a null or empty URL has ratio zero.
+    Repeated rows stay and get equal verdicts; each of them counts in the models. Very long URLs are read whole.
     Where the rules leave one kind of URL without example, there is nothing to compare and such URLs are allowed.
     """
     new = ("host", "path", "rule", "verdict", "ratio")
