@@ -224,6 +224,29 @@ def test_groups_of_a_large_host_report_to_each_other(spark, monkeypatch):
     assert {r.id: r.text for r in out} == {i: extract.blocks(h)[0][0][1] for i, _, h in rows}
 
 
+def test_the_size_of_a_hosts_groups_changes_no_text(spark, monkeypatch):
+    """Lines on a few pages, on a share of some groups only, near the least shares, in large pages and in copies."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line = [f"<p>{prose(14)}" for _ in range(60)]
+    rows = []
+    for k in range(150):
+        main = k % 3 == 0
+        shared = [line[k // 2 % 30]] + [line[30 + j] for j in range(30) if (k * 7919 + j * 104729) % 97 < 97 * (0.15 + j / 300 if not main else 0.7 + j / 150)]
+        body = f"<p>{prose(60)}" + "".join(shared) + f"<p>{prose(30)}"
+        rows.append((k, f"http://big.org/{k}", f"<article>{body}</article>" if main else body))
+    rows += [(900 + k, "http://big.org/copy", rows[3][2]) for k in range(20)]
+    rows += [(950 + k, f"http://wide.org/{k}", f"<p>{prose(700)}<p>{prose(700)}{line[k // 2]}" + (line[40] if k < 5 else "")) for k in range(12)]
+    want = {}
+    for host in ("big.org", "wide.org"):
+        found = [(i, extract.blocks(h)) for i, url, h in rows if host in url]
+        want |= dict(zip((i for i, _ in found), plain_runs([b for _, b in found])))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (3_000, 20_000, 6_000_000):
+        monkeypatch.setattr(extract, "GROUP", size)
+        assert {r.id: r.text for r in extract.main_text(table).collect()} == want, size
+
+
 def test_token_files_order_odd_rows(spark, no_docs):
     """Null ids first, rows of one id together, an id that a third of the rows share in several parts, an empty table."""
     from tokenizers import Tokenizer

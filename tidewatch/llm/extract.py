@@ -6,8 +6,9 @@ words) and sorted by suffix. Suffixes that agree in RUN tokens are neighbours; w
 that differ, their tokens are covered. A block whose tokens are mostly covered is boilerplate; the others keep their text.
 
 A large host is dealt, by content, into groups of about GROUP characters, each with its own suffix array. A run on a given
-share of the host's pages is on that share of the pages of at least one group, so the union of what the groups report misses
-none; every group then covers its pages by the host's whole list.
+share of the host's pages is on that share of the pages of at least one group. What the groups report is therefore only asked
+after: each group counts its pages with these runs, and the sums decide as one suffix array of the whole host would. Every
+group then covers its pages by the host's list, so the size of a group changes no result.
 """
 
 from __future__ import annotations
@@ -193,6 +194,35 @@ def repeats(token: np.ndarray, page: np.ndarray, inside: np.ndarray) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
+def page_counts(token: np.ndarray, page: np.ndarray, inside: np.ndarray, asked: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of runs and how many of the pages (no two of them alike) hold each, for open pages and those with a main element.
+
+    Without ``asked``: the runs on the group's own share of its pages; where one page is that share, all runs.
+    """
+    name, at = W.grams(token, page, RUN)
+    if asked is not None:
+        hit = np.isin(name, asked) | np.isin(name ^ np.uint64(1), asked)
+        name, at = name[hit], at[hit]
+    again = np.zeros(len(token), dtype=bool)
+    if asked is None:
+        again[suffix_ranks(token, page, RUN)[0]] = True
+    out = []
+    for flag, (share, _) in ((False, OPEN), (True, MAIN)):
+        least = 1 if asked is not None else max(1, int(np.ceil(share * (inside == flag).sum())))
+        own = (inside[page[at]] == flag) & (again[at] | (least == 1))
+        run, where = name[own] ^ np.uint64(flag), page[at[own]]
+        order = np.lexsort((where, run))
+        run, where = run[order], where[order]
+        first = np.ones(len(run), dtype=bool)
+        first[1:] = (run[1:] != run[:-1]) | (where[1:] != where[:-1])
+        values, n = np.unique(run[first], return_counts=True)
+        keep = n >= least
+        if asked is not None:
+            keep &= np.isin(values, asked)
+        out.append((values[keep], n[keep]))
+    return out
+
+
 def _named(token: np.ndarray, at: np.ndarray, flag: bool | np.ndarray) -> np.ndarray:
     """A hash of the runs at these places; runs of open pages and of others are told apart."""
     if not len(at):
@@ -241,23 +271,78 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for piece in W.pieces(b, b.schema.get_field_index("html"), 1 << 22):
             held: dict[tuple[str, int], list] = {}
+            dealt: dict[str, int] = {}
             for who, url, host, n_groups, raw in zip(*(piece.column(c).to_pylist() for c in ("id", "url", "host", "groups", "html"))):
                 found, inside = blocks(raw or "")
                 content = _content(found)
+                dealt[host] = n_groups
                 held.setdefault((host, content % n_groups), []).append((who, url, inside, content, found))
             yield pa.record_batch(
-                [pa.array([h for h, _ in held], pa.string()), pa.array([g for _, g in held], pa.int64()), pa.array([_squeezed(rows) for rows in held.values()], pa.binary())],
-                names=["host", "part", "z"])
+                [pa.array([h for h, _ in held], pa.string()), pa.array([g for _, g in held], pa.int64()), pa.array([dealt[h] for h, _ in held], pa.int64()), pa.array([_squeezed(rows) for rows in held.values()], pa.binary())],
+                names=["host", "part", "groups", "z"])
+
+
+def _distinct(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a group's pages, their pages, and which of these have a main element; pages with the same blocks count as one."""
+    one = list({r[3]: r for r in rows}.values())
+    token, page, _ = _tokens([r[4] for r in one])
+    return token, page, np.array([r[2] for r in one], dtype=bool)
+
+
+def _spare(pages: int, share: float) -> int:
+    """On how many of a group's pages a run may be that the group does not report."""
+    return max(0, int(np.ceil(share * pages)) - 1)
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each group of a host: its pages, compressed again, and the runs its suffix array shows to be repeated."""
+    """One row for each group of a host: its pages, compressed again, and the runs its suffix array shows to be repeated.
+
+    The group of an undivided host names its runs. One of many groups gives its numbers of open pages and of others, and the
+    runs on its share of them with the number of pages beyond what an unreported run could be on.
+    """
     for t in groups(batches, ["host", "part"]):
         rows = [r for z in t.column("z").to_pylist() for r in _opened(z)]
-        one = list({r[3]: r for r in rows}.values())
-        token, page, _ = _tokens([r[4] for r in one])
-        known = repeats(token, page, np.array([r[2] for r in one], dtype=bool))
-        yield pa.record_batch([t.column("host").chunk(0)[:1], pa.array([known.view(np.int64)], pa.list_(pa.int64())), pa.array([_squeezed(rows)], pa.binary())], names=["host", "runs", "z"])
+        token, page, inside = _distinct(rows)
+        known, found = np.zeros(0, np.uint64), []
+        if t.column("groups")[0].as_py() == 1:
+            known = repeats(token, page, inside)
+        else:
+            found = page_counts(token, page, inside)
+        pages = [int((~inside).sum()), int(inside.sum())]
+        over = [n - _spare(pages[k], share) for k, ((_, n), (share, _)) in enumerate(zip(found, (OPEN, MAIN)))]
+        lists = [pa.array([np.concatenate(x or [np.zeros(0, np.int64)])], pa.list_(pa.int64())) for x in ([v.view(np.int64) for v, _ in found], over, [np.full(len(v), k) for k, (v, _) in enumerate(found)])]
+        yield pa.record_batch(
+            [t.column("host").chunk(0)[:1], t.column("groups").chunk(0)[:1], pa.array([pages], pa.list_(pa.int64())), pa.array([known.view(np.int64)], pa.list_(pa.int64())), *lists, pa.array([_squeezed(rows)], pa.binary())],
+            names=["host", "groups", "pages", "runs", "maybe", "over", "flag", "z"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of each group's pages hold the runs its host asks after."""
+    for b in batches:
+        for host, asked, z in zip(b.column("host"), b.column("asked"), b.column("z")):
+            token, page, inside = _distinct(_opened(z.as_py()))
+            for flag, (run, n) in enumerate(page_counts(token, page, inside, asked.values.to_numpy(zero_copy_only=False).view(np.uint64))):
+                yield pa.record_batch([pa.repeat(host, len(run)), pa.array(np.full(len(run), flag), pa.int64()), pa.array(run.view(np.int64)), pa.array(n, pa.int64())], names=["host", "flag", "run", "n"])
+
+
+def _divided(held: DataFrame) -> DataFrame:
+    """host, run: what is repeated on hosts of several groups.
+
+    A run that a group does not report is on fewer of its pages than its share. So a run's reported numbers and the most that
+    the other groups may add bound its pages from above; only runs whose bound reaches the host's least number are counted in
+    all groups. Where groups hold few pages nearly all their runs are reported, and the bound leaves out what few pages have.
+    """
+    groups = held.where("groups > 1")
+    wanted = lambda pages, share, least: F.greatest(F.lit(least), F.ceil(F.lit(share) * pages)).cast("long")
+    spare = lambda pages, share: F.greatest(F.lit(0), F.ceil(F.lit(share) * pages) - 1).cast("long")
+    pages = [F.col("pages")[k] for k in (0, 1)]
+    per = groups.groupBy("host").agg(*[F.sum(pages[k]).alias(f"p{k}") for k in (0, 1)], *[F.sum(spare(pages[k], share)).alias(f"s{k}") for k, (share, _) in enumerate((OPEN, MAIN))])
+    need = save(per.select("host", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("flag"), wanted(F.col(f"p{k}"), *rule).alias("least"), F.col(f"s{k}").alias("spare")) for k, rule in enumerate((OPEN, MAIN))])).alias("n")).select("host", "n.*"))
+    said = groups.select("host", F.explode(F.arrays_zip("flag", "maybe", "over")).alias("r")).select("host", F.col("r.flag").alias("flag"), F.col("r.maybe").alias("run"), F.col("r.over").alias("over"))
+    bound = said.groupBy("host", "flag", "run").agg(F.sum("over").alias("over")).join(need, ["host", "flag"]).where("over + spare >= least")
+    asked = save(bound.groupBy("host").agg(F.collect_set("run").alias("asked")))
+    counts = groups.select("host", "z").join(asked, "host").select("host", "asked", "z").mapInArrow(_counted, "host string, flag long, run long, n long")
+    return counts.groupBy("host", "flag", "run").agg(F.sum("n").alias("n")).join(need, ["host", "flag"]).where("n >= least").select("host", "run")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +378,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # Both small sides are written first: their size is known, so that Spark sends them to the pages while they are small.
     large = save(rows.groupBy("host").agg(F.sum(F.length("html").cast("long")).alias("n")).where(F.col("n") > GROUP).select("host", F.ceil(F.col("n") / GROUP).cast("long").alias("groups")))
     dealt = rows.join(large, "host", "left").select("id", "url", "host", F.coalesce("groups", F.lit(1)).alias("groups"), "html")
-    packed = dealt.mapInArrow(_parsed, "host string, part long, z binary")
-    held = save(packed.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_sorted_groups, "host string, runs array<long>, z binary"))
-    known = save(held.select("host", F.explode("runs").alias("run")).groupBy("host").agg(F.collect_set("run").alias("known")))
+    packed = dealt.mapInArrow(_parsed, "host string, part long, groups long, z binary")
+    held = save(packed.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(
+        _sorted_groups, "host string, groups long, pages array<long>, runs array<long>, maybe array<long>, over array<long>, flag array<long>, z binary"))
+    runs = held.where("groups = 1").select("host", F.explode("runs").alias("run")).unionByName(_divided(held))
+    known = save(runs.groupBy("host").agg(F.collect_set("run").alias("known")))
     return held.select("host", "z").join(known, "host", "left").select("known", "z").mapInArrow(_extracted, "id long, url string, text string, n_blocks long, n_repeated long")
