@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text, and whether they spell it again."""
     store.prepare(ship(spark))
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), spelled="decoded")
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return out.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), same.alias("lossless"))
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import words as W
+
 MEMBER, VISITOR = 0, 1
 
 
@@ -60,6 +62,8 @@ def in_blocks(rows: DataFrame, keys: list[str], limit: int, work: Callable[[pa.T
     by = [*keys, "_pm", "_pv"]
     dealt = dealt.drop("_m", "_v", "_own", "_other").repartition(*by).sortWithinPartitions(*by, "side")
 
+    @W.trimmed
+
     def run(batches):
         for t in groups(batches, by):
             out = work(t)

@@ -221,6 +221,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     at = docs.columns.index(text_col)
     for shared in _slices(items, item_id, item_text):
 
+        @W.trimmed
+
         def run(batches, shared=shared):
             for b in batches:
                 for piece in W.pieces(b, at):
@@ -244,6 +246,8 @@ def contaminated(
     found = None
     for shared in _slices(items, item_id, item_text):
 
+        @W.trimmed
+
         def run(batches, shared=shared):
             known = shared.value
             for b in batches:

@@ -31,6 +31,8 @@ _LIMIT = 1 << 18
 
 #: Edges that a worker remembers at most, with the chunks they belong to; later chunks are filtered again where they occur.
 _REMEMBERED = 1_500_000
+#: Bytes of chunks that are filtered at once; each takes some hundreds of bytes of memory meanwhile.
+_AT_ONCE = 1 << 15
 
 
 @dataclass
@@ -193,6 +195,16 @@ class Vocabulary:
         return out, np.diff(np.concatenate([[0], end])[np.searchsorted(cut[:-1], offsets)])
 
     def _filtered(self, chunks: list[bytes]) -> Filtered:
+        """Lattices of the chunks, made _AT_ONCE bytes at a time (a longer chunk alone)."""
+        part = np.cumsum([len(c) for c in chunks]) // _AT_ONCE
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(chunks)]]).tolist()
+        made = [self._lattices(chunks[a:b]) for a, b in zip(cuts, cuts[1:])]
+        node = np.concatenate([[0], np.cumsum([m.bound[-1] for m in made])])
+        bound = np.concatenate([[0], *[m.bound[1:] + k for m, k in zip(made, node)]])
+        start, share = (np.concatenate([getattr(m, x) + k.astype(getattr(m, x).dtype) for m, k in zip(made, node)]) for x in ("start", "share"))
+        return Filtered(bound, start, np.concatenate([m.piece for m in made]), share, sum(m.edges for m in made), len(chunks), {})
+
+    def _lattices(self, chunks: list[bytes]) -> Filtered:
         bound = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
         raw = np.frombuffer(b"".join(chunks), np.uint8)
         start, stop, piece = self.lattice(raw, np.repeat(bound[1:], np.diff(bound)))
@@ -241,27 +253,32 @@ def vocabulary(path: str, alpha: float = 1.0) -> Vocabulary:
     return _LOADED[path, alpha]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", seed: int = 42, alpha: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", seed: int = 42, alpha: float = 1.0, spelled: str | None = None) -> DataFrame:
     """docs with one more column, pieces array<int>: one sampled segmentation of each text, reproducible by its row key.
 
     The row key is the id (null: zero), so rows with equal ids and texts get equal pieces. Null and empty texts have no
     pieces. Texts of any length are read whole; a chunk's lattice takes memory in proportion to its length. All columns of
-    docs stay; one named pieces is replaced. An empty table gives none.
+    docs stay; one named pieces is replaced. An empty table gives none. ``spelled`` names a further column for what decode()
+    would give of the pieces, in the same worker: two in a row hold model and batches twice at once.
     """
     path = tokenizer_file(model)
-    rest = [c for c in docs.columns if c != "pieces"]
+    rest = [c for c in docs.columns if c not in ("pieces", spelled)]
+    names = [*rest, "pieces", *([spelled] if spelled else [])]
     ready = docs.select(*rest, F.when(F.length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col))).otherwise("").alias("_t"), F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("_key"))
     at = len(rest)
 
+    @W.trimmed
+
     def run(batches):
         known = vocabulary(path, alpha)
         for b in batches:
             for piece in W.pieces(b, at, _LIMIT):
                 ids, n = known.sample(piece.column(at), piece.column(at + 1).to_numpy().view(np.uint64), seed)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.record_batch([*piece.columns[:at], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[*rest, "pieces"])
+                texts = [known.spell(ids, n).cast(pa.string())] if spelled else []
+                yield pa.record_batch([*piece.columns[:at], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), *texts], names=names)
 
-    schema = docs.select(*rest).withColumn("pieces", F.lit(None).cast("array<int>")).schema
+    schema = docs.select(*rest).withColumns({c: F.lit(None).cast("array<int>" if c == "pieces" else "string") for c in names[at:]}).schema
     return ready.mapInArrow(run, schema)
 
 
@@ -271,6 +288,8 @@ def decode(rows: DataFrame, pieces_col: str = "pieces", model: str = "piece_bpe_
     rest = [c for c in rows.columns if c != to]
     at = rest.index(pieces_col)
 
+    @W.trimmed
+
     def run(batches):
         known = vocabulary(path)
         for b in batches:

@@ -82,6 +82,8 @@ def _slices(per: np.ndarray) -> Iterator[tuple[int, int]]:
 def prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Columns id, fp (the fingerprint's bits as a signed long)."""
 
+    @W.trimmed
+
     def run(batches):
         for b in batches:
             for lo, hi in _slices(np.full(b.num_rows, _ROWS // 64)):
@@ -162,6 +164,8 @@ def links(classes: DataFrame, radius: int = 4, trees: int = 3) -> DataFrame:
     """
     grown = classes.sparkSession.sparkContext.broadcast(forest(classes, radius, trees))
 
+    @W.trimmed
+
     def route(batches):
         for b in batches:
             ids, fp = b.column(0).to_numpy(), b.column(1).to_numpy()

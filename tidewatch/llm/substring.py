@@ -140,6 +140,8 @@ def shared_anchors(docs: DataFrame, run: int, buckets: int) -> DataFrame:
     """doc, found (anchor keys), kind: SETTLED if the whole stretch stands in a smaller document, so that all its windows do;
     OPEN if the seed stands in another document too and the windows must be compared."""
 
+    @W.trimmed
+
     def send(batches):
         kept: list[tuple] = []
 
@@ -168,6 +170,8 @@ def shared_anchors(docs: DataFrame, run: int, buckets: int) -> DataFrame:
         if kept and sum(len(k[0]) for k in kept):
             yield flush()
 
+    @W.trimmed
+
     def meet(batches):
         for t in groups(batches, ["key"]):
             is_open = t.column("open").to_numpy(zero_copy_only=False)
@@ -195,6 +199,8 @@ def shared_anchors(docs: DataFrame, run: int, buckets: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
     """docs: id, packed text, and the list of its open anchors. doc, found: starts of the windows that a smaller id has too."""
 
+    @W.trimmed
+
     def send(batches):
         kept: list[tuple] = []
 
@@ -233,6 +239,8 @@ def repeated_windows(docs: DataFrame, run: int, buckets: int) -> DataFrame:
         if kept:
             yield flush()
 
+    @W.trimmed
+
     def meet(batches):
         for t in groups(batches, ["key"]):
             is_open = t.column("open").to_numpy(zero_copy_only=False)
@@ -271,6 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = told.union(windows.select("doc", F.lit(None).cast("binary"), "found"))
     gone = told.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("window").alias("windows"))
 
+    @W.trimmed
+
     def cover(batches):
         for b in W.unpacked(batches):
             for part in W.pieces(b, 1):

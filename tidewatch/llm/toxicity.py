@@ -176,6 +176,8 @@ def _sums(key: list[np.ndarray], text: np.ndarray, y: np.ndarray, names: list[st
 def _tally(texts: DataFrame, keys, names: list[str]) -> DataFrame:
     """names and _COUNTS over texts (t, y). keys(words) gives keys and rows."""
 
+    @W.trimmed
+
     def run(batches):
         held: list[tuple] = []
 
@@ -287,6 +289,8 @@ def _over(rows: DataFrame, at: int, model: Model | Tables, work, schema) -> Data
     if isinstance(model, Model):
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
+        @W.trimmed
+
         def run(batches):
             for b in batches:
                 for piece in W.pieces(b, at):

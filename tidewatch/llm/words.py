@@ -6,7 +6,8 @@ longer character, so byte ranges and character ranges agree. Null texts have no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,6 +141,27 @@ def grams(h: np.ndarray, doc: np.ndarray, n: int, base: int = BASES[0]) -> tuple
     return mix(out), at
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, with memory that is free given back to the system before and after it.
+
+    Spark keeps Python workers for later tasks, more of them than run at once, and allocators keep what a large batch took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, text: int, size: int = 1 << 18):
     """Slices of a batch with about size bytes of text each; a longer text stands alone, whole."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
