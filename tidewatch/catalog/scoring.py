@@ -227,7 +227,7 @@ def precision_curve(spark, sf):
     f"{with_(EVENTS, SCORED, _RANK)} SELECT event_id, rank, CAST(sum(y) OVER (ORDER BY rank) AS BIGINT) AS hits FROM rk",
 )
 def global_ranks(spark, sf):
-    r = ranked(scored(spark, sf), "risk", "event_id", {"hits": "y"}, bucket_rows=2000)
+    r = ranked(scored(spark, sf).select("event_id", "risk", "y"), "risk", "event_id", {"hits": "y"}, bucket_rows=2000)
     return r.select("event_id", "rank", "hits")
 
 
