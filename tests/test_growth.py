@@ -4,9 +4,12 @@ from dataclasses import replace
 
 import pyspark.sql.functions as F
 
+from tidewatch.catalog import models, state
 from tidewatch.catalog.features import WIDE
 from tidewatch.operators import cohorts as CO
+from tidewatch.operators import corpus as C
 from tidewatch.operators import profiles as P
+from tidewatch.operators import rules as RU
 from tidewatch.operators.features import Knowledge, featurise
 from tidewatch.session import settle
 
@@ -44,3 +47,39 @@ def test_limited_and_other_distributions_share_one_count(events):
     shares.collect()
     plan = shares._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corpus_features_are_held_against_the_corpus_only(events):
+    corpus = C.fit_corpus(events)
+    assert "Aggregate" not in _plan(corpus.counts)  # counted once, not by each join
+    f = featurise(events, WIDE, Knowledge(corpus=corpus), ("seq_ngram_novelty_global", "resource_global_rarity"))
+    assert "FlatMapGroupsInPandas" not in _plan(f) and "cut_n" not in _plan(f)
+
+
+def test_rule_features_look_at_their_own_columns(events):
+    f = featurise(events, WIDE, names=RU.RULE_FEATURES)
+    assert "ngram" not in _plan(f.drop("tokens")) and "first_rn_resource" not in _plan(f)
+
+
+def test_fewer_names_give_the_same_values(events):
+    know = Knowledge(corpus=C.fit_corpus(events))
+    groups = (RU.RULE_FEATURES, ("seq_ngram_novelty_global", "seq_token_rarity_global", "sequence_length"), ("window_bytes_out_ratio",))
+    names = [n for g in groups for n in g]
+    whole = {r["event_id"]: r for r in featurise(events, WIDE, know).select("event_id", *names).collect()}
+    for g in groups:
+        rows = featurise(events, WIDE, know, g).select("event_id", *g).collect()
+        assert len(rows) == len(whole) and all(r[n] == whole[r["event_id"]][n] for r in rows for n in g)
+
+
+def test_shrunk_keeps_the_distributions_asked_for(spark, tiny):
+    f = state.shrunk_toward_prior(spark, tiny)
+    assert "substring_index" not in _plan(f) and "command_sequence" not in _plan(f) and f.count() > 10
+
+
+def test_stored_profiles_hold_what_features_ask_for(spark, tiny):
+    for f in (models.features_stored_profile(spark, tiny), models.features_with_priors(spark, tiny)):
+        assert "substring_index" not in _plan(f) and f.count() > 300
