@@ -428,8 +428,8 @@ def merged_distributions(spark, sf):
 )
 def shrunk_toward_prior(spark, sf):
     df = access_events(spark, sf)
-    prior = P.profile_rows(P.numbered_events(df, DEFAULTS), ["entity_type"], geo_by_group=True)
-    out = P.shrunk(P.entity_profiles(df), prior)
+    prior = P.profile_rows(P.numbered_events(df, DEFAULTS), ["entity_type"], geo_by_group=True, dims=("country",))
+    out = P.shrunk(P.entity_profiles(df, dims=("country",)), prior)
     return out.select("entity_id", F.explode("d_country").alias("value", "share")).withColumn("share", R(F.col("share")))
 
 
